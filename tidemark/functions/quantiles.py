@@ -31,82 +31,119 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None = None,
+                     accuracy: int = 20000) -> dict[int, float]:
+    """Exact values at 0-based ascending ``ranks`` of the non-null values of ``col``."""
+    src = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    if n is None:
+        n = src.count()
+    ranks = sorted({r for r in ranks if 0 <= r < n})
+    if not ranks:
+        return {}
+    margin = 4.0 / accuracy
+    denom = max(n - 1, 1)
+    lo_p = [max(0.0, r / denom - margin) for r in ranks]
+    hi_p = [min(1.0, r / denom + margin) for r in ranks]
+    s = src.agg(F.approx_percentile("x", F.array(*[F.lit(v) for v in lo_p]), accuracy).alias("lo"),
+                F.approx_percentile("x", F.array(*[F.lit(v) for v in hi_p]), accuracy).alias("hi")).first()
+    lo, hi = list(s["lo"]), list(s["hi"])
+    below = src.agg(*[F.count_if(F.col("x") < F.lit(lo[i])).alias(f"b{i}") for i in range(len(ranks))]).first()
+    br = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(lo[i]).alias("lo"), F.lit(hi[i]).alias("hi"))
+                   for i in range(len(ranks))])
+    cand = (src.select("x", F.explode(F.filter(br, lambda b: (F.col("x") >= b["lo"]) & (F.col("x") <= b["hi"])))
+                       .alias("b"))
+            .groupBy(F.col("b.i").alias("i"), "x").agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    # Bounded by the bracket width (about 2 * margin * n values, ties collapsed).
+    rows = cand.withColumn("cum", F.sum("c").over(w)).orderBy("i", "x").collect()
+    per: dict[int, list[tuple[float, int]]] = {}
+    for r in rows:
+        per.setdefault(r["i"], []).append((r["x"], r["cum"]))
+    out: dict[int, float] = {}
+    missed: list[int] = []
+    for i, rank in enumerate(ranks):
+        b = below[f"b{i}"]
+        val = None
+        if rank >= b:
+            for v, cum in per.get(i, []):
+                if b + cum > rank:
+                    val = v
+                    break
+        if val is None:
+            missed.append(rank)
+        else:
+            out[rank] = val
+    if missed:
+        # Sketch bracket missed: exact percentile at those ranks (values are data points at h = rank).
+        exact = src.agg(F.percentile("x", F.array(*[F.lit(r / denom) for r in missed])).alias("q")).first()["q"]
+        out.update(dict(zip(missed, exact)))
+    return out
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 20000) -> list[float | None]:
     """Linear-interpolated quantiles of the non-null values of ``col`` (returns small Python values)."""
-    x = F.col(col).cast("double")
-    src = df.select(x.alias("x")).where(F.col("x").isNotNull())
-    margin = 4.0 / accuracy
-    inner = [p for p in probs if 0.0 < p < 1.0]
-    lo_p = [max(0.0, p - margin) for p in inner]
-    hi_p = [min(1.0, p + margin) for p in inner]
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")]
-    if inner:
-        aggs += [F.approx_percentile("x", F.array(*[F.lit(v) for v in lo_p]), accuracy).alias("lo"),
-                 F.approx_percentile("x", F.array(*[F.lit(v) for v in hi_p]), accuracy).alias("hi")]
-    s = src.agg(*aggs).first()
+    src = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    s = src.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")).first()
     n = s["n"]
     if n == 0:
         return [None for _ in probs]
-    result: dict[float, float] = {0.0: s["mn"], 1.0: s["mx"]}
-    if inner:
-        lo, hi = list(s["lo"]), list(s["hi"])
-        below = src.agg(*[F.count_if(F.col("x") < F.lit(lo[i])).alias(f"b{i}")
-                          for i in range(len(inner))]).first()
-        br = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(lo[i]).alias("lo"), F.lit(hi[i]).alias("hi"))
-                       for i in range(len(inner))])
-        cand = (src.select("x", F.explode(F.filter(br, lambda b: (F.col("x") >= b["lo"]) & (F.col("x") <= b["hi"])))
-                           .alias("b"))
-                .groupBy(F.col("b.i").alias("i"), "x").agg(F.count(F.lit(1)).alias("c")))
-        w = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        # Bounded by the bracket width: a few thousand rows at most.
-        rows = cand.withColumn("cum", F.sum("c").over(w)).orderBy("i", "x").collect()
-        per: dict[int, list[tuple[float, int]]] = {}
-        for r in rows:
-            per.setdefault(r["i"], []).append((r["x"], r["cum"]))
-
-        def value_at(i: int, rank: int) -> float | None:
-            # rank is 0-based; values inside the bracket start after below[i] rows.
-            b = below[f"b{i}"]
-            for v, cum in per.get(i, []):
-                if b + cum > rank:
-                    return v if rank >= b else None
-            return None
-
-        missed = []
-        for i, p in enumerate(inner):
-            h = (n - 1) * p
-            j = math.floor(h)
-            a = value_at(i, j)
-            bv = value_at(i, min(j + 1, n - 1))
-            if a is None or bv is None:
-                missed.append(p)
-                continue
-            result[p] = _lerp(a, bv, h - j)
-        if missed:
-            exact = src.agg(F.percentile("x", F.array(*[F.lit(p) for p in missed])).alias("q")).first()["q"]
-            result.update(dict(zip(missed, exact)))
-    return [result[p] for p in probs]
+    need: dict[float, tuple[int, int, float]] = {}
+    for p in probs:
+        h = (n - 1) * p
+        j = math.floor(h)
+        need[p] = (j, min(j + 1, n - 1), h - j)
+    inner = {r for p, (j, j1, _) in need.items() if 0.0 < p < 1.0 for r in (j, j1)}
+    stats = order_statistics(df, col, sorted(inner), n=n, accuracy=accuracy)
+    stats[0] = s["mn"]
+    stats[n - 1] = s["mx"]
+    out = []
+    for p in probs:
+        j, j1, t = need[p]
+        if p <= 0.0:
+            out.append(s["mn"])
+        elif p >= 1.0:
+            out.append(s["mx"])
+        else:
+            out.append(_lerp(stats[j], stats[j1], t))
+    return out
 
 
-def average_pct_rank(df: DataFrame, col: str, n: int, partitions: int = 64) -> DataFrame:
-    """(value, pct) for every distinct value: average rank of ties / n (pandas ``rank(pct=True)``).
-
-    The cumulative count below each value is a distributed prefix sum:
-    distinct values are range-partitioned, summed within each partition by a
-    window *partitioned by the range partition*, then shifted by the totals of
-    the preceding partitions (one small row per partition, broadcast).
-    The range-partitioned counts are checkpointed so both uses see the same
-    partition assignment.
+def cumulative_by_key(df: DataFrame, key: str, measures: dict[str, F.Column], partitions: int = 64,
+                      group: str | None = None) -> DataFrame:
+    """Per distinct (``group``,) ``key`` ascending: each measure summed, plus ``<name>_before`` =
+    sum over smaller keys (within the group).
+
+    A distributed prefix sum: per-key totals are range-partitioned by
+    (group, key), accumulated inside each range partition by a window
+    *partitioned by that partition*, then shifted by the totals of the
+    preceding partitions of the same group (one row per partition and group,
+    broadcast). No step sees more than one range partition, so a huge group
+    is spread over many tasks. The range-partitioned totals are checkpointed
+    so both uses agree on the partition assignment even if a stage reruns.
     """
-    vc = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-          .repartitionByRange(partitions, col)
-          .withColumn("_pid", F.spark_partition_id())
-          .checkpoint())
-    w_in = Window.partitionBy("_pid").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    offs = vc.groupBy("_pid").agg(F.sum("_c").alias("_t"))
-    w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = offs.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))).select("_pid", "_off")
-    ranked = (vc.withColumn("_below", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
-              .join(F.broadcast(offs), "_pid"))
-    avg_rank = F.col("_off") + F.col("_below") + (F.col("_c") + 1) / 2.0
-    return ranked.select(col, (avg_rank / float(n)).alias("pct"))
+    names = list(measures)
+    gcols = [group] if group else []
+    per_key = (df.where(F.col(key).isNotNull()).groupBy(*gcols, key)
+               .agg(*[F.sum(c).alias(n) for n, c in measures.items()])
+               .repartitionByRange(partitions, *gcols, key)
+               .withColumn("_pid", F.spark_partition_id())
+               .checkpoint())
+    w_in = Window.partitionBy("_pid", *gcols).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    w_off = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if gcols \
+        else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per_key.groupBy("_pid", *gcols).agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    offs = offs.select("_pid", *gcols,
+                       *[F.coalesce(F.sum(f"_t_{n}").over(w_off), F.lit(0)).alias(f"_o_{n}") for n in names])
+    inner = per_key.select(*gcols, key, "_pid", *names,
+                           *[F.coalesce(F.sum(n).over(w_in), F.lit(0)).alias(f"_i_{n}") for n in names])
+    # Without groups offs has one row per range partition (bounded): broadcast. With groups it
+    # has a row per (partition, group); AQE broadcasts it only if its measured size allows.
+    return (inner.join(offs if gcols else F.broadcast(offs), ["_pid", *gcols])
+            .select(*gcols, key, *names, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in names]))
+
+
+def average_pct_rank(df: DataFrame, col: str, n: int, partitions: int = 64) -> DataFrame:
+    """(value, pct) for every distinct value: average rank of ties / n (pandas ``rank(pct=True)``)."""
+    c = cumulative_by_key(df, col, {"_c": F.lit(1)}, partitions)
+    avg_rank = F.col("_c_before") + (F.col("_c") + 1) / 2.0
+    return c.select(col, (avg_rank / float(n)).alias("pct"))

@@ -97,3 +97,87 @@ def cohort_matrix(retention: DataFrame) -> DataFrame:
                 F.concat(F.lit("m"), F.col("month_offset").cast("string")), F.col("retention_rate"))))
                 .alias("retention_rates"))
             .orderBy("cohort_month"))
+
+
+# ------------------------------------------------------------------ churn exposure
+VIP = "Priority 1: Immediate VIP Retention"
+
+
+def portfolio_overview(mart: DataFrame, pred: DataFrame) -> DataFrame:
+    """Portfolio KPIs: two one-row aggregates joined side by side (1 x 1)."""
+    cust = mart.agg(F.count(F.lit(1)).alias("total_customers"),
+                    F.coalesce(F.sum("lifetime_orders"), F.lit(0)).cast("long").alias("total_orders"),
+                    F.coalesce(F.sum("lifetime_spend"), F.lit(0)).alias("_rev"),
+                    F.coalesce(F.avg(F.col("avg_order_value").cast("double")), F.lit(0.0)).alias("_aov"),
+                    (F.coalesce(F.avg(F.when(F.col("is_repeat_buyer"), 1.0).otherwise(0.0)), F.lit(0.0)) * 100.0)
+                    .alias("_repeat"))
+    churn = pred.agg(F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)).alias("_rar"),
+                     F.coalesce(F.avg("churn_probability"), F.lit(0.0)).alias("_p"),
+                     count_if(F.col("risk_tier") == "High").alias("high_risk_customers_count"),
+                     F.coalesce(F.sum(F.when(F.col("retention_priority") == VIP, F.col("revenue_at_risk"))),
+                                F.lit(0.0)).alias("_vip"))
+    rev, rar = rnd_double(F.col("_rev"), 2), rnd_double(F.col("_rar"), 2)
+    return (cust.crossJoin(churn)
+            .select("total_customers", "total_orders", rev.alias("total_revenue"),
+                    rnd_double(F.col("_aov"), 2).alias("avg_order_value"),
+                    rnd_double(F.col("_repeat"), 2).alias("repeat_buyer_rate"),
+                    rar.alias("portfolio_revenue_at_risk"),
+                    F.when(rev > 0, rnd_double(rar / rev * 100.0, 2)).otherwise(0.0).alias("portfolio_risk_percentage"),
+                    rnd_double(F.col("_p"), 4).alias("avg_churn_probability"),
+                    "high_risk_customers_count",
+                    F.when(F.col("total_customers") > 0,
+                           rnd_double(F.col("high_risk_customers_count") / F.col("total_customers") * 100.0, 2))
+                    .otherwise(0.0).alias("high_risk_percentage"),
+                    rnd_double(F.col("_vip"), 2).alias("vip_retention_revenue_at_risk")))
+
+
+def rar_summary(pred: DataFrame) -> DataFrame:
+    s = pred.agg(F.coalesce(F.sum("monetary_value"), F.lit(0.0)).alias("_s"),
+                 F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)).alias("_r"),
+                 F.count(F.lit(1)).alias("total_count"))
+    spend, rar = rnd_double(F.col("_s"), 2), rnd_double(F.col("_r"), 2)
+    return s.select(spend.alias("total_historical_spend"), rar.alias("total_revenue_at_risk"), "total_count",
+                    F.when(spend > 0, rnd_double(rar / spend * 100.0, 2)).otherwise(0.0)
+                    .alias("portfolio_risk_percentage"))
+
+
+def rar_by_tier(pred: DataFrame) -> DataFrame:
+    total = pred.agg(F.count(F.lit(1)).alias("_n"))
+    order = F.when(F.col("risk_tier") == "High", 1).when(F.col("risk_tier") == "Medium", 2) \
+        .when(F.col("risk_tier") == "Low", 3).otherwise(4)
+    return (pred.groupBy("risk_tier")
+            .agg(F.count(F.lit(1)).alias("customer_count"),
+                 F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)).alias("_rar"),
+                 F.coalesce(F.avg("churn_probability"), F.lit(0.0)).alias("_p"))
+            .crossJoin(F.broadcast(total))
+            .select("risk_tier", "customer_count",
+                    rnd_double(F.col("customer_count") / F.col("_n") * 100.0, 2).alias("percentage"),
+                    rnd_double(F.col("_rar"), 2).alias("total_revenue_at_risk"),
+                    rnd_double(F.col("_p"), 4).alias("avg_churn_probability"))
+            .orderBy(order, "risk_tier"))
+
+
+def rar_by_priority(pred: DataFrame) -> DataFrame:
+    total = pred.agg(F.count(F.lit(1)).alias("_n"))
+    return (pred.groupBy("retention_priority")
+            .agg(F.count(F.lit(1)).alias("customer_count"),
+                 F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)).alias("_rar"))
+            .crossJoin(F.broadcast(total))
+            .select("retention_priority", "customer_count",
+                    rnd_double(F.col("customer_count") / F.col("_n") * 100.0, 2).alias("percentage"),
+                    rnd_double(F.col("_rar"), 2).alias("total_revenue_at_risk"))
+            .orderBy(F.desc("total_revenue_at_risk"), "retention_priority"))
+
+
+def top_at_risk(mart: DataFrame, rfm: DataFrame, pred: DataFrame, n: int = 5) -> DataFrame:
+    """Top-n High-tier customers by revenue at risk (per-partition top-n, then merged)."""
+    return (pred.where(F.col("risk_tier") == "High")
+            .join(mart.select("customer_unique_id", "city", "state", "zip_prefix", "first_purchased_at",
+                              "latest_purchased_at", "recency_days", "customer_lifespan_days", "lifetime_orders",
+                              "is_repeat_buyer", "lifetime_spend", "avg_order_value"), "customer_unique_id")
+            .join(rfm.select("customer_unique_id", "segment"), "customer_unique_id", "left")
+            .orderBy(F.desc("revenue_at_risk"), "customer_unique_id").limit(n)
+            .select("customer_unique_id", "city", "state", "zip_prefix", "first_purchased_at",
+                    "latest_purchased_at", "recency_days", "customer_lifespan_days", "lifetime_orders",
+                    "is_repeat_buyer", "lifetime_spend", "avg_order_value", "segment", "churn_probability",
+                    "risk_tier", "revenue_at_risk", "retention_priority"))

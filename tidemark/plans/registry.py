@@ -51,3 +51,116 @@ QUERIES["revenue_trends_window"] = lambda s, d: A.revenue_trends(
 QUERIES["cohort_retention"] = lambda s, d: A.cohort_retention(wh(s, d).dim_customers, wh(s, d).fact_orders)
 QUERIES["cohort_matrix"] = lambda s, d: A.cohort_matrix(
     A.cohort_retention(wh(s, d).dim_customers, wh(s, d).fact_orders))
+
+# ------------------------------------------------------------------ churn, scores, reports
+from ..functions import rules as _rules  # noqa: E402
+from ..operators import bi as BI  # noqa: E402
+from ..operators import catalog as CAT  # noqa: E402
+from ..operators import churn as C  # noqa: E402
+from ..operators import customers as CU  # noqa: E402
+from ..operators import marketing as MK  # noqa: E402
+from ..operators import quality as DQ  # noqa: E402
+from ..operators import retention as RT  # noqa: E402
+from ..operators import scoring as SC  # noqa: E402
+from ..sources.schemas import EXPECTED_ROW_COUNTS, MARKETING_TABLES  # noqa: E402
+
+BUDGET = 150000.0
+# What-if scenario parameters: feature overrides applied to every customer.
+SCENARIOS = [("fix_delivery", {"late_order_ratio": 0.0, "avg_delivery_delay_days": 0.0}),
+             ("bad_experience", {"late_order_ratio": 1.0, "avg_review_score": 1.0}),
+             ("second_order", {"lifetime_orders": 2.0})]
+
+
+def _scenarios(spark):
+    return spark.createDataFrame(SCENARIOS, "scenario_id string, adjustments map<string,double>")
+
+
+def _baseline_scorer():
+    return SC.formula_scorer(lambda: 0.8 * F.col("recency_days").cast("double")
+                             / (F.col("recency_days").cast("double") + 365.0)
+                             + 0.2 * F.col("late_order_ratio").cast("double"))
+
+
+def _pb(s, d):
+    return wh(s, d).churn_predictions_baseline
+
+
+def _view(s, d, model: bool = False):
+    w = wh(s, d)
+    return CU.customer_view(w.mart_customer_metrics, w.rfm_segments,
+                            w.churn_predictions if model else w.churn_predictions_baseline)
+
+
+def _rec(s, d):
+    return RT.playbook_recommendation(_view(s, d), RT.playbooks(s))
+
+
+QUERIES.update({
+    "churn_features": lambda s, d: wh(s, d).churn_features,
+    "churn_predictions_baseline": _pb,
+    "churn_predictions": lambda s, d: wh(s, d).churn_predictions,
+    "churn_scorecard": lambda s, d: C.scorecard(s, wh(s, d).churn_model),
+    "model_info": lambda s, d: C.model_info(s, wh(s, d).churn_model_path),
+    "churn_tier_summary": lambda s, d: C.tier_summary(_pb(s, d)),
+    "churn_priority_summary": lambda s, d: C.priority_summary(_pb(s, d)),
+    "churn_exec_summary": lambda s, d: C.exec_summary(_pb(s, d)),
+    "churn_tier_summary_model": lambda s, d: C.tier_summary(wh(s, d).churn_predictions),
+    "portfolio_overview": lambda s, d: A.portfolio_overview(wh(s, d).mart_customer_metrics, _pb(s, d)),
+    "portfolio_overview_model": lambda s, d: A.portfolio_overview(wh(s, d).mart_customer_metrics,
+                                                                  wh(s, d).churn_predictions),
+    "rar_summary": lambda s, d: A.rar_summary(_pb(s, d)),
+    "rar_by_tier": lambda s, d: A.rar_by_tier(_pb(s, d)),
+    "rar_by_priority": lambda s, d: A.rar_by_priority(_pb(s, d)),
+    "top_at_risk": lambda s, d: A.top_at_risk(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments, _pb(s, d)),
+    "customer_list": lambda s, d: CU.customer_list(_view(s, d)),
+    "customer_list_filtered": lambda s, d: CU.customer_list(
+        _view(s, d), page=2, page_size=10, sort_by="revenue_at_risk", sort_order="desc",
+        risk_tier="Medium", state="eu", min_spend=100000.0, search="u1"),
+    "at_risk_queue": lambda s, d: CU.at_risk_queue(_view(s, d)),
+    "customer_360": lambda s, d: CU.customer_360(_view(s, d)),
+    "campaign_export": lambda s, d: CU.campaign_export(_view(s, d)),
+    "product_list": lambda s, d: CAT.product_list(wh(s, d).mart_product_metrics),
+    "product_list_search": lambda s, d: CAT.product_list(
+        wh(s, d).mart_product_metrics, page=1, page_size=15, category="brass", sort_by="avg_unit_price",
+        sort_order="asc", search="P1"),
+    "category_summary": lambda s, d: CAT.category_summary(wh(s, d).mart_product_metrics),
+    "seller_list": lambda s, d: CAT.seller_list(wh(s, d).mart_seller_metrics, page_size=25),
+    "seller_top_categories": lambda s, d: CAT.seller_top_categories(wh(s, d).stg_order_items, wh(s, d).stg_products),
+    "seller_detail": lambda s, d: CAT.seller_detail(
+        wh(s, d).mart_seller_metrics,
+        CAT.seller_top_categories(wh(s, d).stg_order_items, wh(s, d).stg_products)),
+    "funnel_overview": lambda s, d: MK.funnel_overview(wh(s, d).mart_marketing_funnel),
+    "channel_attribution": lambda s, d: MK.channel_attribution(wh(s, d).mart_marketing_funnel),
+    "velocity_overall": lambda s, d: MK.velocity_overall(wh(s, d).mart_marketing_funnel),
+    "velocity_by_segment": lambda s, d: MK.velocity_by_segment(wh(s, d).mart_marketing_funnel),
+    "velocity_by_lead_type": lambda s, d: MK.velocity_by_lead_type(wh(s, d).mart_marketing_funnel),
+    "velocity_summary": lambda s, d: MK.velocity_summary(wh(s, d).mart_marketing_funnel),
+    "segment_performance": lambda s, d: MK.segment_performance(wh(s, d).mart_marketing_funnel),
+    "lead_list": lambda s, d: MK.lead_list(wh(s, d).mart_marketing_funnel, page=1, page_size=30),
+    "playbook_recommendation": _rec,
+    "campaign_roi": lambda s, d: RT.campaign_roi(_rec(s, d)),
+    "pool_economics": lambda s, d: RT.pool_economics(RT.pools_from_recommendations(_rec(s, d))),
+    "budget_allocation": lambda s, d: RT.budget_allocation(RT.pools_from_recommendations(_rec(s, d)), BUDGET),
+    "budget_summary": lambda s, d: RT.budget_summary(RT.pools_from_recommendations(_rec(s, d)), BUDGET),
+    "funded_customers": lambda s, d: RT.funded_customers(
+        _rec(s, d), RT.budget_allocation(RT.pools_from_recommendations(_rec(s, d)), BUDGET)),
+    "whatif_baseline": lambda s, d: SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments),
+    "batch_score": lambda s, d: SC.batch_score(SC.feature_defaults(
+        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments)), _baseline_scorer()),
+    "batch_score_model": lambda s, d: SC.batch_score(SC.feature_defaults(
+        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments)),
+        SC.model_scorer(wh(s, d).churn_model)),
+    "whatif_scenarios": lambda s, d: SC.whatif_scenarios(
+        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments), _scenarios(s), _baseline_scorer()),
+    "raw_delivered_orders": lambda s, d: DQ.raw_delivered_orders(wh(s, d).raw("orders"), wh(s, d).raw("customers")),
+    "raw_order_revenue": lambda s, d: DQ.raw_order_revenue(wh(s, d).raw("order_items")),
+    "raw_ingestion_summary": lambda s, d: DQ.raw_ingestion_summary(
+        {n: wh(s, d).raw(n) for n in EXPECTED_ROW_COUNTS},
+        {n: ("raw_marketing" if n in MARKETING_TABLES else "raw") for n in EXPECTED_ROW_COUNTS}),
+    "table_health": lambda s, d: DQ.table_health(
+        wh(s, d).raw("orders"), wh(s, d).raw("customers"), wh(s, d).mart_customer_metrics, wh(s, d).fact_orders,
+        wh(s, d).mart_marketing_funnel, wh(s, d).rfm_segments, _pb(s, d)),
+    "bi_measures": lambda s, d: BI.bi_measures(wh(s, d).fact_orders, wh(s, d).dim_customers,
+                                               wh(s, d).mart_customer_metrics, _pb(s, d)),
+    "bi_late_by_state": lambda s, d: BI.bi_late_by_state(wh(s, d).fact_orders, wh(s, d).dim_customers),
+})

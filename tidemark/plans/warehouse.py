@@ -23,6 +23,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import session as sess
+from ..operators import churn as C
 from ..operators import intermediate as I
 from ..operators import marts as M
 from ..operators import rfm as RFM
@@ -190,3 +191,31 @@ class Warehouse:
     @property
     def rfm_segments(self) -> DataFrame:
         return self.table("ml/rfm_segments", lambda: RFM.rfm_scores(self.mart_customer_metrics))
+
+    @cached_property
+    def churn_features(self) -> DataFrame:
+        return C.churn_features(C.churn_dataset(self.mart_customer_metrics, self.rfm_segments))
+
+    @cached_property
+    def churn_model(self) -> "C.ChurnModel":
+        path = f"{self.root}/ml/churn_model"
+        if not sess.path_exists(self.spark, f"{path}/metadata/_SUCCESS"):
+            model = C.train_churn_model(self.churn_features)
+            C.save_model(self.spark, model, path)
+        return C.load_model(self.spark, path)
+
+    @property
+    def churn_model_path(self) -> str:
+        self.churn_model  # noqa: B018 — make sure it exists
+        return f"{self.root}/ml/churn_model"
+
+    @property
+    def churn_predictions(self) -> DataFrame:
+        """Model scores for every customer (written table)."""
+        return self.table("ml/churn_predictions", lambda: C.score_customers(self.churn_model, self.churn_features))
+
+    @property
+    def churn_predictions_baseline(self) -> DataFrame:
+        """Deterministic baseline scores (verification path; same downstream rules)."""
+        return self.table("ml/churn_predictions_baseline", lambda: C.predictions_from_probability(
+            self.churn_features, C.baseline_probability(self.churn_features)))
