@@ -43,3 +43,14 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 def count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
+
+
+def fmt_fixed(col: Column, decimals: int) -> Column:
+    """Text with ``decimals`` digits of a value rounded half-up on its decimal form first,
+    so the printed digits do not depend on the engine's binary tie handling."""
+    return F.format_string(f"%.{decimals}f", rnd_double(col, decimals))
+
+
+def fmt_thousands(col: Column, decimals: int = 2) -> Column:
+    """``1,234.56`` style text of the rounded value."""
+    return F.format_number(rnd_double(col, decimals), decimals)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.core import fmt_fixed
 from . import paging
 
 SORT_COLUMNS = {
@@ -87,7 +88,7 @@ def customer_churn(pred: DataFrame, customer_id: str) -> DataFrame:
 def campaign_export(view: DataFrame, strict_labels: bool = False, **filters) -> DataFrame:
     """CRM campaign rows, formatted as text, by revenue at risk (NULLs last)."""
     f = filter_customers(view, **filters)
-    fmt = lambda c, d: F.format_string(f"%.{d}f", F.col(c).cast("double"))
+    fmt = lambda c, d: fmt_fixed(F.col(c).cast("double"), d)
     return (f.orderBy(F.col("revenue_at_risk").desc_nulls_last(), F.col("customer_unique_id"))
             .select("customer_unique_id",
                     F.coalesce("state", F.lit("")).alias("state"),

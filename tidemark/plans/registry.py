@@ -121,7 +121,7 @@ QUERIES.update({
     "campaign_export": lambda s, d: CU.campaign_export(_view(s, d)),
     "product_list": lambda s, d: CAT.product_list(wh(s, d).mart_product_metrics),
     "product_list_search": lambda s, d: CAT.product_list(
-        wh(s, d).mart_product_metrics, page=1, page_size=15, category="brass", sort_by="avg_unit_price",
+        wh(s, d).mart_product_metrics, page=1, page_size=15, category="ar", sort_by="avg_unit_price",
         sort_order="asc", search="P1"),
     "category_summary": lambda s, d: CAT.category_summary(wh(s, d).mart_product_metrics),
     "seller_list": lambda s, d: CAT.seller_list(wh(s, d).mart_seller_metrics, page_size=25),
