@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from functools import cached_property
 from pathlib import Path
 from typing import Callable
@@ -66,12 +67,19 @@ class Warehouse:
 
     # ------------------------------------------------------------ plumbing
     @classmethod
-    def for_testdata(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
+    def for_testdata(cls, spark: SparkSession, sf_dir: str, fresh: bool = False) -> "Warehouse":
+        """The session's warehouse for an input folder.
+
+        ``fresh=True`` starts a new one in its own folder (benchmarks: nothing
+        written by an earlier run is reused).
+        """
         sess.apply_runtime_defaults(spark)
         key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
         wh = _REGISTRY.get(key)
-        if wh is None:
+        if wh is None or fresh:
             root = f"{sess.shared_root(spark)}/tidemark_wh/{_input_fingerprint(sf_dir)}-{code_version()}"
+            if fresh:
+                root += f"/run-{uuid.uuid4().hex[:12]}"
             wh = cls(spark, lambda: testdata.raw_tables(spark, sf_dir), root)
             _REGISTRY[key] = wh
         return wh

@@ -16,6 +16,7 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -38,7 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def apply_runtime_defaults(spark: SparkSession) -> None:
     """Apply the SQL settings above to an existing session (runtime-settable only)."""
     for k, v in SESSION_DEFAULTS.items():
-        if k == "spark.ui.enabled":
+        if k.startswith("spark.ui."):
             continue
         try:
             spark.conf.set(k, v)
