@@ -164,3 +164,22 @@ QUERIES.update({
                                                wh(s, d).mart_customer_metrics, _pb(s, d)),
     "bi_late_by_state": lambda s, d: BI.bi_late_by_state(wh(s, d).fact_orders, wh(s, d).dim_customers),
 })
+
+
+def _csv_raw(s, d, table: str):
+    from ..sources.csv import load_raw
+    return load_raw(s, [wh(s, d).csv_dir], "all")[table]
+
+
+def _csv_summary(s, d):
+    from ..sources.csv import SCHEMA_OF, load_raw
+    return DQ.raw_ingestion_summary(load_raw(s, [wh(s, d).csv_dir], "all"), SCHEMA_OF)
+
+
+QUERIES.update({
+    "dq_report": lambda s, d: DQ.warehouse_dq_report(wh(s, d).model),
+    "csv_ingest_summary": _csv_summary,
+    "csv_ingest_orders": lambda s, d: _csv_raw(s, d, "orders"),
+    "csv_ingest_order_items": lambda s, d: _csv_raw(s, d, "order_items"),
+    "csv_ingest_closed_deals": lambda s, d: _csv_raw(s, d, "closed_deals"),
+})

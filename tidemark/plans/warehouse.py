@@ -227,3 +227,19 @@ class Warehouse:
         """Deterministic baseline scores (verification path; same downstream rules)."""
         return self.table("ml/churn_predictions_baseline", lambda: C.predictions_from_probability(
             self.churn_features, C.baseline_probability(self.churn_features)))
+
+    # ------------------------------------------------------------ lookups / CSV copies
+    def model(self, name: str) -> DataFrame:
+        """Any warehouse model by name (``raw_<table>`` for raw tables)."""
+        return self.raw(name[4:]) if name.startswith("raw_") else getattr(self, name)
+
+    @property
+    def csv_dir(self) -> str:
+        """The raw tables written once as CSV files in the source layout (``<source file name>/part-*.csv``)."""
+        from ..sinks.tables import write_raw_csv
+        from ..sources.schemas import SOURCE_FILES
+        d = f"{self.root}/csv"
+        for t, fname in SOURCE_FILES.items():
+            if not sess.path_exists(self.spark, f"{d}/{fname}/_SUCCESS"):
+                write_raw_csv(self.raw(t), f"{d}/{fname}")
+        return d
