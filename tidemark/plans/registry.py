@@ -183,3 +183,42 @@ QUERIES.update({
     "csv_ingest_order_items": lambda s, d: _csv_raw(s, d, "order_items"),
     "csv_ingest_closed_deals": lambda s, d: _csv_raw(s, d, "closed_deals"),
 })
+
+
+def _partial_profiles(s, d):
+    """Partial feature profiles (five fields, as a caller would send), for every customer."""
+    w = wh(s, d)
+    return (w.mart_customer_metrics.join(w.rfm_segments.select("customer_unique_id", "segment"),
+                                         "customer_unique_id", "left")
+            .select("customer_unique_id", "lifetime_spend", "lifetime_orders", "avg_delivery_delay_days",
+                    "avg_review_score", "segment"))
+
+
+def _upserted(s, d, name):
+    from ..sinks import tables as SK
+    w = wh(s, d)
+    if name == "rfm":
+        out = SK.upsert_rfm(s, f"{w.root}/store/rfm_segments", w.rfm_segments)
+        return out.drop("updated_at")
+    out = SK.upsert_predictions(s, f"{w.root}/store/churn_predictions", w.churn_predictions_baseline)
+    return out.drop("predicted_at")
+
+
+def _split_summary(s, d):
+    train, test = C.stratified_split(C.model_frame(wh(s, d).churn_features))
+    return (train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+            .groupBy("split", "is_churned").agg(F.count(F.lit(1)).alias("customers")))
+
+
+QUERIES.update({
+    "rfm_input": lambda s, d: RFM.rfm_input(wh(s, d).mart_customer_metrics),
+    "churn_dataset": lambda s, d: C.churn_dataset(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments),
+    "churn_split_summary": _split_summary,
+    "customer_page_meta": lambda s, d: __import__("tidemark.operators.paging", fromlist=["x"]).page_meta(
+        CU.filter_customers(_view(s, d), risk_tier="Medium"), 3, 20),
+    "dq_constraints": lambda s, d: DQ.dq_constraints(wh(s, d).raw("order_items"), wh(s, d).raw("order_reviews")),
+    "dq_row_counts": lambda s, d: DQ.dq_row_counts(QUERIES["raw_ingestion_summary"](s, d), EXPECTED_ROW_COUNTS, s),
+    "feature_defaults": lambda s, d: SC.feature_defaults(_partial_profiles(s, d)),
+    "rfm_segments_upserted": lambda s, d: _upserted(s, d, "rfm"),
+    "churn_predictions_upserted": lambda s, d: _upserted(s, d, "churn"),
+})

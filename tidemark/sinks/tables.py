@@ -76,3 +76,17 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
     (df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("dateFormat", "yyyy-MM-dd").csv(path))
+
+
+def upsert_rfm(spark: SparkSession, path: str, rfm: DataFrame) -> DataFrame:
+    """Keyed RFM store: one row per customer, ``updated_at`` set on the rows written now."""
+    return upsert(spark, path, rfm, ["customer_unique_id"], stamp_col="updated_at")
+
+
+def upsert_predictions(spark: SparkSession, path: str, pred: DataFrame) -> DataFrame:
+    """Keyed prediction store (probability at 4 dp, money at 2 dp), ``predicted_at`` set now."""
+    from ..functions.core import rnd
+    rounded = (pred.withColumn("churn_probability", rnd(F.col("churn_probability"), 4).cast("double"))
+               .withColumn("monetary_value", rnd(F.col("monetary_value"), 2).cast("double"))
+               .withColumn("revenue_at_risk", rnd(F.col("revenue_at_risk"), 2).cast("double")))
+    return upsert(spark, path, rounded, ["customer_unique_id"], stamp_col="predicted_at")
