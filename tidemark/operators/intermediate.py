@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import SECONDS_PER_DAY, ratio, rnd
+from ..functions.core import SECONDS_PER_DAY, ratio, rnd, seconds_between
 
 
 def int_order_items_aggregated(items: DataFrame) -> DataFrame:
@@ -120,3 +120,63 @@ def int_customer_reviews(orders: DataFrame, customers: DataFrame, reviews_agg: D
                  F.count_if(F.col("has_positive_review")).alias("positive_reviews_count"),
                  F.bool_or(neg).alias("has_negative_review"),
                  rnd(ratio(F.count_if(neg), F.count(F.lit(1))), 4).cast("decimal(6,4)").alias("negative_review_ratio")))
+
+
+# ------------------------------------------------------------------ single-pass rollup over the fact table
+def customer_rollup(fact_orders: DataFrame) -> DataFrame:
+    """Every per-customer measure of the orders, fulfillment and reviews models in ONE aggregation.
+
+    ``fact_orders`` already holds one row per delivered order with its
+    customer, item totals (0 when none), delay and review summary (NULL /
+    0 / false when unreviewed), so the three customer models are column
+    subsets of this rollup: one scan of the written fact table and one
+    shuffle by customer instead of three order-level joins and shuffles.
+    An order counts as *reviewed* when ``reviews_count > 0`` (exactly the
+    orders present in the order-review aggregate).
+    """
+    d = seconds_between(F.col("estimated_delivery_at"), F.col("delivered_at"))
+    late = F.when(d > 0, 1).otherwise(0)
+    on_time = F.when(d <= 0, 1).otherwise(0)
+    reviewed = F.col("reviews_count") > 0
+    neg = F.col("has_negative_review") & reviewed
+    z = F.lit(0)
+    n_reviewed = F.count_if(reviewed)
+    return (fact_orders.groupBy("customer_unique_id")
+            .agg(F.min("purchased_at").alias("first_purchased_at"),
+                 F.max("purchased_at").alias("latest_purchased_at"),
+                 F.count(F.lit(1)).alias("lifetime_orders"),
+                 F.sum(F.coalesce("item_count", z)).cast("int").alias("lifetime_items"),
+                 F.sum("product_revenue").cast("decimal(14,2)").alias("lifetime_product_spend"),
+                 F.sum("freight_revenue").cast("decimal(14,2)").alias("lifetime_freight_spend"),
+                 F.sum("total_revenue").cast("decimal(14,2)").alias("lifetime_spend"),
+                 F.sum("unique_products_count").cast("int").alias("total_unique_products_purchased"),
+                 F.sum("unique_sellers_count").cast("int").alias("total_unique_sellers_contacted"),
+                 rnd(F.avg(d) / SECONDS_PER_DAY, 2).alias("avg_delivery_delay_days"),
+                 rnd(F.max(d) / SECONDS_PER_DAY, 2).alias("max_delivery_delay_days"),
+                 F.sum(late).cast("int").alias("late_orders_count"),
+                 F.sum(on_time).cast("int").alias("on_time_orders_count"),
+                 rnd(ratio(F.sum(late), F.count(F.lit(1))), 4).cast("decimal(6,4)").alias("late_order_ratio"),
+                 (F.sum(late) > 0).alias("has_late_delivery"),
+                 n_reviewed.alias("_reviewed_orders"),
+                 F.sum(F.when(reviewed, F.col("reviews_count"))).cast("int").alias("total_reviews_submitted"),
+                 rnd(F.avg(F.when(reviewed, F.col("avg_review_score"))), 2).cast("decimal(3,2)").alias("avg_review_score"),
+                 F.count_if(neg).alias("negative_reviews_count"),
+                 F.count_if(F.col("has_positive_review") & reviewed).alias("positive_reviews_count"),
+                 F.bool_or(F.when(reviewed, F.col("has_negative_review"))).alias("has_negative_review"),
+                 rnd(ratio(F.count_if(neg), n_reviewed), 4).cast("decimal(6,4)").alias("negative_review_ratio"))
+            .withColumn("avg_order_value",
+                        rnd(ratio(F.col("lifetime_spend"), F.col("lifetime_orders")), 2).cast("decimal(12,2)")))
+
+
+ORDER_COLS = ["customer_unique_id", "first_purchased_at", "latest_purchased_at", "lifetime_orders", "lifetime_items",
+              "lifetime_product_spend", "lifetime_freight_spend", "lifetime_spend", "avg_order_value",
+              "total_unique_products_purchased", "total_unique_sellers_contacted"]
+FULFILLMENT_COLS = ["customer_unique_id", "avg_delivery_delay_days", "max_delivery_delay_days", "late_orders_count",
+                    "on_time_orders_count", "late_order_ratio", "has_late_delivery"]
+REVIEW_COLS = ["customer_unique_id", "total_reviews_submitted", "avg_review_score", "negative_reviews_count",
+               "positive_reviews_count", "has_negative_review", "negative_review_ratio"]
+
+
+def customer_locations_from_fact(fact_orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """``int_customer_locations`` over the fact table (same ranking: newest purchase, then customer_id)."""
+    return int_customer_locations(fact_orders.select("customer_id", "purchased_at"), customers)

@@ -58,10 +58,11 @@ def mart_customer_metrics(customer_orders: DataFrame, locations: DataFrame, fulf
     """
     bench = orders.agg(F.max("purchased_at").alias("max_dataset_timestamp"))
     z = F.lit(0)
-    j = (customer_orders.crossJoin(F.broadcast(bench))
-         .join(locations, "customer_unique_id")
-         .join(fulfillment, "customer_unique_id", "left")
-         .join(reviews, "customer_unique_id", "left"))
+    j = customer_orders.crossJoin(F.broadcast(bench)).join(locations, "customer_unique_id")
+    if fulfillment is not None:  # separate models; None when customer_orders already carries them
+        j = j.join(fulfillment, "customer_unique_id", "left")
+    if reviews is not None:
+        j = j.join(reviews, "customer_unique_id", "left")
     return j.select(
         "customer_unique_id", F.col("primary_city").alias("city"), F.col("primary_state").alias("state"),
         F.col("primary_zip_prefix").alias("zip_prefix"), "first_purchased_at", "latest_purchased_at",
@@ -86,6 +87,18 @@ def mart_customer_metrics(customer_orders: DataFrame, locations: DataFrame, fulf
         F.coalesce("negative_review_ratio", z).cast("decimal(6,4)").alias("negative_review_ratio"))
 
 
+def mart_customer_metrics_from_rollup(rollup: DataFrame, locations: DataFrame, orders: DataFrame) -> DataFrame:
+    """The customer mart from the single-pass rollup: one join (rollup and locations are both
+    partitioned by customer, so it needs no further shuffle) plus the one-row recency benchmark."""
+    r = rollup.withColumn("total_reviews_submitted",
+                          F.when(F.col("_reviewed_orders") > 0, F.col("total_reviews_submitted")))
+    for c in ["avg_review_score", "negative_reviews_count", "positive_reviews_count", "has_negative_review",
+              "negative_review_ratio"]:
+        r = r.withColumn(c, F.when(F.col("_reviewed_orders") > 0, F.col(c)))
+    return mart_customer_metrics(r.select(*[c for c in rollup.columns if c != "_reviewed_orders"]),
+                                 locations, None, None, orders)
+
+
 def mart_product_metrics(products: DataFrame, items: DataFrame, reviews_agg: DataFrame) -> DataFrame:
     """Per-product sales; averages are item-weighted. Unsold products kept with zeros."""
     sales = (items.select("order_id", "order_item_id", "product_id", "price", "item_revenue")

@@ -22,6 +22,7 @@ from pathlib import Path
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import session as sess
 from ..operators import churn as C
@@ -146,21 +147,28 @@ class Warehouse:
     def int_order_reviews_aggregated(self) -> DataFrame:
         return I.int_order_reviews_aggregated(self.stg_order_reviews)
 
+    # The customer models are column subsets of one rollup over the written fact table
+    # (see intermediate.customer_rollup); the order-level definitions in
+    # ``intermediate`` are kept as the reference formulation and tested equal.
+    @cached_property
+    def customer_rollup(self) -> DataFrame:
+        return I.customer_rollup(self.fact_orders)
+
     @cached_property
     def int_customer_locations(self) -> DataFrame:
-        return I.int_customer_locations(self.stg_orders, self.stg_customers)
+        return I.customer_locations_from_fact(self.fact_orders, self.stg_customers)
 
     @cached_property
     def int_customer_orders(self) -> DataFrame:
-        return I.int_customer_orders(self.stg_orders, self.stg_customers, self.int_order_items_aggregated)
+        return self.customer_rollup.select(*I.ORDER_COLS)
 
     @cached_property
     def int_customer_fulfillment(self) -> DataFrame:
-        return I.int_customer_fulfillment(self.stg_orders, self.stg_customers)
+        return self.customer_rollup.select(*I.FULFILLMENT_COLS)
 
     @cached_property
     def int_customer_reviews(self) -> DataFrame:
-        return I.int_customer_reviews(self.stg_orders, self.stg_customers, self.int_order_reviews_aggregated)
+        return self.customer_rollup.where(F.col("_reviewed_orders") > 0).select(*I.REVIEW_COLS)
 
     # ------------------------------------------------------------ marts (written)
     @property
@@ -176,9 +184,8 @@ class Warehouse:
 
     @property
     def mart_customer_metrics(self) -> DataFrame:
-        return self.table("marts/mart_customer_metrics", lambda: M.mart_customer_metrics(
-            self.int_customer_orders, self.int_customer_locations, self.int_customer_fulfillment,
-            self.int_customer_reviews, self.stg_orders))
+        return self.table("marts/mart_customer_metrics", lambda: M.mart_customer_metrics_from_rollup(
+            self.customer_rollup, self.int_customer_locations, self.stg_orders))
 
     @property
     def mart_product_metrics(self) -> DataFrame:
