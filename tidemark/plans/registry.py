@@ -222,3 +222,13 @@ QUERIES.update({
     "rfm_segments_upserted": lambda s, d: _upserted(s, d, "rfm"),
     "churn_predictions_upserted": lambda s, d: _upserted(s, d, "churn"),
 })
+
+TIGHT_BUDGET = 10000.0  # funds only part of the pools: exercises the skip / exhaust branches of the fold
+
+QUERIES.update({
+    "budget_allocation_tight": lambda s, d: RT.budget_allocation(
+        RT.pools_from_recommendations(_rec(s, d)), TIGHT_BUDGET),
+    "budget_summary_tight": lambda s, d: RT.budget_summary(RT.pools_from_recommendations(_rec(s, d)), TIGHT_BUDGET),
+    "funded_customers_tight": lambda s, d: RT.funded_customers(
+        _rec(s, d), RT.budget_allocation(RT.pools_from_recommendations(_rec(s, d)), TIGHT_BUDGET)),
+})
