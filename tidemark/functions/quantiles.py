@@ -9,12 +9,13 @@ task holding billions of values. Instead:
 2. one pass counts the rows strictly below each lower bracket and gathers
    the distinct values inside each bracket with their multiplicities — the
    bracket holds about ``2·margin·n`` rows, and ties collapse to one row;
-3. the exact order statistics (and the linear interpolation between them,
-   as numpy/pandas and SQL ``percentile_cont`` do) are read off those
-   few candidates.
+3. the exact order statistics are found by a window over each bracket's
+   candidates (bounded rows), and linearly interpolated as numpy/pandas and
+   SQL ``percentile_cont`` do. Only the edge values reach the driver.
 
-If a bracket misses its rank (the sketch guarantee makes this not expected),
-that quantile falls back to Spark's exact ``percentile``.
+The sketch accuracy grows with the row count so that each bracket stays
+bounded. A bracket that misses its rank (not expected: the sketch's rank
+error is bounded) is retried wider.
 """
 
 from __future__ import annotations
@@ -31,56 +32,72 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
+MAX_BRACKET_ROWS = 50_000
+
+
+def sketch_accuracy(n: int) -> int:
+    """Sketch accuracy so that a +-4/accuracy rank bracket holds at most ~MAX_BRACKET_ROWS rows.
+
+    The sketch's buffer grows like accuracy * log(n / accuracy): 10^4 for
+    small inputs, about 1.6 * 10^5 (tens of MB per partial buffer) at 10^9 rows.
+    """
+    return int(min(max(10_000, math.ceil(8 * n / MAX_BRACKET_ROWS)), 1_000_000))
+
+
 def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None = None,
-                     accuracy: int = 20000) -> dict[int, float]:
-    """Exact values at 0-based ascending ``ranks`` of the non-null values of ``col``."""
+                     accuracy: int | None = None) -> dict[int, float]:
+    """Exact values at 0-based ascending ``ranks`` of the non-null values of ``col``.
+
+    For each rank a sketch bracket [lo, hi] is taken; one pass counts the rows
+    below ``lo`` and groups the values inside the bracket with their counts;
+    a window per bracket (bounded rows) finds the value whose cumulative count
+    crosses the rank. Only one value per rank reaches the driver. A bracket
+    that misses its rank is retried wider.
+    """
     src = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
     if n is None:
         n = src.count()
     ranks = sorted({r for r in ranks if 0 <= r < n})
     if not ranks:
         return {}
-    margin = 4.0 / accuracy
+    accuracy = accuracy or sketch_accuracy(n)
     denom = max(n - 1, 1)
-    lo_p = [max(0.0, r / denom - margin) for r in ranks]
-    hi_p = [min(1.0, r / denom + margin) for r in ranks]
-    s = src.agg(F.approx_percentile("x", F.array(*[F.lit(v) for v in lo_p]), accuracy).alias("lo"),
-                F.approx_percentile("x", F.array(*[F.lit(v) for v in hi_p]), accuracy).alias("hi")).first()
-    lo, hi = list(s["lo"]), list(s["hi"])
-    below = src.agg(*[F.count_if(F.col("x") < F.lit(lo[i])).alias(f"b{i}") for i in range(len(ranks))]).first()
-    br = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(lo[i]).alias("lo"), F.lit(hi[i]).alias("hi"))
-                   for i in range(len(ranks))])
-    cand = (src.select("x", F.explode(F.filter(br, lambda b: (F.col("x") >= b["lo"]) & (F.col("x") <= b["hi"])))
-                       .alias("b"))
-            .groupBy(F.col("b.i").alias("i"), "x").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    # Bounded by the bracket width (about 2 * margin * n values, ties collapsed).
-    rows = cand.withColumn("cum", F.sum("c").over(w)).orderBy("i", "x").collect()
-    per: dict[int, list[tuple[float, int]]] = {}
-    for r in rows:
-        per.setdefault(r["i"], []).append((r["x"], r["cum"]))
     out: dict[int, float] = {}
-    missed: list[int] = []
-    for i, rank in enumerate(ranks):
-        b = below[f"b{i}"]
-        val = None
-        if rank >= b:
-            for v, cum in per.get(i, []):
-                if b + cum > rank:
-                    val = v
-                    break
-        if val is None:
-            missed.append(rank)
-        else:
-            out[rank] = val
-    if missed:
-        # Sketch bracket missed: exact percentile at those ranks (values are data points at h = rank).
-        exact = src.agg(F.percentile("x", F.array(*[F.lit(r / denom) for r in missed])).alias("q")).first()["q"]
-        out.update(dict(zip(missed, exact)))
+    todo = list(ranks)
+    margin = 4.0 / accuracy
+    for _ in range(4):
+        lo_p = [max(0.0, r / denom - margin) for r in todo]
+        hi_p = [min(1.0, r / denom + margin) for r in todo]
+        s = src.agg(F.approx_percentile("x", F.array(*[F.lit(v) for v in lo_p]), accuracy).alias("lo"),
+                    F.approx_percentile("x", F.array(*[F.lit(v) for v in hi_p]), accuracy).alias("hi")).first()
+        lo, hi = list(s["lo"]), list(s["hi"])
+        spec = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("rank"), F.lit(lo[i]).alias("lo"),
+                                  F.lit(hi[i]).alias("hi")) for i, r in enumerate(todo)])
+        below = src.agg(*[F.count_if(F.col("x") < F.lit(lo[i])).alias(f"b{i}") for i in range(len(todo))]).first()
+        before = F.array(*[F.lit(int(below[f"b{i}"])) for i in range(len(todo))])
+        cand = (src.select("x", F.explode(F.filter(spec, lambda b: (F.col("x") >= b["lo"]) & (F.col("x") <= b["hi"])))
+                           .alias("b"))
+                .groupBy(F.col("b.i").alias("i"), F.col("b.rank").alias("rank"), "x")
+                .agg(F.count(F.lit(1)).alias("c")))
+        w = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        hits = (cand.withColumn("before", F.element_at(before, F.col("i") + 1))
+                .withColumn("cum", F.col("before") + F.sum("c").over(w))
+                .where((F.col("rank") >= F.col("before")) & (F.col("cum") > F.col("rank")))
+                .groupBy("i", "rank").agg(F.min("x").alias("v"))
+                .collect())  # at most one row per requested rank
+        for h in hits:
+            out[h["rank"]] = h["v"]
+        todo = [r for r in todo if r not in out]
+        if not todo:
+            return out
+        margin *= 8
+    # Not expected (the sketch's rank error is bounded): exact percentile for what is left.
+    exact = src.agg(F.percentile("x", F.array(*[F.lit(r / denom) for r in todo])).alias("q")).first()["q"]
+    out.update(dict(zip(todo, exact)))
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 20000) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int | None = None) -> list[float | None]:
     """Linear-interpolated quantiles of the non-null values of ``col`` (returns small Python values)."""
     src = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
     s = src.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")).first()
@@ -108,7 +125,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int =
     return out
 
 
-def cumulative_by_key(df: DataFrame, key: str, measures: dict[str, F.Column], partitions: int = 64,
+def cumulative_by_key(df: DataFrame, key: str, measures: dict[str, F.Column], partitions: int | None = None,
                       group: str | None = None) -> DataFrame:
     """Per distinct (``group``,) ``key`` ascending: each measure summed, plus ``<name>_before`` =
     sum over smaller keys (within the group).
@@ -123,6 +140,8 @@ def cumulative_by_key(df: DataFrame, key: str, measures: dict[str, F.Column], pa
     """
     names = list(measures)
     gcols = [group] if group else []
+    if partitions is None:
+        partitions = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     per_key = (df.where(F.col(key).isNotNull()).groupBy(*gcols, key)
                .agg(*[F.sum(c).alias(n) for n, c in measures.items()])
                .repartitionByRange(partitions, *gcols, key)
@@ -142,7 +161,7 @@ def cumulative_by_key(df: DataFrame, key: str, measures: dict[str, F.Column], pa
             .select(*gcols, key, *names, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in names]))
 
 
-def average_pct_rank(df: DataFrame, col: str, n: int, partitions: int = 64) -> DataFrame:
+def average_pct_rank(df: DataFrame, col: str, n: int, partitions: int | None = None) -> DataFrame:
     """(value, pct) for every distinct value: average rank of ties / n (pandas ``rank(pct=True)``)."""
     c = cumulative_by_key(df, col, {"_c": F.lit(1)}, partitions)
     avg_rank = F.col("_c_before") + (F.col("_c") + 1) / 2.0
