@@ -87,12 +87,11 @@ def _pb(s, d):
 
 def _view(s, d, model: bool = False):
     w = wh(s, d)
-    return CU.customer_view(w.mart_customer_metrics, w.rfm_segments,
-                            w.churn_predictions if model else w.churn_predictions_baseline)
+    return w.customer_profile_model if model else w.customer_profile
 
 
 def _rec(s, d):
-    return RT.playbook_recommendation(_view(s, d), RT.playbooks(s))
+    return wh(s, d).playbook_recommendations
 
 
 QUERIES.update({
@@ -137,7 +136,7 @@ QUERIES.update({
     "velocity_summary": lambda s, d: MK.velocity_summary(wh(s, d).mart_marketing_funnel),
     "segment_performance": lambda s, d: MK.segment_performance(wh(s, d).mart_marketing_funnel),
     "lead_list": lambda s, d: MK.lead_list(wh(s, d).mart_marketing_funnel, page=1, page_size=30),
-    "playbook_recommendation": _rec,
+    "playbook_recommendation": lambda s, d: RT.playbook_recommendation(_view(s, d), RT.playbooks(s)),
     "campaign_roi": lambda s, d: RT.campaign_roi(_rec(s, d)),
     "pool_economics": lambda s, d: RT.pool_economics(RT.pools_from_recommendations(_rec(s, d))),
     "budget_allocation": lambda s, d: RT.budget_allocation(RT.pools_from_recommendations(_rec(s, d)), BUDGET),

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .. import session as sess
 from ..operators import churn as C
+from ..operators import customers as CU
+from ..operators import retention as RT
 from ..operators import intermediate as I
 from ..operators import marts as M
 from ..operators import rfm as RFM
@@ -173,9 +175,11 @@ class Warehouse:
     # ------------------------------------------------------------ marts (written)
     @property
     def fact_orders(self) -> DataFrame:
+        # Sorted by purchase time inside each file (no extra shuffle): parquet row-group
+        # min/max statistics then let date-range reports skip most of the table.
         return self.table("marts/fact_orders", lambda: M.fact_orders(
             self.stg_orders, self.stg_customers, self.int_order_items_aggregated,
-            self.stg_order_payments, self.int_order_reviews_aggregated))
+            self.stg_order_payments, self.int_order_reviews_aggregated).sortWithinPartitions("purchased_at"))
 
     @property
     def dim_customers(self) -> DataFrame:
@@ -250,3 +254,23 @@ class Warehouse:
             if not sess.path_exists(self.spark, f"{d}/{fname}/_SUCCESS"):
                 write_raw_csv(self.raw(t), f"{d}/{fname}")
         return d
+
+    # ------------------------------------------------------------ customer profile (written)
+    @property
+    def customer_profile(self) -> DataFrame:
+        """mart ⟕ RFM ⟕ baseline scores, joined once and written: the customer reports scan it
+        instead of re-shuffling three customer-grain tables per report."""
+        return self.table("marts/customer_profile", lambda: CU.customer_view(
+            self.mart_customer_metrics, self.rfm_segments, self.churn_predictions_baseline))
+
+    @property
+    def customer_profile_model(self) -> DataFrame:
+        """The same profile with the churn model's scores."""
+        return self.table("marts/customer_profile_model", lambda: CU.customer_view(
+            self.mart_customer_metrics, self.rfm_segments, self.churn_predictions))
+
+    @property
+    def playbook_recommendations(self) -> DataFrame:
+        """Per-customer playbook recommendation (baseline scores), written once for the economics reports."""
+        return self.table("marts/playbook_recommendations", lambda: RT.playbook_recommendation(
+            self.customer_profile, RT.playbooks(self.spark)))
