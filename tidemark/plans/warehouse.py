@@ -15,6 +15,8 @@ so a changed input or changed code never reads a stale table.
 from __future__ import annotations
 
 import hashlib
+import threading
+from concurrent.futures import ThreadPoolExecutor
 import os
 import uuid
 from functools import cached_property
@@ -67,6 +69,8 @@ class Warehouse:
         self._raw_source = raw_source
         self.root = root.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
+        self._locks: dict[str, threading.Lock] = {}
+        self._guard = threading.Lock()
 
     # ------------------------------------------------------------ plumbing
     @classmethod
@@ -88,14 +92,46 @@ class Warehouse:
         return wh
 
     def table(self, rel: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Write ``build()`` once to ``root/rel`` and return it read back from parquet."""
-        if rel not in self._tables:
-            path = f"{self.root}/{rel}"
-            if not sess.path_exists(self.spark, f"{path}/_SUCCESS"):
-                build().write.mode("overwrite").parquet(path)
-            self._tables[rel] = self.spark.read.parquet(path)
+        """Write ``build()`` once to ``root/rel`` and return it read back from parquet.
+
+        A per-table lock makes concurrent builds (see :meth:`build`) write each table once.
+        """
+        if rel in self._tables:
+            return self._tables[rel]
+        with self._guard:
+            lock = self._locks.setdefault(rel, threading.Lock())
+        with lock:
+            if rel not in self._tables:
+                path = f"{self.root}/{rel}"
+                if not sess.path_exists(self.spark, f"{path}/_SUCCESS"):
+                    build().write.mode("overwrite").parquet(path)
+                self._tables[rel] = self.spark.read.parquet(path)
         return self._tables[rel]
 
+    # Tables in dependency levels: every table of a level only reads tables of earlier levels.
+    BUILD_LEVELS = [
+        ["raw_customers", "raw_orders", "raw_order_items", "raw_order_payments", "raw_order_reviews",
+         "raw_products", "raw_sellers", "raw_geolocation", "raw_category_translations", "raw_mql",
+         "raw_closed_deals"],
+        ["fact_orders", "mart_product_metrics", "mart_seller_metrics"],
+        ["dim_customers", "mart_customer_metrics", "mart_marketing_funnel"],
+        ["rfm_segments"],
+        ["churn_predictions_baseline"],
+        ["customer_profile"],
+        ["playbook_recommendations"],
+    ]
+
+    def build(self, parallelism: int = 4) -> None:
+        """Write all warehouse tables, level by level, submitting independent writes concurrently.
+
+        Independent Spark jobs from several threads share the executors, so
+        many small writes (dimension tables, small marts) no longer run one
+        after another on a mostly idle cluster.
+        """
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            for level in self.BUILD_LEVELS:
+                list(pool.map(self.model, level))
+
     @cached_property
     def _raw_plans(self) -> dict[str, DataFrame]:
         return self._raw_source()
