@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
@@ -54,3 +55,27 @@ def fmt_fixed(col: Column, decimals: int) -> Column:
 def fmt_thousands(col: Column, decimals: int = 2) -> Column:
     """``1,234.56`` style text of the rounded value."""
     return F.format_number(rnd_double(col, decimals), decimals)
+
+
+def grand_total(col: str) -> Column:
+    """Sum of ``col`` over all rows of an *aggregated* result (a handful of groups), as a window.
+
+    Used for shares of a total; never applied to row-level data.
+    """
+    return F.sum(col).over(Window.partitionBy())
+
+
+def combine_single_rows(spark: SparkSession, rows: list[DataFrame]) -> DataFrame:
+    """Side-by-side combination of one-row aggregates from different tables.
+
+    Each input is a global aggregate (exactly one row); its values are read
+    back like a scalar subquery and assembled into one row with the combined
+    schema.
+    """
+    fields: list[T.StructField] = []
+    values: list = []
+    for df in rows:
+        r = df.first()
+        fields += df.schema.fields
+        values += list(r) if r is not None else [None] * len(df.columns)
+    return spark.createDataFrame([tuple(values)], T.StructType(fields))

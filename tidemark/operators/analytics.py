@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, rnd_double
+from ..functions.core import count_if, grand_total, rnd_double
 
 INTERVALS = {"month", "week", "day"}
 
 
 def segments_overview(rfm_segments: DataFrame) -> DataFrame:
     """Per RFM segment: count, % of base, total/avg spend, avg recency, avg frequency; by spend desc."""
-    total = rfm_segments.agg(F.count(F.lit(1)).alias("_total"))
     return (rfm_segments.groupBy("segment")
             .agg(F.count(F.lit(1)).alias("customer_count"),
                  F.coalesce(F.sum("monetary"), F.lit(0)).alias("_spend"),
                  F.avg(F.col("monetary").cast("double")).alias("_avg_spend"),
                  F.avg("recency_days").alias("_avg_recency"),
                  F.avg("frequency").alias("_avg_frequency"))
-            .crossJoin(F.broadcast(total))
+            .withColumn("_total", grand_total("customer_count"))
             .select("segment", "customer_count",
                     rnd_double(F.col("customer_count") / F.col("_total") * 100.0, 2).alias("percentage"),
                     rnd_double(F.col("_spend"), 2).alias("total_spend"),
@@ -103,21 +102,25 @@ def cohort_matrix(retention: DataFrame) -> DataFrame:
 VIP = "Priority 1: Immediate VIP Retention"
 
 
-def portfolio_overview(mart: DataFrame, pred: DataFrame) -> DataFrame:
-    """Portfolio KPIs: two one-row aggregates joined side by side (1 x 1)."""
-    cust = mart.agg(F.count(F.lit(1)).alias("total_customers"),
-                    F.coalesce(F.sum("lifetime_orders"), F.lit(0)).cast("long").alias("total_orders"),
-                    F.coalesce(F.sum("lifetime_spend"), F.lit(0)).alias("_rev"),
-                    F.coalesce(F.avg(F.col("avg_order_value").cast("double")), F.lit(0.0)).alias("_aov"),
-                    (F.coalesce(F.avg(F.when(F.col("is_repeat_buyer"), 1.0).otherwise(0.0)), F.lit(0.0)) * 100.0)
-                    .alias("_repeat"))
-    churn = pred.agg(F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)).alias("_rar"),
-                     F.coalesce(F.avg("churn_probability"), F.lit(0.0)).alias("_p"),
-                     count_if(F.col("risk_tier") == "High").alias("high_risk_customers_count"),
-                     F.coalesce(F.sum(F.when(F.col("retention_priority") == VIP, F.col("revenue_at_risk"))),
-                                F.lit(0.0)).alias("_vip"))
+def portfolio_overview(profile: DataFrame) -> DataFrame:
+    """Portfolio KPIs in one aggregation over the customer profile (mart ⟕ scores).
+
+    Score measures ignore customers without a score (NULL), as an aggregate
+    over the prediction table alone would.
+    """
+    agg = profile.agg(
+        F.count(F.lit(1)).alias("total_customers"),
+        F.coalesce(F.sum("lifetime_orders"), F.lit(0)).cast("long").alias("total_orders"),
+        F.coalesce(F.sum("lifetime_spend"), F.lit(0)).alias("_rev"),
+        F.coalesce(F.avg(F.col("avg_order_value").cast("double")), F.lit(0.0)).alias("_aov"),
+        (F.coalesce(F.avg(F.when(F.col("is_repeat_buyer"), 1.0).otherwise(0.0)), F.lit(0.0)) * 100.0).alias("_repeat"),
+        F.coalesce(F.sum("revenue_at_risk"), F.lit(0)).alias("_rar"),
+        F.coalesce(F.avg("churn_probability"), F.lit(0.0)).alias("_p"),
+        count_if(F.col("risk_tier") == "High").alias("high_risk_customers_count"),
+        F.coalesce(F.sum(F.when(F.col("retention_priority") == VIP, F.col("revenue_at_risk"))), F.lit(0))
+        .alias("_vip"))
     rev, rar = rnd_double(F.col("_rev"), 2), rnd_double(F.col("_rar"), 2)
-    return (cust.crossJoin(churn)
+    return (agg
             .select("total_customers", "total_orders", rev.alias("total_revenue"),
                     rnd_double(F.col("_aov"), 2).alias("avg_order_value"),
                     rnd_double(F.col("_repeat"), 2).alias("repeat_buyer_rate"),
@@ -142,14 +145,13 @@ def rar_summary(pred: DataFrame) -> DataFrame:
 
 
 def rar_by_tier(pred: DataFrame) -> DataFrame:
-    total = pred.agg(F.count(F.lit(1)).alias("_n"))
     order = F.when(F.col("risk_tier") == "High", 1).when(F.col("risk_tier") == "Medium", 2) \
         .when(F.col("risk_tier") == "Low", 3).otherwise(4)
     return (pred.groupBy("risk_tier")
             .agg(F.count(F.lit(1)).alias("customer_count"),
                  F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)).alias("_rar"),
                  F.coalesce(F.avg("churn_probability"), F.lit(0.0)).alias("_p"))
-            .crossJoin(F.broadcast(total))
+            .withColumn("_n", grand_total("customer_count"))
             .select("risk_tier", "customer_count",
                     rnd_double(F.col("customer_count") / F.col("_n") * 100.0, 2).alias("percentage"),
                     rnd_double(F.col("_rar"), 2).alias("total_revenue_at_risk"),
@@ -158,11 +160,10 @@ def rar_by_tier(pred: DataFrame) -> DataFrame:
 
 
 def rar_by_priority(pred: DataFrame) -> DataFrame:
-    total = pred.agg(F.count(F.lit(1)).alias("_n"))
     return (pred.groupBy("retention_priority")
             .agg(F.count(F.lit(1)).alias("customer_count"),
                  F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)).alias("_rar"))
-            .crossJoin(F.broadcast(total))
+            .withColumn("_n", grand_total("customer_count"))
             .select("retention_priority", "customer_count",
                     rnd_double(F.col("customer_count") / F.col("_n") * 100.0, 2).alias("percentage"),
                     rnd_double(F.col("_rar"), 2).alias("total_revenue_at_risk"))

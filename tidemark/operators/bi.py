@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, pct, rnd_double
+from ..functions.core import combine_single_rows, count_if, pct, rnd_double
 
 VIP = "Priority 1: Immediate VIP Retention"
 
@@ -27,7 +27,7 @@ def bi_measures(fact: DataFrame, dim: DataFrame, mart: DataFrame, pred: DataFram
                      count_if(F.col("risk_tier") == "High").alias("high_risk_customers"),
                      F.count(F.lit(1)).alias("_scored"),
                      rnd_double(F.avg("churn_probability"), 4).alias("avg_churn_probability"))
-    return (sales.crossJoin(cust).crossJoin(churn)
+    return (combine_single_rows(fact.sparkSession, [sales, cust, churn])
             .select("gmv", "total_orders",
                     rnd_double(F.col("gmv") / F.nullif(F.col("total_orders").cast("double"), F.lit(0.0)), 2)
                     .alias("avg_order_value"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, pct, rnd_double
+from ..functions.core import count_if, grand_total, pct, rnd_double
 from . import paging
 
 
@@ -39,7 +39,6 @@ def funnel_overview(funnel: DataFrame) -> DataFrame:
 
 
 def channel_attribution(funnel: DataFrame) -> DataFrame:
-    total = funnel.agg(F.count(F.lit(1)).alias("_leads"))
     return (funnel.groupBy("origin")
             .agg(F.count(F.lit(1)).cast("int").alias("leads_count"),
                  count_if(_won()).cast("int").alias("closed_deals_count"),
@@ -47,7 +46,7 @@ def channel_attribution(funnel: DataFrame) -> DataFrame:
                  _avg_days().alias("avg_days_to_close"),
                  _money("declared_monthly_revenue").alias("total_declared_monthly_revenue"),
                  _money("actual_marketplace_revenue").alias("total_actual_marketplace_revenue"))
-            .crossJoin(F.broadcast(total))
+            .withColumn("_leads", grand_total("leads_count"))
             .withColumn("share_of_leads_percent", pct(F.col("leads_count"), F.col("_leads")))
             .drop("_leads")
             .orderBy(F.desc("closed_deals_count"), F.desc("leads_count"), "origin"))
@@ -68,12 +67,17 @@ def velocity_by_segment(funnel: DataFrame) -> DataFrame:
 
 
 def velocity_summary(funnel: DataFrame) -> DataFrame:
-    """Overall average plus fastest / slowest segment (ties by name)."""
-    seg = velocity_by_segment(funnel)
-    key = F.struct("avg_days_to_close", "business_segment")
-    ends = seg.agg(F.min_by("business_segment", key).alias("fastest_segment"),
-                   F.max_by("business_segment", F.struct("avg_days_to_close", F.col("business_segment"))).alias("_slow"))
-    return velocity_overall(funnel).crossJoin(ends).withColumnRenamed("_slow", "slowest_segment")
+    """Overall average plus fastest / slowest segment (ties by name), in two aggregation levels:
+    per segment (days summed and counted), then over those few rows."""
+    per = (funnel.where(F.col("is_won")).groupBy("business_segment")
+           .agg(F.sum("days_to_close").alias("_s"), F.count("days_to_close").alias("_c")))
+    seg_avg = rnd_double(F.coalesce(F.col("_s") / F.nullif(F.col("_c"), F.lit(0)), F.lit(0.0)), 1)
+    key = F.when(F.col("business_segment").isNotNull(), F.struct(seg_avg.alias("a"), F.col("business_segment")))
+    return per.agg(
+        rnd_double(F.coalesce(F.sum("_s") / F.nullif(F.sum("_c"), F.lit(0)), F.lit(0.0)), 1)
+        .alias("overall_avg_days_to_close"),
+        F.min_by("business_segment", key).alias("fastest_segment"),
+        F.max_by("business_segment", key).alias("slowest_segment"))
 
 
 def velocity_by_lead_type(funnel: DataFrame) -> DataFrame:

@@ -52,13 +52,13 @@ def mart_customer_metrics(customer_orders: DataFrame, locations: DataFrame, fulf
                           reviews: DataFrame, orders: DataFrame) -> DataFrame:
     """30-column customer mart.
 
-    Recency is measured against the newest purchase in the delivered data, a
-    one-row global aggregate attached by a broadcast nested-loop join (one
-    row: the size is fixed, not data dependent).
+    Recency is measured against the newest purchase in the delivered data:
+    a global maximum read once like a scalar subquery and used as a literal.
     """
-    bench = orders.agg(F.max("purchased_at").alias("max_dataset_timestamp"))
+    newest = orders.agg(F.max("purchased_at").cast("string").alias("m")).first()["m"]
     z = F.lit(0)
-    j = customer_orders.crossJoin(F.broadcast(bench)).join(locations, "customer_unique_id")
+    j = (customer_orders.withColumn("max_dataset_timestamp", F.lit(newest).cast("timestamp_ntz"))
+         .join(locations, "customer_unique_id"))
     if fulfillment is not None:  # separate models; None when customer_orders already carries them
         j = j.join(fulfillment, "customer_unique_id", "left")
     if reviews is not None:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.core import rnd, rnd_double
+from ..functions.core import grand_total, rnd, rnd_double
 from ..functions.quantiles import average_pct_rank, exact_quantiles
 
 QUINTILE_PROBS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
@@ -93,14 +93,13 @@ def rfm_scores(mart_customer_metrics: DataFrame) -> DataFrame:
 
 def rfm_summary(rfm_segments: DataFrame) -> DataFrame:
     """Per segment: customers, mean recency / frequency / monetary / score, % of base (1 dp)."""
-    total = rfm_segments.agg(F.count(F.lit(1)).alias("_total"))
     return (rfm_segments.groupBy("segment")
             .agg(F.count(F.lit(1)).alias("customers"),
                  F.avg("recency_days").alias("avg_recency_days"),
                  F.avg("frequency").alias("avg_frequency"),
                  F.avg(F.col("monetary").cast("double")).alias("avg_monetary"),
                  F.avg("rfm_score").alias("avg_rfm_score"))
-            .crossJoin(F.broadcast(total))
+            .withColumn("_total", grand_total("customers"))
             .select("segment", "customers",
                     rnd_double(F.col("avg_recency_days"), 2).alias("avg_recency_days"),
                     rnd_double(F.col("avg_frequency"), 2).alias("avg_frequency"),

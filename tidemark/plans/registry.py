@@ -71,10 +71,6 @@ SCENARIOS = [("fix_delivery", {"late_order_ratio": 0.0, "avg_delivery_delay_days
              ("second_order", {"lifetime_orders": 2.0})]
 
 
-def _scenarios(spark):
-    return spark.createDataFrame(SCENARIOS, "scenario_id string, adjustments map<string,double>")
-
-
 def _baseline_scorer():
     return SC.formula_scorer(lambda: 0.8 * F.col("recency_days").cast("double")
                              / (F.col("recency_days").cast("double") + 365.0)
@@ -104,9 +100,8 @@ QUERIES.update({
     "churn_priority_summary": lambda s, d: C.priority_summary(_pb(s, d)),
     "churn_exec_summary": lambda s, d: C.exec_summary(_pb(s, d)),
     "churn_tier_summary_model": lambda s, d: C.tier_summary(wh(s, d).churn_predictions),
-    "portfolio_overview": lambda s, d: A.portfolio_overview(wh(s, d).mart_customer_metrics, _pb(s, d)),
-    "portfolio_overview_model": lambda s, d: A.portfolio_overview(wh(s, d).mart_customer_metrics,
-                                                                  wh(s, d).churn_predictions),
+    "portfolio_overview": lambda s, d: A.portfolio_overview(_view(s, d)),
+    "portfolio_overview_model": lambda s, d: A.portfolio_overview(_view(s, d, model=True)),
     "rar_summary": lambda s, d: A.rar_summary(_pb(s, d)),
     "rar_by_tier": lambda s, d: A.rar_by_tier(_pb(s, d)),
     "rar_by_priority": lambda s, d: A.rar_by_priority(_pb(s, d)),
@@ -150,7 +145,7 @@ QUERIES.update({
         SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments)),
         SC.model_scorer(wh(s, d).churn_model)),
     "whatif_scenarios": lambda s, d: SC.whatif_scenarios(
-        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments), _scenarios(s), _baseline_scorer()),
+        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments), SCENARIOS, _baseline_scorer()),
     "raw_delivered_orders": lambda s, d: DQ.raw_delivered_orders(wh(s, d).raw("orders"), wh(s, d).raw("customers")),
     "raw_order_revenue": lambda s, d: DQ.raw_order_revenue(wh(s, d).raw("order_items")),
     "raw_ingestion_summary": lambda s, d: DQ.raw_ingestion_summary(
