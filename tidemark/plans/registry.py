@@ -226,3 +226,20 @@ QUERIES.update({
     "funded_customers_tight": lambda s, d: RT.funded_customers(
         _rec(s, d), RT.budget_allocation(RT.pools_from_recommendations(_rec(s, d)), TIGHT_BUDGET)),
 })
+
+
+def _stream_ingest(s, d, table: str):
+    """Raw table loaded by the Structured Streaming CSV-drop ingest (exactly once per file)."""
+    from ..sources.schemas import SOURCE_FILES
+    from ..streaming.ingest import ingest_drops
+    w = wh(s, d)
+    drops = f"{w.csv_dir}/{SOURCE_FILES[table]}"
+    target, ckpt = f"{w.root}/stream/{table}", f"{w.root}/stream/_checkpoints/{table}"
+    ingest_drops(s, table, drops, target, ckpt)
+    return s.read.parquet(target)
+
+
+QUERIES.update({
+    "stream_ingest_orders": lambda s, d: _stream_ingest(s, d, "orders"),
+    "stream_ingest_order_reviews": lambda s, d: _stream_ingest(s, d, "order_reviews"),
+})
