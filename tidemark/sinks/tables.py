@@ -87,6 +87,6 @@ def upsert_predictions(spark: SparkSession, path: str, pred: DataFrame) -> DataF
     """Keyed prediction store (probability at 4 dp, money at 2 dp), ``predicted_at`` set now."""
     from ..functions.core import rnd
     rounded = (pred.withColumn("churn_probability", rnd(F.col("churn_probability"), 4).cast("double"))
-               .withColumn("monetary_value", rnd(F.col("monetary_value"), 2).cast("double"))
-               .withColumn("revenue_at_risk", rnd(F.col("revenue_at_risk"), 2).cast("double")))
+               .withColumn("monetary_value", rnd(F.col("monetary_value"), 2).cast("decimal(12,2)"))
+               .withColumn("revenue_at_risk", rnd(F.col("revenue_at_risk"), 2).cast("decimal(12,2)")))
     return upsert(spark, path, rounded, ["customer_unique_id"], stamp_col="predicted_at")
