@@ -96,3 +96,14 @@ def test_campaign_csv_export(spark, tmp_path):
     SK.write_csv(exp, str(tmp_path / "campaign"))
     back = spark.read.option("header", True).csv(str(tmp_path / "campaign"))
     assert back.count() == exp.count() and back.columns == exp.columns
+
+
+def test_ingest_job_reload_and_append_check(spark, tmp_path):
+    from tidemark.sources.ingest import run_ingest
+    w = wh(spark, SF_SMALL)
+    target = str(tmp_path / "raw")
+    s1 = {r.table_name: r.row_count for r in run_ingest(spark, [w.csv_dir], target, "marketing").collect()}
+    assert s1 == {"raw_marketing.mql": w.raw("mql").count(), "raw_marketing.closed_deals": w.raw("closed_deals").count()}
+    run_ingest(spark, [w.csv_dir], target, "marketing", truncate=True)  # reload: same counts
+    with pytest.raises(ValueError):
+        run_ingest(spark, [w.csv_dir], target, "marketing", truncate=False)  # append twice: duplicate keys

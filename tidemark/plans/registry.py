@@ -243,3 +243,15 @@ QUERIES.update({
     "stream_ingest_orders": lambda s, d: _stream_ingest(s, d, "orders"),
     "stream_ingest_order_reviews": lambda s, d: _stream_ingest(s, d, "order_reviews"),
 })
+
+
+def _ingest(s, d, module: str):
+    from ..sources.ingest import run_ingest
+    w = wh(s, d)
+    return run_ingest(s, [w.csv_dir], f"{w.root}/ingest/{module}", module=module, truncate=True)
+
+
+QUERIES.update({
+    "ingest_all": lambda s, d: _ingest(s, d, "all"),
+    "ingest_marketing": lambda s, d: _ingest(s, d, "marketing"),
+})
