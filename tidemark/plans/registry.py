@@ -255,3 +255,11 @@ QUERIES.update({
     "ingest_all": lambda s, d: _ingest(s, d, "all"),
     "ingest_marketing": lambda s, d: _ingest(s, d, "marketing"),
 })
+
+
+QUERIES.update({
+    # one row per (customer, fired rule): the drivers of batch_score, flat
+    "risk_drivers": lambda s, d: SC.batch_score(SC.feature_defaults(
+        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments)), _baseline_scorer())
+    .select("customer_unique_id", F.inline("top_feature_contributions")),
+})
