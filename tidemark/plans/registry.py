@@ -153,7 +153,8 @@ QUERIES.update({
         {n: ("raw_marketing" if n in MARKETING_TABLES else "raw") for n in EXPECTED_ROW_COUNTS}),
     "table_health": lambda s, d: DQ.table_health(
         wh(s, d).raw("orders"), wh(s, d).raw("customers"), wh(s, d).mart_customer_metrics, wh(s, d).fact_orders,
-        wh(s, d).mart_marketing_funnel, wh(s, d).rfm_segments, _pb(s, d)),
+        wh(s, d).mart_marketing_funnel, wh(s, d).rfm_segments, _pb(s, d),
+        model_found=wh(s, d).has_churn_model),
     "bi_measures": lambda s, d: BI.bi_measures(wh(s, d).fact_orders, wh(s, d).dim_customers,
                                                wh(s, d).mart_customer_metrics, _pb(s, d)),
     "bi_late_by_state": lambda s, d: BI.bi_late_by_state(wh(s, d).fact_orders, wh(s, d).dim_customers),

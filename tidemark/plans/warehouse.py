@@ -259,6 +259,11 @@ class Warehouse:
             C.save_model(self.spark, model, path)
         return C.load_model(self.spark, path)
 
+    @property
+    def has_churn_model(self) -> bool:
+        """Whether a model artifact is stored (without training one)."""
+        return sess.path_exists(self.spark, f"{self.root}/ml/churn_model/metadata/_SUCCESS")
+
     @property
     def churn_model_path(self) -> str:
         self.churn_model  # noqa: B018 — make sure it exists
