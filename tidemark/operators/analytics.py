@@ -72,7 +72,9 @@ def cohort_retention(dim_customers: DataFrame, fact_orders: DataFrame, max_offse
     count, not a distinct aggregation over a wide key.
     """
     c = _cohorts(dim_customers)
-    sizes = c.groupBy("cohort_ts").agg(F.count_distinct("customer_unique_id").alias("cohort_size"))
+    # One row per customer in the dimension and per (customer, month) in ``months``:
+    # plain counts are the distinct counts, without expand stages.
+    sizes = c.groupBy("cohort_ts").agg(F.count("customer_unique_id").alias("cohort_size"))
     months = (fact_orders.where(F.col("purchased_at").isNotNull())
               .select("customer_unique_id", F.date_trunc("month", "purchased_at").alias("order_month"))
               .distinct())
@@ -82,7 +84,7 @@ def cohort_retention(dim_customers: DataFrame, fact_orders: DataFrame, max_offse
            .select("cohort_ts", "customer_unique_id", offset.alias("month_offset"))
            .where((F.col("month_offset") >= 0) & (F.col("month_offset") <= max_offset))
            .groupBy("cohort_ts", "month_offset")
-           .agg(F.count_distinct("customer_unique_id").alias("retained_customers")))
+           .agg(F.count("customer_unique_id").alias("retained_customers")))
     return (sizes.join(act, "cohort_ts")
             .select(F.date_format("cohort_ts", "yyyy-MM").alias("cohort_month"), "cohort_size", "month_offset",
                     rnd_double(F.col("retained_customers") / F.col("cohort_size") * 100.0, 2).alias("retention_rate"))

@@ -13,13 +13,13 @@ VIP = "Priority 1: Immediate VIP Retention"
 def bi_measures(fact: DataFrame, dim: DataFrame, mart: DataFrame, pred: DataFrame) -> DataFrame:
     """One row of headline measures: sales, customers, churn exposure and service quality."""
     sales = fact.agg(rnd_double(F.coalesce(F.sum("total_revenue"), F.lit(0)), 2).alias("gmv"),
-                     F.count_distinct("order_id").alias("total_orders"),
+                     F.count("order_id").alias("total_orders"),  # order_id is the fact key
                      rnd_double(F.sum("freight_revenue"), 2).alias("total_freight"),
                      count_if(F.col("is_late_delivery")).alias("late_orders"),
                      pct(count_if(F.col("is_late_delivery")), F.count(F.lit(1))).alias("late_delivery_rate"),
                      rnd_double(F.avg("avg_review_score"), 2).alias("avg_review_score"),
                      pct(count_if(F.col("has_negative_review")), F.count(F.lit(1))).alias("negative_review_share"))
-    cust = dim.agg(F.count_distinct("customer_unique_id").alias("total_customers"),
+    cust = dim.agg(F.count("customer_unique_id").alias("total_customers"),  # the dimension key
                    count_if(F.col("is_repeat_buyer")).alias("repeat_customers"))
     churn = pred.agg(rnd_double(F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)), 2).alias("revenue_at_risk"),
                      rnd_double(F.coalesce(F.sum(F.when(F.col("retention_priority") == VIP, F.col("revenue_at_risk"))),
