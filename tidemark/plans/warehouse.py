@@ -315,3 +315,20 @@ class Warehouse:
         """Per-customer playbook recommendation (baseline scores), written once for the economics reports."""
         return self.table("marts/playbook_recommendations", lambda: RT.playbook_recommendation(
             self.customer_profile, RT.playbooks(self.spark)))
+
+    # ------------------------------------------------------------ serving
+    SERVING_TABLES = ["customer_profile", "mart_product_metrics", "mart_seller_metrics", "mart_marketing_funnel",
+                      "rfm_segments", "churn_predictions_baseline", "mart_customer_metrics"]
+
+    def serve(self, tables: list[str] | None = None) -> None:
+        """Keep the report-facing customer-, product- and seller-grain tables in executor memory
+        (spilling to disk), in place of a per-process response cache. Opt-in: at full scale
+        choose tables that fit the cluster's storage memory."""
+        from pyspark import StorageLevel
+        for name in tables or self.SERVING_TABLES:
+            rel = next((r for r in self._tables if r.endswith("/" + name)), None)
+            df = self.model(name)
+            cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.count()
+            if rel:
+                self._tables[rel] = cached
