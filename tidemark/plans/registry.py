@@ -53,7 +53,6 @@ QUERIES["cohort_matrix"] = lambda s, d: A.cohort_matrix(
     A.cohort_retention(wh(s, d).dim_customers, wh(s, d).fact_orders))
 
 # ------------------------------------------------------------------ churn, scores, reports
-from ..functions import rules as _rules  # noqa: E402
 from ..operators import bi as BI  # noqa: E402
 from ..operators import catalog as CAT  # noqa: E402
 from ..operators import churn as C  # noqa: E402
