@@ -172,13 +172,10 @@ def rar_by_priority(pred: DataFrame) -> DataFrame:
             .orderBy(F.desc("total_revenue_at_risk"), "retention_priority"))
 
 
-def top_at_risk(mart: DataFrame, rfm: DataFrame, pred: DataFrame, n: int = 5) -> DataFrame:
-    """Top-n High-tier customers by revenue at risk (per-partition top-n, then merged)."""
-    return (pred.where(F.col("risk_tier") == "High")
-            .join(mart.select("customer_unique_id", "city", "state", "zip_prefix", "first_purchased_at",
-                              "latest_purchased_at", "recency_days", "customer_lifespan_days", "lifetime_orders",
-                              "is_repeat_buyer", "lifetime_spend", "avg_order_value"), "customer_unique_id")
-            .join(rfm.select("customer_unique_id", "segment"), "customer_unique_id", "left")
+def top_at_risk(profile: DataFrame, n: int = 5) -> DataFrame:
+    """Top-n High-tier customers by revenue at risk, from the customer profile (mart ⟕ RFM ⟕ scores):
+    one scan, a per-partition top-n, then a merge of n rows per partition."""
+    return (profile.where(F.col("risk_tier") == "High")
             .orderBy(F.desc("revenue_at_risk"), "customer_unique_id").limit(n)
             .select("customer_unique_id", "city", "state", "zip_prefix", "first_purchased_at",
                     "latest_purchased_at", "recency_days", "customer_lifespan_days", "lifetime_orders",

@@ -104,7 +104,7 @@ QUERIES.update({
     "rar_summary": lambda s, d: A.rar_summary(_pb(s, d)),
     "rar_by_tier": lambda s, d: A.rar_by_tier(_pb(s, d)),
     "rar_by_priority": lambda s, d: A.rar_by_priority(_pb(s, d)),
-    "top_at_risk": lambda s, d: A.top_at_risk(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments, _pb(s, d)),
+    "top_at_risk": lambda s, d: A.top_at_risk(_view(s, d)),
     "customer_list": lambda s, d: CU.customer_list(_view(s, d)),
     "customer_list_filtered": lambda s, d: CU.customer_list(
         _view(s, d), page=2, page_size=10, sort_by="revenue_at_risk", sort_order="desc",
@@ -137,14 +137,14 @@ QUERIES.update({
     "budget_summary": lambda s, d: RT.budget_summary(RT.pools_from_recommendations(_rec(s, d)), BUDGET),
     "funded_customers": lambda s, d: RT.funded_customers(
         _rec(s, d), RT.budget_allocation(RT.pools_from_recommendations(_rec(s, d)), BUDGET)),
-    "whatif_baseline": lambda s, d: SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments),
+    "whatif_baseline": lambda s, d: SC.whatif_baseline(_view(s, d)),
     "batch_score": lambda s, d: SC.batch_score(SC.feature_defaults(
-        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments)), _baseline_scorer()),
+        SC.whatif_baseline(_view(s, d))), _baseline_scorer()),
     "batch_score_model": lambda s, d: SC.batch_score(SC.feature_defaults(
-        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments)),
+        SC.whatif_baseline(_view(s, d))),
         SC.model_scorer(wh(s, d).churn_model)),
     "whatif_scenarios": lambda s, d: SC.whatif_scenarios(
-        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments), SCENARIOS, _baseline_scorer()),
+        SC.whatif_baseline(_view(s, d)), SCENARIOS, _baseline_scorer()),
     "raw_delivered_orders": lambda s, d: DQ.raw_delivered_orders(wh(s, d).raw("orders"), wh(s, d).raw("customers")),
     "raw_order_revenue": lambda s, d: DQ.raw_order_revenue(wh(s, d).raw("order_items")),
     "raw_ingestion_summary": lambda s, d: DQ.raw_ingestion_summary(
@@ -181,11 +181,8 @@ QUERIES.update({
 
 def _partial_profiles(s, d):
     """Partial feature profiles (five fields, as a caller would send), for every customer."""
-    w = wh(s, d)
-    return (w.mart_customer_metrics.join(w.rfm_segments.select("customer_unique_id", "segment"),
-                                         "customer_unique_id", "left")
-            .select("customer_unique_id", "lifetime_spend", "lifetime_orders", "avg_delivery_delay_days",
-                    "avg_review_score", "segment"))
+    return _view(s, d).select("customer_unique_id", "lifetime_spend", "lifetime_orders",
+                              "avg_delivery_delay_days", "avg_review_score", "segment")
 
 
 def _upserted(s, d, name):
@@ -260,6 +257,6 @@ QUERIES.update({
 QUERIES.update({
     # one row per (customer, fired rule): the drivers of batch_score, flat
     "risk_drivers": lambda s, d: SC.batch_score(SC.feature_defaults(
-        SC.whatif_baseline(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments)), _baseline_scorer())
+        SC.whatif_baseline(_view(s, d))), _baseline_scorer())
     .select("customer_unique_id", F.inline("top_feature_contributions")),
 })
