@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import count_if, grand_total, rnd_double
@@ -59,33 +59,29 @@ def revenue_trends(fact_orders: DataFrame, interval: str = "month", start_date:
             .orderBy("period"))
 
 
-def _cohorts(dim_customers: DataFrame) -> DataFrame:
-    return (dim_customers.where(F.col("first_purchased_at").isNotNull())
-            .select("customer_unique_id", F.date_trunc("month", "first_purchased_at").alias("cohort_ts")))
-
-
-def cohort_retention(dim_customers: DataFrame, fact_orders: DataFrame, max_offset: int = 12) -> DataFrame:
+def cohort_retention(fact_orders: DataFrame, max_offset: int = 12) -> DataFrame:
     """Monthly acquisition cohorts: size and % of the cohort buying again at month offsets 0..12.
 
-    Each (cohort, customer) contributes one row per active month after a
-    ``distinct`` on (customer, month) — the per-offset count is then a plain
-    count, not a distinct aggregation over a wide key.
+    One scan of the fact table and two shuffles: per customer, the set of
+    active months (bounded by the calendar span of the data, not by its
+    volume; built by partial aggregation, so a hot customer is merged from
+    small partial sets); the cohort is the earliest month; offsets are
+    exploded and counted per (cohort, offset). Every customer buys in their
+    first month, so the cohort size is the offset-0 count.
     """
-    c = _cohorts(dim_customers)
-    # One row per customer in the dimension and per (customer, month) in ``months``:
-    # plain counts are the distinct counts, without expand stages.
-    sizes = c.groupBy("cohort_ts").agg(F.count("customer_unique_id").alias("cohort_size"))
     months = (fact_orders.where(F.col("purchased_at").isNotNull())
-              .select("customer_unique_id", F.date_trunc("month", "purchased_at").alias("order_month"))
-              .distinct())
-    offset = ((F.year("order_month") - F.year("cohort_ts")) * 12
-              + (F.month("order_month") - F.month("cohort_ts"))).cast("int")
-    act = (c.join(months, "customer_unique_id")
-           .select("cohort_ts", "customer_unique_id", offset.alias("month_offset"))
-           .where((F.col("month_offset") >= 0) & (F.col("month_offset") <= max_offset))
-           .groupBy("cohort_ts", "month_offset")
-           .agg(F.count("customer_unique_id").alias("retained_customers")))
-    return (sizes.join(act, "cohort_ts")
+              .groupBy("customer_unique_id")
+              .agg(F.collect_set(F.date_trunc("month", "purchased_at")).alias("_months")))
+    cohort = F.array_min("_months")
+    offsets = F.transform("_months", lambda m: ((F.year(m) - F.year(cohort)) * 12
+                                                + (F.month(m) - F.month(cohort))).cast("int"))
+    counts = (months.select(cohort.alias("cohort_ts"), F.explode(offsets).alias("month_offset"))
+              .where((F.col("month_offset") >= 0) & (F.col("month_offset") <= max_offset))
+              .groupBy("cohort_ts", "month_offset").agg(F.count(F.lit(1)).alias("retained_customers")))
+    # the size comes from the already-aggregated rows of the same cohort (at most 13 per cohort)
+    size = F.max(F.when(F.col("month_offset") == 0, F.col("retained_customers"))).over(
+        Window.partitionBy("cohort_ts"))
+    return (counts.withColumn("cohort_size", size)
             .select(F.date_format("cohort_ts", "yyyy-MM").alias("cohort_month"), "cohort_size", "month_offset",
                     rnd_double(F.col("retained_customers") / F.col("cohort_size") * 100.0, 2).alias("retention_rate"))
             .orderBy("cohort_month", "month_offset"))

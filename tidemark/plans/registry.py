@@ -48,9 +48,8 @@ QUERIES["revenue_trends_week"] = lambda s, d: A.revenue_trends(wh(s, d).fact_ord
 QUERIES["revenue_trends_day"] = lambda s, d: A.revenue_trends(wh(s, d).fact_orders, "day")
 QUERIES["revenue_trends_window"] = lambda s, d: A.revenue_trends(
     wh(s, d).fact_orders, "month", start_date="1994-01-01", end_date="1996-12-31")
-QUERIES["cohort_retention"] = lambda s, d: A.cohort_retention(wh(s, d).dim_customers, wh(s, d).fact_orders)
-QUERIES["cohort_matrix"] = lambda s, d: A.cohort_matrix(
-    A.cohort_retention(wh(s, d).dim_customers, wh(s, d).fact_orders))
+QUERIES["cohort_retention"] = lambda s, d: A.cohort_retention(wh(s, d).fact_orders)
+QUERIES["cohort_matrix"] = lambda s, d: A.cohort_matrix(A.cohort_retention(wh(s, d).fact_orders))
 
 # ------------------------------------------------------------------ churn, scores, reports
 from ..operators import bi as BI  # noqa: E402
