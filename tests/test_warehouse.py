@@ -111,3 +111,22 @@ def test_rollup_equals_order_level_models(spark):
         assert sorted(fast.columns) == cols
         assert fast.select(*cols).exceptAll(ref.select(*cols)).count() == 0
         assert ref.select(*cols).exceptAll(fast.select(*cols)).count() == 0
+
+
+def test_concurrent_table_requests_write_once(spark, tmp_path):
+    """Several threads asking for the same unwritten table: one write, one shared result."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.plans.warehouse import Warehouse
+    writes = []
+    w = Warehouse(spark, lambda: {}, str(tmp_path / "wh"))
+
+    def build():
+        writes.append(1)
+        return spark.range(100).withColumnRenamed("id", "k")
+
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(lambda _: w.table("marts/t", build), range(8)))
+    assert len(writes) == 1
+    assert all(r is results[0] for r in results)
+    assert results[0].count() == 100
