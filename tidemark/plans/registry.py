@@ -259,3 +259,16 @@ QUERIES.update({
         SC.whatif_baseline(_view(s, d))), _baseline_scorer())
     .select("customer_unique_id", F.inline("top_feature_contributions")),
 })
+
+
+def _customer_keyset_page2(s, d):
+    """Page 2 of the default customer list by keyset paging: the cursor is page 1's last
+    (lifetime_spend, customer_unique_id); no rows before it are re-sorted or skipped."""
+    from ..operators import paging
+    view = _view(s, d).select(*CU.SUMMARY_COLUMNS)
+    last = CU.customer_list(_view(s, d), page=1, page_size=20).select("lifetime_spend", "customer_unique_id").tail(1)
+    after = (last[0][0], last[0][1]) if last else None
+    return paging.keyset_page(view, "lifetime_spend", False, "customer_unique_id", after, 20)
+
+
+QUERIES["customer_list_keyset"] = _customer_keyset_page2
