@@ -2,12 +2,12 @@
 
 A document's set is its distinct 3-word shingles (64-bit hashes). Documents with equal sets
 form a class and are compared through its smallest doc_id only. A class has a signature of
-POSITIONS b-bit MinHash values (16 bits each). The signature is split into CHUNKS chunks; two
-signatures that differ in at most MAX_DISTANCE = 2 * CHUNKS - 1 places have, by pigeonhole, a
-chunk with at most one difference, and so agree on one of the chunk's keys that leave one
-place out. Joining these keys therefore finds every pair under the distance threshold. For sets
-with a Jaccard similarity of 0.85, a place differs with probability 0.15, so more than 23 of 60
-do in about 2 of a million pairs. Links are confirmed on the full sets of both texts.
+b-bit MinHash values (16 bits each), split into chunks of PLACES; two signatures that differ in
+at most 2 * chunks - 1 places have, by pigeonhole, a chunk with at most one difference, and
+so agree on one of the chunk's keys that leave one place out. Joining these keys therefore finds
+every pair under that distance. The number of chunks follows from the similarity asked
+for: so many that at most MISSED of the pairs exactly at it are further apart (11 chunks at
+0.85). Links are confirmed on the full sets of both texts.
 
 No bucket is expanded into all its pairs. First every member of a bucket is compared with the
 bucket's smallest id only (in blocks; repeated over the blocks' survivors if a bucket is larger
@@ -39,14 +39,24 @@ from .storage import Scratch, table
 
 SHINGLE = 3
 SIMILARITY_PERCENT = 85
-CHUNKS, PLACES = 12, 5
-POSITIONS = CHUNKS * PLACES
-MAX_DISTANCE = 2 * CHUNKS - 1
-#: Sets that differ and are linked have 6 shingles at least (5 of 6 are under 85 %).
-MIN_LINKED = 6
+PLACES = 5
+MISSED = 1e-5
 BLOCK = 2048
 
-_MULTIPLIERS = (T.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+def chunks_for(percent: int, missed: float = MISSED) -> int:
+    """Fewest chunks for which pairs at this similarity are beyond the signature threshold that rarely."""
+    p = percent / 100
+    for chunks in range(2, 100):
+        n = chunks * PLACES
+        if sum(math.comb(n, k) * (1 - p) ** k * p ** (n - k) for k in range(2 * chunks, n + 1)) <= missed:
+            return chunks
+    raise ValueError(f"no signature of {n} places covers a similarity of {percent} %")
+
+
+def min_linked(percent: int) -> int:
+    """Shingles that the smaller of two different linked sets has at least, plus one."""
+    return math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,17 +78,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
     return (np.concatenate(sets) if sets else grams[:0]), at
 
 
-def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One row of POSITIONS 16-bit values for every set (none may be empty)."""
+def signatures(values: np.ndarray, at: np.ndarray, places: int) -> np.ndarray:
+    """One row of 16-bit values, one per place, for every set (none may be empty)."""
     low, high = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(at) - 1, POSITIONS), np.uint16)
-    for j, m in enumerate(_MULTIPLIERS):
+    out = np.empty((len(at) - 1, places), np.uint16)
+    multipliers = (T.mix(np.arange(1, places + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    for j, m in enumerate(multipliers):
         least = np.minimum.reduceat(low * m + high, at[:-1])
         out[:, j] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 
-def _feature_batches(k: int) -> Callable:
+def _feature_batches(k: int, percent: int, chunks: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in T.chunks(*T.utf8(batch.column(1))):
@@ -91,9 +102,9 @@ def _feature_batches(k: int) -> Callable:
                     full = np.concatenate((at[:-1][some], at[-1:]))
                     d1[some] = np.add.reduceat(T.mix(values ^ np.uint64(0x5851F42D4C957F2D)), full[:-1])
                     d2[some] = np.add.reduceat(T.mix(values + np.uint64(0x14057B7EF767814F)), full[:-1])
-                    rows = signatures(values, full)
+                    rows = signatures(values, full, chunks * PLACES)
                     for r, sig in zip(np.flatnonzero(some), rows):
-                        if n[r] >= MIN_LINKED:
+                        if n[r] >= min_linked(percent):
                             sigs[r] = sig.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(d1.astype(np.int64)),
@@ -101,39 +112,41 @@ def _feature_batches(k: int) -> Callable:
     return run
 
 
-def features(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, and its signature."""
+def features(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit digest of the set, and its signature if another set can be similar to it."""
     return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(
-        _feature_batches(k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
-
-
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        reps = batch.column(0)
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, PLACES).astype(np.uint64)
-        for c in range(CHUNKS):
-            for v in range(PLACES):
-                key = np.zeros(len(reps), np.uint64)
-                for p in range(PLACES):
-                    if p != v:
-                        key = (key << np.uint64(16)) | sig[:, c, p]
-                tag = c * PLACES + v
-                key = T.mix(T.mix(key) + np.uint64(tag + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int64)), pa.array(np.full(len(reps), tag, np.int8)), reps], ["key", "tag", "rep"])
+        _feature_batches(k, percent, chunks_for(percent)), "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+
+
+def _key_batches(chunks: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column(0)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, chunks, PLACES).astype(np.uint64)
+            for c in range(chunks):
+                for v in range(PLACES):
+                    key = np.zeros(len(reps), np.uint64)
+                    for p in range(PLACES):
+                        if p != v:
+                            key = (key << np.uint64(16)) | sig[:, c, p]
+                    tag = c * PLACES + v
+                    key = T.mix(T.mix(key) + np.uint64(tag + 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.astype(np.int64)), pa.array(np.full(len(reps), tag, np.int16)), reps], ["key", "tag", "rep"])
+    return run
 
 
 def _close_pairs(cols: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, first_only: bool, percent: int) -> np.ndarray:
     """Which pairs of places have fitting set sizes and signatures under the distance threshold."""
     out = np.zeros(len(i), bool)
-    n = cols["n"]
+    n, chunks = cols["n"], cols["sig"].shape[1] // PLACES
     fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
     fit &= cols["comp"][i] != cols["comp"][j]
     for part in np.array_split(np.flatnonzero(fit), max(1, fit.sum() // 20_000)):
         differ = cols["sig"][i[part]] != cols["sig"][j[part]]
-        near = differ.sum(1) <= MAX_DISTANCE
+        near = differ.sum(1) < 2 * chunks
         if first_only and near.any():  # a pair belongs to the first key it has in common
-            by_chunk = differ[near].reshape(-1, CHUNKS, PLACES)
+            by_chunk = differ[near].reshape(-1, chunks, PLACES)
             wrong = by_chunk.sum(2)
             chunk = (wrong <= 1).argmax(1)
             rows = np.arange(len(chunk))
@@ -175,7 +188,7 @@ def _pair_batches(every: bool, percent: int) -> Callable:
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         c = {f: batch.column(f).to_numpy() for f in ("key", "tag", "bi", "bj", "blk", "rep", "n", "comp")}
-        c["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+        c["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
         c["group"] = T.mix(T.mix(c["key"].astype(np.uint64)) + (c["bi"].astype(np.uint64) << np.uint64(32)) + c["bj"].astype(np.uint64))
         return c
 
@@ -254,18 +267,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, te
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", k: int = SHINGLE,
                     percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
-
-    ``percent`` may be raised; below 85 the signature threshold would no longer cover all links.
-    """
-    if percent < SIMILARITY_PERCENT:
-        raise ValueError(f"the signature threshold covers similarities of {SIMILARITY_PERCENT} % and more")
-    found = scratch.write(features(docs, text, k), "features")
+    """doc_id, n_shingles, component_id and kept of every row."""
+    found = scratch.write(features(docs, text, k, percent), "features")
     classes = scratch.write(
         found.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2")
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     signed = classes.where("sig is not null").select("rep", F.col("n_shingles").alias("n"), "sig")
-    keys = signed.select("rep", "sig").mapInArrow(_key_batches, "key long, tag byte, rep long")
+    keys = signed.select("rep", "sig").mapInArrow(_key_batches(chunks_for(percent)), "key long, tag short, rep long")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.write(keys.join(sizes, "key").join(signed, "rep"), "members")
 
