@@ -13,7 +13,10 @@ No bucket is expanded into all its pairs. First every member of a bucket is comp
 bucket's smallest id only (in blocks; repeated over the blocks' survivors if a bucket is larger
 than a block). After these links are confirmed and joined into components, the remaining pairs
 of a bucket are those between different components; they are all compared, block by block, so no link
-between different texts is lost. What one task holds is at most two blocks.
+between different texts is lost. Most of them are near misses, so these tasks also hold a bit set
+of each member's shingles: what one bit set has and the other lacks bounds the common
+shingles from above, and only pairs that may reach the similarity leave the task. What one task
+holds is at most two blocks.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing;
 with one or two words, the sequence is the only shingle; rows that repeat a doc_id are texts of
@@ -136,6 +139,32 @@ def _key_batches(chunks: int) -> Callable:
     return run
 
 
+#: Bits of a bit set per shingle, before rounding up to a power of two.
+SET_BITS = 8
+
+
+def bit_set(values: np.ndarray) -> np.ndarray:
+    """The values' hashes as a bit set of a power of two of bits, as 64-bit words."""
+    bits = max(512, 1 << (SET_BITS * len(values) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(T.mix(values) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def _half(words: np.ndarray) -> np.ndarray:
+    """The same set with half the bits."""
+    return words[:len(words) // 2] | words[len(words) // 2:]
+
+
+def most_common(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> int:
+    """At least the number of common shingles of two sets with these bit sets and sizes."""
+    while len(a) > len(b):
+        a = _half(a)
+    while len(b) > len(a):
+        b = _half(b)
+    return min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+
+
 def _close_pairs(cols: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, first_only: bool, percent: int) -> np.ndarray:
     """Which pairs of places have fitting set sizes and signatures under the distance threshold."""
     out = np.zeros(len(i), bool)
@@ -152,6 +181,10 @@ def _close_pairs(cols: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, firs
             rows = np.arange(len(chunk))
             place = np.where(wrong[rows, chunk] == 0, 0, by_chunk[rows, chunk].argmax(1))
             near[near] = chunk * PLACES + place == cols["tag"][i[part[near]]]
+            for x in np.flatnonzero(near):
+                a, b = i[part[x]], j[part[x]]
+                both = most_common(cols["bits"][a], cols["bits"][b], n[a], n[b])
+                near[x] = 100 * both >= percent * (n[a] + n[b] - both)
         out[part] = near
     return out
 
@@ -188,6 +221,9 @@ def _pair_batches(every: bool, percent: int) -> Callable:
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         c = {f: batch.column(f).to_numpy() for f in ("key", "tag", "bi", "bj", "blk", "rep", "n", "comp")}
+        if every:
+            c["bits"] = np.empty(batch.num_rows, object)
+            c["bits"][:] = [np.frombuffer(x, np.uint64) for x in batch.column("bits").to_pylist()]
         c["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
         c["group"] = T.mix(T.mix(c["key"].astype(np.uint64)) + (c["bi"].astype(np.uint64) << np.uint64(32)) + c["bj"].astype(np.uint64))
         return c
@@ -220,7 +256,7 @@ def candidate_pairs(members: DataFrame, every: bool, percent: int) -> DataFrame:
     else:
         m = m.withColumns({"bi": F.col("blk"), "bj": F.col("blk")})
     dealt = m.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-    return dealt.select("key", "tag", "bi", "bj", "blk", "rep", "n", "comp", "sig") \
+    return dealt.select("key", "tag", "bi", "bj", "blk", "rep", "n", "comp", "sig", *["bits"] * every) \
         .mapInArrow(_pair_batches(every, percent), "a long, b long").distinct()
 
 
@@ -249,20 +285,26 @@ def _confirm_batches(percent: int) -> Callable:
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets, read from the texts again, are similar enough."""
-    pairs = scratch.write(pairs, f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _bit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = [bit_set(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), T.binary_array(bits)], ["doc_id", "bits"])
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, text: str, k: int) -> DataFrame:
+    """doc_id and full shingle set of the documents in ``ids`` (column id), read from their texts again."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(ids, F.xxhash64("id")))
     sets = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t"),
                        F.xxhash64(docs["doc_id"].cast("long")).alias("h")) \
         .mapInArrow(_set_batches(bits, k), "doc_id long, shingles binary").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = scratch.write(sets, f"{name}-sets")
+    return scratch.write(sets, name)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a") \
         .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = scratch.write(both.select("a", "b", "x", "y").mapInArrow(_confirm_batches(percent), "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-pairs")
-    return links
+    return scratch.write(both.select("a", "b", "x", "y").mapInArrow(_confirm_batches(percent), "a long, b long"), name)
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", k: int = SHINGLE,
@@ -287,15 +329,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", k: in
             m = m.groupBy("key", "tag", "comp").agg(F.min_by(F.struct("rep", "n", "sig"), "rep").alias("r")) \
                 .select("key", "tag", "comp", "r.*")
             m = m.join(m.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key")
-        more = confirmed(candidate_pairs(m, False, percent), docs, scratch, f"star{step}", text, k, percent)
+        pairs = scratch.write(candidate_pairs(m, False, percent), "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        more = confirmed(pairs, sets_of(docs, ids, scratch, "sets", text, k), scratch, f"links{step}", percent)
+        scratch.drop("pairs", "sets")
         links = more if links is None else links.unionByName(more)
         labels = components(links, scratch, f"labels{step}")
     mixed = _labelled(members, labels)
     open_keys = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = candidate_pairs(mixed.join(open_keys, "key", "left_semi"), True, percent)
-    links = links.unionByName(confirmed(rest, docs, scratch, "rest", text, k, percent))
-    labels = components(links, scratch, "labels")
+    rest = scratch.write(mixed.join(open_keys, "key", "left_semi"), "open")
     scratch.drop("members")
+    sets = sets_of(docs, rest.select(F.col("rep").alias("id")).distinct(), scratch, "sets", text, k)
+    bits = sets.mapInArrow(_bit_batches, "doc_id long, bits binary").withColumnRenamed("doc_id", "rep")
+    rest = candidate_pairs(rest.join(bits, "rep"), True, percent)
+    links = links.unionByName(confirmed(rest, sets, scratch, "links", percent))
+    labels = components(links, scratch, "labels")
+    scratch.drop("open", "sets")
 
     by_set = classes.join(labels, F.col("rep") == F.col("node"), "left") \
         .select("n_shingles", "d1", "d2", F.coalesce("label", "rep").alias("label"))
