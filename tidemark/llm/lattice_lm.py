@@ -41,21 +41,26 @@ FOLDS, HELD_OUT = 5, 1
 HEAD = 1 << 21
 COUNT_CHUNK = 8 << 20
 EM_ROUNDS = 2
+#: Distinct words that a task handles at once.
+GATHERED = 120_000
 #: Expected count that every piece has before any text is seen.
 PRIOR = 0.01
 DISCOUNT = 0.75
 _LN10 = math.log(10)
 
 
+def _polynomial(data: np.ndarray) -> np.uint64:
+    """The hash that prefix sums give for these bytes anywhere in a word."""
+    power, _ = T._power_tables(len(data) + 1)
+    return ((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)]).sum(dtype=np.uint64)
+
+
 class Pieces:
     """The vocabulary as byte strings, found by hash."""
 
     def __init__(self, pieces: list[bytes], log_p: np.ndarray):
-        hashes = np.empty(len(pieces), np.uint64)
         sizes = np.array([len(p) for p in pieces])
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum(sizes)
-        hashes[:] = T.token_hashes(data, ends - sizes, ends)
+        hashes = np.array([_polynomial(np.frombuffer(p, np.uint8)) for p in pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.log_p = hashes[order], order, log_p
         self.maybe = np.zeros(1 << 20, bool)
@@ -90,7 +95,7 @@ def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
 
 def _edges(pieces: Pieces, sums: np.ndarray, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     _, inverse = T._power_tables(i + k + 1)
-    return pieces.find(T.mix((sums[:, i + k] - sums[:, i]) * inverse[i]))
+    return pieces.find((sums[:, i + k] - sums[:, i]) * inverse[i])
 
 
 def _by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -135,11 +140,14 @@ def expected_counts(pieces: Pieces, words: pa.Array) -> np.ndarray:
         n = alpha.shape[1] - 1
         beta = np.full(alpha.shape, -np.inf)
         beta[:, n] = 0.0
+        used, shares = [], []
         for i, j, rows, ids in reversed(edges):
             through = pieces.log_p[ids] + beta[rows, j]
             beta[rows, i] = np.logaddexp(beta[rows, i], through)
             share = np.exp(alpha[rows, i] + through - alpha[rows, n])
-            total += np.bincount(ids, share, len(total))
+            used.append(ids)
+            shares.append(share)
+        total += np.bincount(np.concatenate(used), np.concatenate(shares), len(total))
     return total
 
 
@@ -186,10 +194,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
         .groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, so that words of one length come in numbers."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _em_batches(model: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, total = model.value, None
-        for batch in batches:
+        for batch in _gathered(batches):
             part = expected_counts(pieces, batch.column(0))
             total = part if total is None else total + part
         if total is not None:
@@ -219,7 +240,7 @@ def fit(counts: DataFrame, vocabulary: str, rounds: int) -> Pieces:
 
 def _scored_batches(model: Broadcast, spare: float, total: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             data, offsets = T.utf8(batch.column(0))
             hashes = T.token_hashes(data, offsets[:-1], offsets[1:])
             own = np.maximum(np.asarray(batch.column(1), dtype=float) - DISCOUNT, 0.0)
