@@ -9,10 +9,13 @@ from .lattice_lm import op2_lattice_lm
 from .licences import op1_licences
 from .mixing import op8_mixing
 from .neardup import op9_neardup
+from .oracles import ORACLES
 from .packing import op7_packing
 from .quality import op10_quality
 from .secrets import op5_secrets
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_lattice_lm": op2_lattice_lm,
@@ -25,6 +28,3 @@ QUERIES = {
     "op9_neardup": op9_neardup,
     "op10_quality": op10_quality,
 }
-
-#: DuckDB SQL of the queries that have one.
-ORACLES: dict[str, str] = {}
