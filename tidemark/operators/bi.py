@@ -18,14 +18,13 @@ def bi_measures(fact: DataFrame, dim: DataFrame, mart: DataFrame, pred: DataFram
                      count_if(F.col("is_late_delivery")).alias("late_orders"),
                      pct(count_if(F.col("is_late_delivery")), F.count(F.lit(1))).alias("late_delivery_rate"),
                      rnd_double(F.avg("avg_review_score"), 2).alias("avg_review_score"),
-                     pct(count_if(F.col("has_negative_review")), F.count(F.lit(1))).alias("negative_review_share"))
+                     pct(count_if(F.col("avg_review_score") <= 2), F.count(F.lit(1))).alias("negative_review_share"))
     cust = dim.agg(F.count("customer_unique_id").alias("total_customers"),  # the dimension key
                    count_if(F.col("is_repeat_buyer")).alias("repeat_customers"))
     churn = pred.agg(rnd_double(F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)), 2).alias("revenue_at_risk"),
                      rnd_double(F.coalesce(F.sum(F.when(F.col("retention_priority") == VIP, F.col("revenue_at_risk"))),
                                            F.lit(0.0)), 2).alias("vip_revenue_at_risk"),
                      count_if(F.col("risk_tier") == "High").alias("high_risk_customers"),
-                     F.count(F.lit(1)).alias("_scored"),
                      rnd_double(F.avg("churn_probability"), 4).alias("avg_churn_probability"))
     return (combine_single_rows(fact.sparkSession, [sales, cust, churn])
             .select("gmv", "total_orders",
@@ -34,7 +33,7 @@ def bi_measures(fact: DataFrame, dim: DataFrame, mart: DataFrame, pred: DataFram
                     "total_freight", "total_customers", "repeat_customers",
                     pct(F.col("repeat_customers"), F.col("total_customers")).alias("repeat_rate"),
                     "revenue_at_risk", "vip_revenue_at_risk", "high_risk_customers",
-                    pct(F.col("high_risk_customers"), F.col("_scored")).alias("high_risk_share"),
+                    pct(F.col("high_risk_customers"), F.col("total_customers")).alias("high_risk_share"),
                     "avg_churn_probability", "late_orders", "late_delivery_rate", "avg_review_score",
                     "negative_review_share"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from ..functions import rules
 from ..functions.core import fmt_fixed
@@ -29,6 +32,14 @@ def customer_view(mart: DataFrame, rfm: DataFrame, pred: DataFrame) -> DataFrame
                               "retention_priority", "monetary_value", "is_churned"), "customer_unique_id", "left"))
 
 
+def _spend_bound(view: DataFrame, value: float, rounding: str) -> F.Column:
+    """The bound in the column's own type, so that the comparison reaches the scan."""
+    kind = view.schema["lifetime_spend"].dataType
+    if not isinstance(kind, DecimalType):
+        return F.lit(value)
+    return F.lit(Decimal(str(value)).quantize(Decimal(1).scaleb(-kind.scale), rounding=rounding)).cast(kind)
+
+
 def filter_customers(view: DataFrame, segment: str | None = None, risk_tier: str | None = None,
                      retention_priority: str | None = None, state: str | None = None,
                      min_spend: float | None = None, max_spend: float | None = None,
@@ -37,8 +48,8 @@ def filter_customers(view: DataFrame, segment: str | None = None, risk_tier: str
         paging.eq("segment", segment), paging.eq("risk_tier", risk_tier),
         paging.eq("retention_priority", retention_priority),
         paging.eq("state", state.strip().upper() if state else None),
-        None if min_spend is None else F.col("lifetime_spend") >= F.lit(min_spend),
-        None if max_spend is None else F.col("lifetime_spend") <= F.lit(max_spend),
+        None if min_spend is None else F.col("lifetime_spend") >= _spend_bound(view, min_spend, ROUND_CEILING),
+        None if max_spend is None else F.col("lifetime_spend") <= _spend_bound(view, max_spend, ROUND_FLOOR),
         paging.ilike_any(["customer_unique_id", "city", "state"], search),
     ])
 

@@ -28,20 +28,20 @@ def _avg_days() -> F.Column:
 def funnel_overview(funnel: DataFrame) -> DataFrame:
     """Leads, won, conversion %, days to close, declared vs realised revenue, activation % (zeros when empty)."""
     return funnel.agg(
-        F.count(F.lit(1)).cast("int").alias("total_leads"),
-        count_if(_won()).cast("int").alias("total_closed_deals"),
+        F.count(F.lit(1)).alias("total_leads"),
+        count_if(_won()).alias("total_closed_deals"),
         pct(count_if(_won()), F.count(F.lit(1))).alias("overall_conversion_rate"),
         _avg_days().alias("avg_days_to_close"),
         _money("declared_monthly_revenue").alias("total_declared_monthly_revenue"),
         _money("actual_marketplace_revenue").alias("total_actual_marketplace_revenue"),
-        count_if(_active()).cast("int").alias("active_marketplace_sellers_count"),
+        count_if(_active()).alias("active_marketplace_sellers_count"),
         pct(count_if(_active()), count_if(_won())).alias("seller_activation_rate"))
 
 
 def channel_attribution(funnel: DataFrame) -> DataFrame:
     return (funnel.groupBy("origin")
-            .agg(F.count(F.lit(1)).cast("int").alias("leads_count"),
-                 count_if(_won()).cast("int").alias("closed_deals_count"),
+            .agg(F.count(F.lit(1)).alias("leads_count"),
+                 count_if(_won()).alias("closed_deals_count"),
                  pct(count_if(_won()), F.count(F.lit(1))).alias("conversion_rate"),
                  _avg_days().alias("avg_days_to_close"),
                  _money("declared_monthly_revenue").alias("total_declared_monthly_revenue"),
@@ -60,7 +60,7 @@ def velocity_by_segment(funnel: DataFrame) -> DataFrame:
     """Won deals per business segment; ascending by average days (fastest first)."""
     return (funnel.where(F.col("is_won") & F.col("business_segment").isNotNull())
             .groupBy("business_segment")
-            .agg(F.count(F.lit(1)).cast("int").alias("closed_deals_count"), _avg_days().alias("avg_days_to_close"),
+            .agg(F.count(F.lit(1)).alias("closed_deals_count"), _avg_days().alias("avg_days_to_close"),
                  F.coalesce(F.min("days_to_close"), F.lit(0)).cast("int").alias("min_days_to_close"),
                  F.coalesce(F.max("days_to_close"), F.lit(0)).cast("int").alias("max_days_to_close"))
             .orderBy("avg_days_to_close", "business_segment"))
@@ -83,14 +83,14 @@ def velocity_summary(funnel: DataFrame) -> DataFrame:
 def velocity_by_lead_type(funnel: DataFrame) -> DataFrame:
     return (funnel.where(F.col("is_won") & F.col("lead_type").isNotNull())
             .groupBy("lead_type")
-            .agg(F.count(F.lit(1)).cast("int").alias("closed_deals_count"), _avg_days().alias("avg_days_to_close"))
+            .agg(F.count(F.lit(1)).alias("closed_deals_count"), _avg_days().alias("avg_days_to_close"))
             .orderBy("avg_days_to_close", "lead_type"))
 
 
 def segment_performance(funnel: DataFrame) -> DataFrame:
     return (funnel.where(F.col("is_won"))
             .groupBy(F.coalesce("business_segment", F.lit("other")).alias("business_segment"))
-            .agg(count_if(_won()).cast("int").alias("closed_deals_count"),
+            .agg(count_if(_won()).alias("closed_deals_count"),
                  _money("declared_monthly_revenue").alias("total_declared_monthly_revenue"),
                  rnd_double(F.coalesce(F.avg("declared_monthly_revenue"), F.lit(0)), 2).alias("avg_declared_monthly_revenue"),
                  _money("actual_marketplace_revenue").alias("total_actual_marketplace_revenue"),

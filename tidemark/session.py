@@ -51,8 +51,9 @@ def shared_root(spark: SparkSession) -> str:
     """Root folder for checkpoints and materialized tables.
 
     On a cluster this is the shared folder named by ``spark.checkpoint.dir``.
-    Only when the session names none (local tests) do we create our own under
-    the system temp folder and register it as the checkpoint directory.
+    Only when the session names none and runs in one process (local tests) do we
+    create our own under the system temp folder and register it as the checkpoint
+    directory; on a cluster such a folder would be another one on every machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -61,6 +62,9 @@ def shared_root(spark: SparkSession) -> str:
             # setCheckpointDir() adds a random child folder; use its parent.
             root = current.rstrip("/").rsplit("/", 1)[0]
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root.rstrip("/") + "/checkpoints")
