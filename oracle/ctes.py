@@ -123,8 +123,8 @@ SELECT order_id, customer_id, order_status,
        order_delivered_carrier_date AS shipped_at, order_delivered_customer_date AS delivered_at,
        order_estimated_delivery_date AS estimated_delivery_at,
        order_status = 'delivered' AS is_delivered,
-       CAST(date_sub('second', order_estimated_delivery_date, order_delivered_customer_date) AS DOUBLE) / 86400 AS delivery_delay_days,
-       date_sub('second', order_estimated_delivery_date, order_delivered_customer_date) AS delay_s
+       CAST(date_sub('microsecond', order_estimated_delivery_date, order_delivered_customer_date) AS DOUBLE) / 86400000000 AS delivery_delay_days,
+       date_sub('microsecond', order_estimated_delivery_date, order_delivered_customer_date) AS delay_us
 FROM raw_orders WHERE order_status = 'delivered'"""
 
 CTES["stg_order_items"] = """
@@ -217,12 +217,12 @@ GROUP BY c.customer_unique_id"""
 
 CTES["int_customer_fulfillment"] = f"""
 SELECT c.customer_unique_id,
-       {R('avg(o.delay_s) / 86400', 2)} AS avg_delivery_delay_days,
-       {R('max(o.delay_s) / 86400', 2)} AS max_delivery_delay_days,
-       CAST(sum(CASE WHEN o.delay_s > 0 THEN 1 ELSE 0 END) AS int) AS late_orders_count,
-       CAST(sum(CASE WHEN o.delay_s <= 0 THEN 1 ELSE 0 END) AS int) AS on_time_orders_count,
-       CAST({R(DIV('sum(CASE WHEN o.delay_s > 0 THEN 1 ELSE 0 END)', 'count(*)'), 4)} AS decimal(6,4)) AS late_order_ratio,
-       sum(CASE WHEN o.delay_s > 0 THEN 1 ELSE 0 END) > 0 AS has_late_delivery
+       {R('avg(o.delay_us) / 86400000000', 2)} AS avg_delivery_delay_days,
+       {R('max(o.delay_us) / 86400000000', 2)} AS max_delivery_delay_days,
+       CAST(sum(CASE WHEN o.delay_us > 0 THEN 1 ELSE 0 END) AS int) AS late_orders_count,
+       CAST(sum(CASE WHEN o.delay_us <= 0 THEN 1 ELSE 0 END) AS int) AS on_time_orders_count,
+       CAST({R(DIV('sum(CASE WHEN o.delay_us > 0 THEN 1 ELSE 0 END)', 'count(*)'), 4)} AS decimal(6,4)) AS late_order_ratio,
+       sum(CASE WHEN o.delay_us > 0 THEN 1 ELSE 0 END) > 0 AS has_late_delivery
 FROM stg_orders o JOIN stg_customers c ON c.customer_id = o.customer_id
 GROUP BY c.customer_unique_id"""
 
@@ -324,8 +324,8 @@ FROM stg_sellers s LEFT JOIN (
          count(DISTINCT i.product_id) AS n_products,
          {R('coalesce(sum(i.item_revenue), 0)', 2)} AS revenue,
          {R('coalesce(avg(i.item_revenue), 0)', 2)} AS avg_item,
-         {R('coalesce(avg(o.delay_s) / 86400, 0.0)', 1)} AS avg_delay,
-         {R('coalesce(avg(CASE WHEN o.delay_s > 0 THEN 1.0 ELSE 0.0 END), 0.0) * 100.0', 2)} AS late_rate,
+         {R('coalesce(avg(o.delay_us) / 86400000000, 0.0)', 1)} AS avg_delay,
+         {R('coalesce(avg(CASE WHEN o.delay_us > 0 THEN 1.0 ELSE 0.0 END), 0.0) * 100.0', 2)} AS late_rate,
          {R('coalesce(avg(r.avg_review_score), 0)', 2)} AS avg_review,
          {R('coalesce(avg(CASE WHEN r.avg_review_score >= 4.0 THEN 1.0 ELSE 0.0 END), 0.0) * 100.0', 2)} AS pos_rate
   FROM stg_order_items i JOIN stg_orders o ON o.order_id = i.order_id

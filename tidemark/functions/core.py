@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import types as T
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SECONDS_PER_DAY = 86400
+MICROS_PER_DAY = 86_400_000_000
 
 
 def rnd(col: Column | str, scale: int) -> Column:
@@ -38,8 +39,13 @@ def whole_days(start: Column, end: Column) -> Column:
     return F.timestamp_diff("DAY", start, end).cast("int")
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("SECOND", start, end)
+def micros_between(start: Column, end: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", start, end)
+
+
+def avg_days(micros: Column) -> Column:
+    """Mean of microsecond spans in days; the sum is exact, whatever its order."""
+    return ratio(F.sum(micros.cast("decimal(18,0)")), F.count(micros)) / MICROS_PER_DAY
 
 
 def count_if(cond: Column) -> Column:
@@ -65,17 +71,11 @@ def grand_total(col: str) -> Column:
     return F.sum(col).over(Window.partitionBy())
 
 
-def combine_single_rows(spark: SparkSession, rows: list[DataFrame]) -> DataFrame:
-    """Side-by-side combination of one-row aggregates from different tables.
+def combine_single_rows(rows: list[DataFrame]) -> DataFrame:
+    """Side-by-side combination of one-row aggregates from different tables, as one lazy plan.
 
-    Each input is a global aggregate (exactly one row); its values are read
-    back like a scalar subquery and assembled into one row with the combined
-    schema.
+    The rows are stacked, each with NULL in the columns of the others; the only value of
+    every column is then taken.
     """
-    fields: list[T.StructField] = []
-    values: list = []
-    for df in rows:
-        r = df.first()
-        fields += df.schema.fields
-        values += list(r) if r is not None else [None] * len(df.columns)
-    return spark.createDataFrame([tuple(values)], T.StructType(fields))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for df in rows for c in df.columns])

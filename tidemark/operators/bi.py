@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import combine_single_rows, count_if, pct, rnd_double
+from ..functions.core import combine_single_rows, count_if, pct, ratio, rnd_double
 
 VIP = "Priority 1: Immediate VIP Retention"
 
@@ -26,7 +26,7 @@ def bi_measures(fact: DataFrame, dim: DataFrame, mart: DataFrame, pred: DataFram
                                            F.lit(0.0)), 2).alias("vip_revenue_at_risk"),
                      count_if(F.col("risk_tier") == "High").alias("high_risk_customers"),
                      rnd_double(F.avg("churn_probability"), 4).alias("avg_churn_probability"))
-    return (combine_single_rows(fact.sparkSession, [sales, cust, churn])
+    return (combine_single_rows([sales, cust, churn])
             .select("gmv", "total_orders",
                     rnd_double(F.col("gmv") / F.nullif(F.col("total_orders").cast("double"), F.lit(0.0)), 2)
                     .alias("avg_order_value"),
@@ -39,11 +39,13 @@ def bi_measures(fact: DataFrame, dim: DataFrame, mart: DataFrame, pred: DataFram
 
 
 def bi_late_by_state(fact: DataFrame, dim: DataFrame) -> DataFrame:
-    """Late-delivery rate and average delay by customer state."""
-    return (fact.select("customer_unique_id", "is_late_delivery", "delivery_delay_days")
-            .join(dim.select("customer_unique_id", "state"), "customer_unique_id")
+    """Late-delivery rate and average delay by customer state; orders are summed by customer before the join."""
+    per_customer = fact.groupBy("customer_unique_id").agg(
+        F.count(F.lit(1)).alias("n"), count_if(F.col("is_late_delivery")).alias("late"),
+        F.sum("delivery_delay_days").alias("days"), F.count("delivery_delay_days").alias("timed"))
+    return (per_customer.join(dim.select("customer_unique_id", "state"), "customer_unique_id")
             .groupBy("state")
-            .agg(F.count(F.lit(1)).alias("orders"),
-                 pct(count_if(F.col("is_late_delivery")), F.count(F.lit(1))).alias("late_delivery_rate"),
-                 rnd_double(F.avg("delivery_delay_days"), 2).alias("avg_delivery_delay_days"))
+            .agg(F.sum("n").alias("orders"),
+                 pct(F.sum("late"), F.sum("n")).alias("late_delivery_rate"),
+                 rnd_double(ratio(F.sum("days"), F.sum("timed")), 2).alias("avg_delivery_delay_days"))
             .orderBy(F.desc("late_delivery_rate"), "state"))

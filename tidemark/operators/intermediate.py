@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import SECONDS_PER_DAY, ratio, rnd, seconds_between
+from ..functions.core import MICROS_PER_DAY, avg_days, micros_between, ratio, rnd
 
 
 def int_order_items_aggregated(items: DataFrame) -> DataFrame:
@@ -89,18 +89,18 @@ def int_customer_orders(orders: DataFrame, customers: DataFrame, items_agg: Data
 def int_customer_fulfillment(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Delivery experience per customer.
 
-    Averages are taken over whole delay seconds (exact integer sums) and
+    Averages are taken over delay microseconds (exact integer sums) and
     converted to days once, so every engine gets the same double.
     A NULL delay counts as neither late nor on time but stays in the ratio's
     denominator.
     """
-    base = _customer_orders(orders.select("order_id", "customer_id", "delivery_delay_seconds"), customers)
-    d = F.col("delivery_delay_seconds")
+    base = _customer_orders(orders.select("order_id", "customer_id", "delivery_delay_micros"), customers)
+    d = F.col("delivery_delay_micros")
     late = F.when(d > 0, 1).otherwise(0)
     on_time = F.when(d <= 0, 1).otherwise(0)
     return (base.groupBy("customer_unique_id")
-            .agg(rnd(F.avg(d) / SECONDS_PER_DAY, 2).alias("avg_delivery_delay_days"),
-                 rnd(F.max(d) / SECONDS_PER_DAY, 2).alias("max_delivery_delay_days"),
+            .agg(rnd(avg_days(d), 2).alias("avg_delivery_delay_days"),
+                 rnd(F.max(d) / MICROS_PER_DAY, 2).alias("max_delivery_delay_days"),
                  F.sum(late).cast("int").alias("late_orders_count"),
                  F.sum(on_time).cast("int").alias("on_time_orders_count"),
                  rnd(ratio(F.sum(late), F.count(F.lit(1))), 4).cast("decimal(6,4)").alias("late_order_ratio"),
@@ -134,7 +134,7 @@ def customer_rollup(fact_orders: DataFrame) -> DataFrame:
     An order counts as *reviewed* when ``reviews_count > 0`` (exactly the
     orders present in the order-review aggregate).
     """
-    d = seconds_between(F.col("estimated_delivery_at"), F.col("delivered_at"))
+    d = micros_between(F.col("estimated_delivery_at"), F.col("delivered_at"))
     late = F.when(d > 0, 1).otherwise(0)
     on_time = F.when(d <= 0, 1).otherwise(0)
     reviewed = F.col("reviews_count") > 0
@@ -151,8 +151,8 @@ def customer_rollup(fact_orders: DataFrame) -> DataFrame:
                  F.sum("total_revenue").cast("decimal(14,2)").alias("lifetime_spend"),
                  F.sum("unique_products_count").cast("int").alias("total_unique_products_purchased"),
                  F.sum("unique_sellers_count").cast("int").alias("total_unique_sellers_contacted"),
-                 rnd(F.avg(d) / SECONDS_PER_DAY, 2).alias("avg_delivery_delay_days"),
-                 rnd(F.max(d) / SECONDS_PER_DAY, 2).alias("max_delivery_delay_days"),
+                 rnd(avg_days(d), 2).alias("avg_delivery_delay_days"),
+                 rnd(F.max(d) / MICROS_PER_DAY, 2).alias("max_delivery_delay_days"),
                  F.sum(late).cast("int").alias("late_orders_count"),
                  F.sum(on_time).cast("int").alias("on_time_orders_count"),
                  rnd(ratio(F.sum(late), F.count(F.lit(1))), 4).cast("decimal(6,4)").alias("late_order_ratio"),

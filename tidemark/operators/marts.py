@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import SECONDS_PER_DAY, ratio, rnd, whole_days
+from ..functions.core import avg_days, ratio, rnd, whole_days
 
 
 def fact_orders(orders: DataFrame, customers: DataFrame, items_agg: DataFrame,
@@ -128,9 +128,9 @@ def mart_seller_metrics(sellers: DataFrame, items: DataFrame, orders: DataFrame,
     Missing delay or review counts as "not late" / "not positive".
     """
     base = (items.select("order_id", "order_item_id", "seller_id", "product_id", "item_revenue")
-            .join(orders.select("order_id", "delivery_delay_seconds"), "order_id")
+            .join(orders.select("order_id", "delivery_delay_micros"), "order_id")
             .join(reviews_agg.select("order_id", "avg_review_score"), "order_id", "left"))
-    d, r = F.col("delivery_delay_seconds"), F.col("avg_review_score")
+    d, r = F.col("delivery_delay_micros"), F.col("avg_review_score")
     late = F.when(d > 0, 1.0).otherwise(0.0)
     pos = F.when(r >= 4.0, 1.0).otherwise(0.0)
     agg = (base.groupBy("seller_id")
@@ -139,7 +139,7 @@ def mart_seller_metrics(sellers: DataFrame, items: DataFrame, orders: DataFrame,
                 F.count_distinct("product_id").alias("total_unique_products"),
                 rnd(F.coalesce(F.sum("item_revenue"), F.lit(0)), 2).alias("total_revenue"),
                 rnd(F.coalesce(F.avg("item_revenue"), F.lit(0)), 2).alias("avg_item_value"),
-                rnd(F.coalesce(F.avg(d) / SECONDS_PER_DAY, F.lit(0.0)), 1).alias("avg_delivery_delay_days"),
+                rnd(F.coalesce(avg_days(d), F.lit(0.0)), 1).alias("avg_delivery_delay_days"),
                 rnd(F.coalesce(F.avg(late), F.lit(0.0)) * 100.0, 2).alias("late_delivery_rate"),
                 rnd(F.coalesce(F.avg(r), F.lit(0)), 2).alias("s_avg_review_score"),
                 rnd(F.coalesce(F.avg(pos), F.lit(0.0)) * 100.0, 2).alias("positive_reviews_rate")))
@@ -160,9 +160,10 @@ def mart_seller_metrics(sellers: DataFrame, items: DataFrame, orders: DataFrame,
 def mart_marketing_funnel(leads: DataFrame, deals: DataFrame, seller_metrics: DataFrame) -> DataFrame:
     sp = seller_metrics.select(F.col("seller_id").alias("sp_seller_id"), "total_orders_fulfilled",
                                F.col("total_revenue").alias("sp_total_revenue"))
-    d = deals.withColumnRenamed("mql_id", "d_mql_id")
-    j = (leads.join(d, F.col("mql_id") == F.col("d_mql_id"), "left")
+    # sellers go to the few deals first: most leads have no deal, and so no seller to join on
+    d = (deals.withColumnRenamed("mql_id", "d_mql_id")
          .join(sp, F.col("seller_id") == F.col("sp_seller_id"), "left"))
+    j = leads.join(d, F.col("mql_id") == F.col("d_mql_id"), "left")
     return j.select(
         "mql_id", "first_contact_date", "landing_page_id", "origin",
         F.col("d_mql_id").isNotNull().alias("is_won"), "won_date",

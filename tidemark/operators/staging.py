@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import SECONDS_PER_DAY, seconds_between
+from ..functions.core import MICROS_PER_DAY, micros_between
 
 
 def _clean_lower(c: str) -> F.Column:
@@ -28,7 +28,7 @@ def stg_customers(customers: DataFrame) -> DataFrame:
 def stg_orders(orders: DataFrame) -> DataFrame:
     """Delivered orders only; delay in fractional days (+ late, - early)."""
     dlv, est = F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date")
-    delay_s = seconds_between(est, dlv)
+    delay = micros_between(est, dlv)
     return (orders.where(F.col("order_status") == "delivered")
             .select("order_id", "customer_id", "order_status",
                     F.col("order_purchase_timestamp").alias("purchased_at"),
@@ -37,8 +37,8 @@ def stg_orders(orders: DataFrame) -> DataFrame:
                     dlv.alias("delivered_at"),
                     est.alias("estimated_delivery_at"),
                     (F.col("order_status") == "delivered").alias("is_delivered"),
-                    (delay_s.cast("double") / SECONDS_PER_DAY).alias("delivery_delay_days"),
-                    delay_s.alias("delivery_delay_seconds")))
+                    (delay.cast("double") / MICROS_PER_DAY).alias("delivery_delay_days"),
+                    delay.alias("delivery_delay_micros")))
 
 
 def stg_order_items(order_items: DataFrame, delivered_orders: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ for _n in ["stg_customers", "stg_order_items", "stg_order_payments", "stg_order_
            "fact_orders", "dim_customers", "mart_customer_metrics", "mart_product_metrics",
            "mart_seller_metrics", "mart_marketing_funnel", "rfm_segments"]:
     QUERIES[_n] = _attr(_n)
-QUERIES["stg_orders"] = _attr("stg_orders", drop=("delivery_delay_seconds",))
+QUERIES["stg_orders"] = _attr("stg_orders", drop=("delivery_delay_micros",))
 
 QUERIES["rfm_summary"] = lambda s, d: RFM.rfm_summary(wh(s, d).rfm_segments)
 QUERIES["segments_overview"] = lambda s, d: A.segments_overview(wh(s, d).rfm_segments)
@@ -206,7 +206,7 @@ QUERIES.update({
     "churn_split_summary": _split_summary,
     "customer_page_meta": lambda s, d: __import__("tidemark.operators.paging", fromlist=["x"]).page_meta(
         CU.filter_customers(_view(s, d), risk_tier="Medium"), 3, 20),
-    "dq_constraints": lambda s, d: DQ.dq_constraints(wh(s, d).raw("order_items"), wh(s, d).raw("order_reviews")),
+    "dq_constraints": lambda s, d: DQ.dq_constraints({n: wh(s, d).raw(n) for n in EXPECTED_ROW_COUNTS}),
     "dq_row_counts": lambda s, d: DQ.dq_row_counts(QUERIES["raw_ingestion_summary"](s, d), EXPECTED_ROW_COUNTS, s),
     "feature_defaults": lambda s, d: SC.feature_defaults(_partial_profiles(s, d)),
     "rfm_segments_upserted": lambda s, d: _upserted(s, d, "rfm"),
