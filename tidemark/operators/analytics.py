@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, grand_total, rnd_double
+from ..functions.core import combine_single_rows, count_if, grand_total, rnd_double
 
 INTERVALS = {"month", "week", "day"}
 
@@ -100,23 +100,24 @@ def cohort_matrix(retention: DataFrame) -> DataFrame:
 VIP = "Priority 1: Immediate VIP Retention"
 
 
-def portfolio_overview(profile: DataFrame) -> DataFrame:
-    """Portfolio KPIs in one aggregation over the customer profile (mart ⟕ scores).
+def portfolio_overview(mart: DataFrame, pred: DataFrame) -> DataFrame:
+    """Portfolio KPIs: customers and sales from the customer mart, exposure from the score table.
 
-    Score measures ignore customers without a score (NULL), as an aggregate
-    over the prediction table alone would.
+    Scores are summed where they are stored, so a scored customer who has left the mart counts too.
     """
-    agg = profile.agg(
+    customers = mart.agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.coalesce(F.sum("lifetime_orders"), F.lit(0)).cast("long").alias("total_orders"),
         F.coalesce(F.sum("lifetime_spend"), F.lit(0)).alias("_rev"),
         F.coalesce(F.avg(F.col("avg_order_value").cast("double")), F.lit(0.0)).alias("_aov"),
-        (F.coalesce(F.avg(F.when(F.col("is_repeat_buyer"), 1.0).otherwise(0.0)), F.lit(0.0)) * 100.0).alias("_repeat"),
+        (F.coalesce(F.avg(F.when(F.col("is_repeat_buyer"), 1.0).otherwise(0.0)), F.lit(0.0)) * 100.0).alias("_repeat"))
+    scores = pred.agg(
         F.coalesce(F.sum("revenue_at_risk"), F.lit(0)).alias("_rar"),
         F.coalesce(F.avg("churn_probability"), F.lit(0.0)).alias("_p"),
         count_if(F.col("risk_tier") == "High").alias("high_risk_customers_count"),
         F.coalesce(F.sum(F.when(F.col("retention_priority") == VIP, F.col("revenue_at_risk"))), F.lit(0))
         .alias("_vip"))
+    agg = combine_single_rows([customers, scores])
     rev, rar = rnd_double(F.col("_rev"), 2), rnd_double(F.col("_rar"), 2)
     return (agg
             .select("total_customers", "total_orders", rev.alias("total_revenue"),

@@ -57,6 +57,7 @@ from ..operators import catalog as CAT  # noqa: E402
 from ..operators import churn as C  # noqa: E402
 from ..operators import customers as CU  # noqa: E402
 from ..operators import marketing as MK  # noqa: E402
+from ..operators import paging as PG  # noqa: E402
 from ..operators import quality as DQ  # noqa: E402
 from ..operators import retention as RT  # noqa: E402
 from ..operators import scoring as SC  # noqa: E402
@@ -98,8 +99,8 @@ QUERIES.update({
     "churn_priority_summary": lambda s, d: C.priority_summary(_pb(s, d)),
     "churn_exec_summary": lambda s, d: C.exec_summary(_pb(s, d)),
     "churn_tier_summary_model": lambda s, d: C.tier_summary(wh(s, d).churn_predictions),
-    "portfolio_overview": lambda s, d: A.portfolio_overview(_view(s, d)),
-    "portfolio_overview_model": lambda s, d: A.portfolio_overview(_view(s, d, model=True)),
+    "portfolio_overview": lambda s, d: A.portfolio_overview(wh(s, d).mart_customer_metrics, wh(s, d).churn_predictions_baseline),
+    "portfolio_overview_model": lambda s, d: A.portfolio_overview(wh(s, d).mart_customer_metrics, wh(s, d).churn_predictions),
     "rar_summary": lambda s, d: A.rar_summary(_pb(s, d)),
     "rar_by_tier": lambda s, d: A.rar_by_tier(_pb(s, d)),
     "rar_by_priority": lambda s, d: A.rar_by_priority(_pb(s, d)),
@@ -194,6 +195,14 @@ def _upserted(s, d, name):
     return out.drop("predicted_at")
 
 
+def _upsert_of_two_runs(s, d):
+    """Two runs with keys of their own and shared ones: the earlier run's own keys stay as they were."""
+    from ..sinks import tables as SK
+    rfm, path = wh(s, d).rfm_segments, f"{wh(s, d).root}/store/rfm_two_runs"
+    SK.upsert_rfm(s, path, rfm.where("r_score <= 3").withColumn("segment", F.lit("earlier run")))
+    return SK.upsert_rfm(s, path, rfm.where("r_score >= 3")).drop("updated_at")
+
+
 def _split_summary(s, d):
     train, test = C.stratified_split(C.model_frame(wh(s, d).churn_features))
     return (train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
@@ -204,11 +213,12 @@ QUERIES.update({
     "rfm_input": lambda s, d: RFM.rfm_input(wh(s, d).mart_customer_metrics),
     "churn_dataset": lambda s, d: C.churn_dataset(wh(s, d).mart_customer_metrics, wh(s, d).rfm_segments),
     "churn_split_summary": _split_summary,
-    "customer_page_meta": lambda s, d: __import__("tidemark.operators.paging", fromlist=["x"]).page_meta(
+    "customer_page_meta": lambda s, d: PG.page_meta(
         CU.filter_customers(_view(s, d), risk_tier="Medium"), 3, 20),
     "dq_constraints": lambda s, d: DQ.dq_constraints({n: wh(s, d).raw(n) for n in EXPECTED_ROW_COUNTS}),
     "dq_row_counts": lambda s, d: DQ.dq_row_counts(QUERIES["raw_ingestion_summary"](s, d), EXPECTED_ROW_COUNTS, s),
     "feature_defaults": lambda s, d: SC.feature_defaults(_partial_profiles(s, d)),
+    "rfm_upsert_two_runs": _upsert_of_two_runs,
     "rfm_segments_upserted": lambda s, d: _upserted(s, d, "rfm"),
     "churn_predictions_upserted": lambda s, d: _upserted(s, d, "churn"),
 })

@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import threading
 from concurrent.futures import ThreadPoolExecutor
-import os
 import uuid
 from functools import cached_property
 from pathlib import Path
@@ -52,15 +51,14 @@ def code_version() -> str:
     return _CODE_VERSION
 
 
-def _input_fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    try:
-        for name in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, name))
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-    except OSError:
-        pass  # non-local input: key by location only
-    return h.hexdigest()[:12]
+def _input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the input's location and of path, size and time of every file below it, on any file system."""
+    fs, root = sess.file_system(spark, sf_dir)
+    found, files = [], fs.listFiles(root, True)
+    while files.hasNext():
+        st = files.next()
+        found.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.sha1("\n".join([root.toString(), *sorted(found)]).encode()).hexdigest()[:12]
 
 
 class Warehouse:
@@ -81,10 +79,10 @@ class Warehouse:
         written by an earlier run is reused).
         """
         sess.apply_runtime_defaults(spark)
-        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+        key = (spark.sparkContext.applicationId, sess.file_system(spark, sf_dir)[1].toString())
         wh = _REGISTRY.get(key)
         if wh is None or fresh:
-            root = f"{sess.shared_root(spark)}/tidemark_wh/{_input_fingerprint(sf_dir)}-{code_version()}"
+            root = f"{sess.shared_root(spark)}/tidemark_wh/{_input_fingerprint(spark, sf_dir)}-{code_version()}"
             if fresh:
                 root += f"/run-{uuid.uuid4().hex[:12]}"
             wh = cls(spark, lambda: testdata.raw_tables(spark, sf_dir), root)

@@ -1,10 +1,10 @@
 """Table sinks: reload (overwrite), append with a key check, keyed upsert, CSV export.
 
-Tables are parquet folders under a shared root. An upsert never rewrites a
-table in place: the merged result (old rows whose key is not in the new
-batch, plus the new batch) is written to a sibling folder and then swapped
-in with file-system renames, so readers see either the old or the new table
-and a failed job leaves the old one intact.
+Tables are parquet folders under a shared root. A keyed store is a folder of numbered
+versions. An upsert writes the merged result (old rows whose key is not in the new batch,
+plus the new batch) beside them and publishes it as the next version with one rename that
+never overwrites: readers see the old version or the new one, a failed or lost job leaves
+the newest one as it was, and of two upserts at once one is refused.
 """
 
 from __future__ import annotations
@@ -15,13 +15,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import dq_unique
-from ..session import path_exists
+from ..session import file_system
 
 
-def _fs(spark: SparkSession, path: str):
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    fs, p = file_system(spark, path)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if n.startswith("v-"))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a keyed store; None if there is none."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/{versions[-1]}") if versions else None
+
+
+def _publish(spark: SparkSession, staged: str, target: str) -> None:
+    """Rename; fails if the target exists (also where another writer made it just now)."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    _, src = file_system(spark, staged)
+    _, dst = file_system(spark, target)
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        dst.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(src, dst, none)
 
 
 def reload(df: DataFrame, path: str) -> None:
@@ -45,23 +61,20 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: list[str],
     """
     if stamp_col:
         new = new.withColumn(stamp_col, F.current_timestamp())
-    if path_exists(spark, path):
-        old = spark.read.parquet(path)
-        merged = old.join(new.select(*key), key, "left_anti").unionByName(new, allowMissingColumns=True)
-    else:
-        merged = new
-    tmp = f"{path.rstrip('/')}.__tmp_{uuid.uuid4().hex[:8]}"
-    merged.write.mode("overwrite").parquet(tmp)
-    fs, target = _fs(spark, path)
-    _, staged = _fs(spark, tmp)
-    if fs.exists(target):
-        _, backup = _fs(spark, f"{path.rstrip('/')}.__old_{uuid.uuid4().hex[:8]}")
-        fs.rename(target, backup)
-        fs.rename(staged, target)
-        fs.delete(backup, True)
-    else:
-        fs.rename(staged, target)
-    return spark.read.parquet(path)
+    root, versions, old = path.rstrip("/"), _versions(spark, path), read_store(spark, path)
+    merged = new if old is None else \
+        old.join(new.select(*key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    number = int(versions[-1][2:]) + 1 if versions else 1
+    staged, target = f"{root}/.staged-{uuid.uuid4().hex[:8]}", f"{root}/v-{number:09d}"
+    fs, staged_path = file_system(spark, staged)
+    try:
+        merged.write.parquet(staged)
+        _publish(spark, staged, target)
+    finally:
+        fs.delete(staged_path, True)
+    for name in versions[:-1]:  # the version before this one stays for readers that have begun
+        fs.delete(file_system(spark, f"{root}/{name}")[1], True)
+    return spark.read.parquet(target)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -9,10 +9,9 @@ tasks instead of one.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import path_exists
 from .schemas import ALL_TABLES, CORE_TABLES, MARKETING_TABLES, RAW_SCHEMAS, SOURCE_FILES
 
 MULTILINE_TABLES = {"order_reviews"}
@@ -35,19 +34,20 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
             .csv(path))
 
 
-def find_source(filename: str, candidate_dirs: list[str]) -> str | None:
-    """First candidate folder holding ``filename`` (local folders; remote paths are taken as given)."""
+def find_source(spark: SparkSession, filename: str, candidate_dirs: list[str]) -> str | None:
+    """The first ``folder/filename`` that exists, on whatever file system the folder names."""
     for d in candidate_dirs:
         p = f"{d.rstrip('/')}/{filename}"
-        if "://" in d or os.path.exists(p):
+        if path_exists(spark, p):
             return p
     return None
 
 
-def resolve(candidate_dirs: list[str], module: str = "all") -> dict[str, str]:
+def resolve(candidate_dirs: list[str], module: str = "all", spark: SparkSession | None = None) -> dict[str, str]:
     """table -> file path for the chosen module; raises listing every missing file before any load."""
+    spark = spark or SparkSession.builder.getOrCreate()
     tables = MODULES[module]
-    found = {t: find_source(SOURCE_FILES[t], candidate_dirs) for t in tables}
+    found = {t: find_source(spark, SOURCE_FILES[t], candidate_dirs) for t in tables}
     missing = [SOURCE_FILES[t] for t, p in found.items() if p is None]
     if missing:
         raise FileNotFoundError(f"missing source files: {missing}")
@@ -56,4 +56,4 @@ def resolve(candidate_dirs: list[str], module: str = "all") -> dict[str, str]:
 
 def load_raw(spark: SparkSession, candidate_dirs: list[str], module: str = "all") -> dict[str, DataFrame]:
     """Lazy raw DataFrames of one module, in foreign-key order."""
-    return {t: read_csv(spark, p, t) for t, p in resolve(candidate_dirs, module).items()}
+    return {t: read_csv(spark, p, t) for t, p in resolve(candidate_dirs, module, spark).items()}
