@@ -49,7 +49,17 @@ QUERIES["revenue_trends_day"] = lambda s, d: A.revenue_trends(wh(s, d).fact_orde
 QUERIES["revenue_trends_window"] = lambda s, d: A.revenue_trends(
     wh(s, d).fact_orders, "month", start_date="1994-01-01", end_date="1996-12-31")
 QUERIES["cohort_retention"] = lambda s, d: A.cohort_retention(wh(s, d).fact_orders)
-QUERIES["cohort_matrix"] = lambda s, d: A.cohort_matrix(A.cohort_retention(wh(s, d).fact_orders))
+def _cohort_matrix(s, d):
+    """The matrix with each cohort's map as text (m0=100.00,m1=...)."""
+    rates = F.transform(F.filter(F.transform(
+        F.sequence(F.lit(0), F.lit(12)), lambda i: F.struct(F.concat(F.lit("m"), i).alias("m"), F.element_at(
+            "retention_rates", F.concat(F.lit("m"), i)).cast("decimal(5,2)").alias("rate"))),
+        lambda x: x["rate"].isNotNull()), lambda x: F.concat_ws("=", x["m"], x["rate"]))
+    return (A.cohort_matrix(A.cohort_retention(wh(s, d).fact_orders))
+            .withColumn("retention_rates", F.array_join(rates, ",")))
+
+
+QUERIES["cohort_matrix"] = _cohort_matrix
 
 # ------------------------------------------------------------------ churn, scores, reports
 from ..operators import bi as BI  # noqa: E402
@@ -110,7 +120,10 @@ QUERIES.update({
         _view(s, d), page=2, page_size=10, sort_by="revenue_at_risk", sort_order="desc",
         risk_tier="Medium", state="eu", min_spend=100000.0, search="u1"),
     "at_risk_queue": lambda s, d: CU.at_risk_queue(_view(s, d)),
-    "customer_360": lambda s, d: CU.customer_360(_view(s, d)),
+    "customer_360": lambda s, d: CU.customer_360(_view(s, d)).select(
+        "customer_unique_id", "city", "state", "zip_prefix", "first_purchased_at", "latest_purchased_at", "recency_days",
+        "customer_lifespan_days", "lifetime_orders", "is_repeat_buyer", "basket.*", "fulfillment.*", "reviews.*", "rfm.*",
+        "churn.*"),
     "campaign_export": lambda s, d: CU.campaign_export(_view(s, d)),
     "product_list": lambda s, d: CAT.product_list(wh(s, d).mart_product_metrics),
     "product_list_search": lambda s, d: CAT.product_list(
@@ -121,7 +134,8 @@ QUERIES.update({
     "seller_top_categories": lambda s, d: CAT.seller_top_categories(wh(s, d).stg_order_items, wh(s, d).stg_products),
     "seller_detail": lambda s, d: CAT.seller_detail(
         wh(s, d).mart_seller_metrics,
-        CAT.seller_top_categories(wh(s, d).stg_order_items, wh(s, d).stg_products)),
+        CAT.seller_top_categories(wh(s, d).stg_order_items, wh(s, d).stg_products))
+    .withColumn("top_categories", F.array_join("top_categories", "; ")),
     "funnel_overview": lambda s, d: MK.funnel_overview(wh(s, d).mart_marketing_funnel),
     "channel_attribution": lambda s, d: MK.channel_attribution(wh(s, d).mart_marketing_funnel),
     "velocity_overall": lambda s, d: MK.velocity_overall(wh(s, d).mart_marketing_funnel),
