@@ -71,7 +71,10 @@ def quintile_score(df: DataFrame, col: str, out: str, ascending: bool = True) ->
     else:
         # bins of pd.cut: the first edge is widened by 0.1% of the range.
         scored = ranks.select(col, _rank_bins(F.col("pct"), lo, hi).alias(out))
-    return df.join(scored, col, "left")
+    # ranks rise with the value, so every score holds one range of values: a when-chain, no join on tied values
+    ranges = scored.groupBy(out).agg(F.min(col).alias("lo"), F.max(col).alias("hi")).collect()  # at most 5 rows
+    score = F.coalesce(*[F.when(x.between(F.lit(r["lo"]), F.lit(r["hi"])), F.lit(r[out])) for r in ranges])
+    return df.withColumn(out, score)
 
 
 def rfm_scores(mart_customer_metrics: DataFrame) -> DataFrame:
