@@ -1,7 +1,7 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 A document's set is its distinct 3-word shingles (64-bit hashes). Documents with equal sets
-form a class and are compared through its smallest doc_id only. A class has a signature of
+form a class and are compared through one row only. A class has a signature of
 b-bit MinHash values (16 bits each), split into chunks of PLACES; two signatures that differ in
 at most 2 * chunks - 1 places have, by pigeonhole, a chunk with at most one difference, and
 so agree on one of the chunk's keys that leave one place out. Joining these keys therefore finds
@@ -18,10 +18,14 @@ of each member's shingles: what one bit set has and the other lacks bounds the c
 shingles from above, and only pairs that may reach the similarity leave the task. What one task
 holds is at most two blocks.
 
-Defined results: a null text or one without words has an empty set and is linked with nothing;
-with one or two words, the sequence is the only shingle; rows that repeat a doc_id are texts of
-their own under that id; a row without doc_id is linked with nothing and kept. An empty table
-gives no rows. Other columns are ignored.
+Rows are told apart by a row id, which is written with their texts before anything else, so that
+later reads find the same ids. The row of a component that is kept is the one with the smallest
+doc_id, rows without doc_id last; component_id is its doc_id.
+
+Defined results: a null text or one without words has an empty set, is linked with nothing and
+kept; with one or two words, the sequence is the only shingle; rows that repeat a doc_id, or have none,
+are rows like others, so one row of each component is kept whatever the ids, and components may
+share a component_id or have null. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,15 +114,15 @@ def _feature_batches(k: int, percent: int, chunks: int) -> Callable:
                         if n[r] >= min_linked(percent):
                             sigs[r] = sig.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(d1.astype(np.int64)),
-                     pa.array(d2.astype(np.int64)), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), pa.array(d1.astype(np.int64)),
+                     pa.array(d2.astype(np.int64)), pa.array(sigs, pa.binary())], ["row", "doc_id", "n_shingles", "d1", "d2", "sig"])
     return run
 
 
-def features(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, and its signature if another set can be similar to it."""
-    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(
-        _feature_batches(k, percent, chunks_for(percent)), "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+def features(rows: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """row, doc_id, n_shingles, a 128-bit digest of the set, and its signature if another set can be similar to it."""
+    return rows.select("row", "text", "doc_id").mapInArrow(
+        _feature_batches(k, percent, chunks_for(percent)), "row long, doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def _key_batches(chunks: int) -> Callable:
@@ -269,7 +273,7 @@ def _set_batches(bits: Broadcast, k: int) -> Callable:
                 values, at = shingle_sets(data, offsets, k)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).slice(lo, hi - lo), T.binary_array([values[at[r]:at[r + 1]] for r in range(hi - lo)])],
-                    ["doc_id", "shingles"])
+                    ["row", "shingles"])
     return run
 
 
@@ -288,32 +292,39 @@ def _confirm_batches(percent: int) -> Callable:
 def _bit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bits = [bit_set(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), T.binary_array(bits)], ["doc_id", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), T.binary_array(bits)], ["row", "bits"])
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, text: str, k: int) -> DataFrame:
-    """doc_id and full shingle set of the documents in ``ids`` (column id), read from their texts again."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(ids, F.xxhash64("id")))
-    sets = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t"),
-                       F.xxhash64(docs["doc_id"].cast("long")).alias("h")) \
-        .mapInArrow(_set_batches(bits, k), "doc_id long, shingles binary").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+def sets_of(rows: DataFrame, ids: DataFrame, scratch: Scratch, name: str, k: int) -> DataFrame:
+    """row and full shingle set of the rows in ``ids`` (column id), read from their texts again."""
+    bits = rows.sparkSession.sparkContext.broadcast(bit_table(ids, F.xxhash64("id")))
+    sets = rows.select("row", "text", F.xxhash64("row").alias("h")) \
+        .mapInArrow(_set_batches(bits, k), "row long, shingles binary").join(ids, F.col("row") == F.col("id"), "left_semi")
     return scratch.write(sets, name)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a") \
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a") \
+        .join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     return scratch.write(both.select("a", "b", "x", "y").mapInArrow(_confirm_batches(percent), "a long, b long"), name)
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", k: int = SHINGLE,
                     percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    found = scratch.write(features(docs, text, k, percent), "features")
-    classes = scratch.write(
-        found.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    rows = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
+                                     docs[text].cast("string").alias("text")), "rows")
+    return judged(rows, scratch, k, percent).drop("row")
+
+
+def judged(rows: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and kept of every row of a written table of row, doc_id and text."""
+    found = scratch.write(features(rows, k, percent), "features")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = found.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2") \
+        .agg(F.min(first).alias("first"), F.first("sig").alias("sig"))
+    classes = scratch.write(classes.withColumn("rep", F.col("first")["row"]), "classes")
     signed = classes.where("sig is not null").select("rep", F.col("n_shingles").alias("n"), "sig")
     keys = signed.select("rep", "sig").mapInArrow(_key_batches(chunks_for(percent)), "key long, tag short, rep long")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -331,7 +342,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", k: in
             m = m.join(m.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key")
         pairs = scratch.write(candidate_pairs(m, False, percent), "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        more = confirmed(pairs, sets_of(docs, ids, scratch, "sets", text, k), scratch, f"links{step}", percent)
+        more = confirmed(pairs, sets_of(rows, ids, scratch, "sets", k), scratch, f"links{step}", percent)
         scratch.drop("pairs", "sets")
         links = more if links is None else links.unionByName(more)
         labels = components(links, scratch, f"labels{step}")
@@ -339,19 +350,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", k: in
     open_keys = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = scratch.write(mixed.join(open_keys, "key", "left_semi"), "open")
     scratch.drop("members")
-    sets = sets_of(docs, rest.select(F.col("rep").alias("id")).distinct(), scratch, "sets", text, k)
-    bits = sets.mapInArrow(_bit_batches, "doc_id long, bits binary").withColumnRenamed("doc_id", "rep")
+    sets = sets_of(rows, rest.select(F.col("rep").alias("id")).distinct(), scratch, "sets", k)
+    bits = sets.mapInArrow(_bit_batches, "row long, bits binary").withColumnRenamed("row", "rep")
     rest = candidate_pairs(rest.join(bits, "rep"), True, percent)
     links = links.unionByName(confirmed(rest, sets, scratch, "links", percent))
     labels = components(links, scratch, "labels")
     scratch.drop("open", "sets")
 
-    by_set = classes.join(labels, F.col("rep") == F.col("node"), "left") \
-        .select("n_shingles", "d1", "d2", F.coalesce("label", "rep").alias("label"))
-    out = found.where("n_shingles > 0 and doc_id is not null").drop("sig").join(by_set, ["n_shingles", "d1", "d2"]) \
-        .select("doc_id", "n_shingles", F.col("label").alias("component_id"))
-    alone = found.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_set = scratch.write(classes.join(labels, F.col("rep") == F.col("node"), "left")
+                           .select("n_shingles", "d1", "d2", "first", F.coalesce("label", "rep").alias("label")), "by_set")
+    keepers = scratch.write(by_set.groupBy("label").agg(F.min("first").alias("keeper")), "keepers")
+    by_set = by_set.drop("first").join(keepers, "label").select("n_shingles", "d1", "d2", "keeper")
+    out = found.where("n_shingles > 0").drop("sig").join(by_set, ["n_shingles", "d1", "d2"]) \
+        .select("row", "doc_id", "n_shingles", F.col("keeper")["doc_id"].alias("component_id"),
+                (F.col("row") == F.col("keeper")["row"]).alias("kept"))
+    alone = found.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"),
+                                                 F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -360,12 +375,11 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """One document of each group of near-duplicates (the smallest doc_id), columns unchanged.
-
-    Rows are told by doc_id: if one of the texts under a doc_id is kept, all rows with it are.
-    """
-    kept = near_duplicates(docs, scratch, k=k, percent=percent).where("kept").select(F.col("doc_id").alias("kept__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept__id")), "left_semi")
+    """One row of each group of near-duplicates (that with the smallest doc_id), columns unchanged."""
+    whole = scratch.write(docs.withColumn("neardup__row", F.monotonically_increasing_id()), "rows")
+    rows = whole.select(F.col("neardup__row").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    kept = judged(rows, scratch, k, percent).where("kept").select(F.col("row").alias("neardup__row"))
+    return whole.join(kept, "neardup__row", "left_semi").select(*docs.columns)
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
