@@ -11,7 +11,8 @@ Documents are read once. A 2 MB bit table of the items' fingerprints drops almos
 document's fingerprints where they arise; the rest are joined by key (Spark broadcasts the
 items' side only if it has measured it to be small, and splits hot keys otherwise). One marker row
 per document goes through the same join, under a key of its own, so that clean documents stay
-in the result without a second scan.
+in the result without a second scan. The filtering stage writes its input with a row id first, so
+that only the rows judged contaminated leave.
 
 Defined results: a null text has no words; an item without words never occurs; repeated
 document rows each get a row; repeated items with one item_id count once; the windows of an
@@ -152,13 +153,15 @@ def extend(joined: DataFrame) -> DataFrame:
                     & F.col("i_words").isNotNull()).drop("dw", "iw", "left", "right")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, the hit ranges of words and the items that occur."""
+def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per document row: row_id (the column ``row``, if given), doc_id, n_words, n_hit, the hit ranges of words
+    and the items that occur."""
     spark = docs.sparkSession
     prints = scratch.write(item_fingerprints(items), "items")
     bits = spark.sparkContext.broadcast(bit_table(prints, F.col("hash")))
     short = sorted(r[0] for r in prints.where(F.col("window") < WINDOW).select("window").distinct().collect())
-    marked = docs.select(F.monotonically_increasing_id().alias("row_id"), docs["doc_id"].cast("long"), docs[text].cast("string")) \
+    row_id = docs[row] if row else F.monotonically_increasing_id()
+    marked = docs.select(row_id.alias("row_id"), docs["doc_id"].cast("long"), docs[text].cast("string")) \
         .mapInArrow(_doc_batches(bits, short), _DOC_SCHEMA)
     hits = extend(marked.join(prints, ["window", "hash"], "left"))
     by_row = hits.groupBy("row_id", "doc_id").agg(
@@ -173,12 +176,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents in which no benchmark window occurs, columns unchanged.
-
-    Rows are told by doc_id: a contaminated row takes rows with the same doc_id with it.
-    """
-    bad = decontaminate(docs, items, scratch).where("n_hit > 0").select(F.col("doc_id").alias("bad__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad__id")), "left_anti")
+    """The rows in which no benchmark window occurs, columns unchanged."""
+    rows = scratch.write(docs.withColumn("decontam__row", F.monotonically_increasing_id()), "rows")
+    bad = decontaminate(rows, items, scratch, row="decontam__row").where("n_hit > 0")
+    return rows.join(bad.select(F.col("row_id").alias("decontam__row")), "decontam__row", "left_anti").select(*docs.columns)
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
