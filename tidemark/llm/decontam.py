@@ -12,7 +12,9 @@ document's fingerprints where they arise; the rest are joined by key (Spark broa
 items' side only if it has measured it to be small, and splits hot keys otherwise). One marker row
 per document goes through the same join, under a key of its own, so that clean documents stay
 in the result without a second scan. The filtering stage writes its input with a row id first, so
-that only the rows judged contaminated leave.
+that only the rows judged contaminated leave: those with a hit of WINDOW words or more, and those in
+which hits make up SHORT_PERCENT of the words. A shorter item inside a longer text is no
+proof (an item may be one word), so the stage keeps that text; ``decontaminate`` reports it.
 
 Defined results: a null text has no words; an item without words never occurs; repeated
 document rows each get a row; repeated items with one item_id count once; the windows of an
@@ -36,6 +38,8 @@ from .storage import Scratch, table
 WINDOW = 10
 GRAM = 5
 RUN = WINDOW - GRAM + 1
+#: Share of a document's words that hits of short items have to make up for the stage to drop it.
+SHORT_PERCENT = 50
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -154,8 +158,8 @@ def extend(joined: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str = "text", row: str | None = None) -> DataFrame:
-    """One row per document row: row_id (the column ``row``, if given), doc_id, n_words, n_hit, the hit ranges of words
-    and the items that occur."""
+    """One row per document row: row_id (the column ``row``, if given), doc_id, n_words, n_hit, the hit ranges of words,
+    the items that occur, and whether a whole window does."""
     spark = docs.sparkSession
     prints = scratch.write(item_fingerprints(items), "items")
     bits = spark.sparkContext.broadcast(bit_table(prints, F.col("hash")))
@@ -166,6 +170,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str
     hits = extend(marked.join(prints, ["window", "hash"], "left"))
     by_row = hits.groupBy("row_id", "doc_id").agg(
         F.max("n_words").alias("n_words"),
+        F.max(F.col("hit") & (F.col("window") == WINDOW)).alias("whole_window"),
         F.array_sort(F.collect_set(F.when(F.col("hit"), F.struct("start", "stop")))).alias("ranges"),
         F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("item_id")))).alias("items"))
     covered = F.aggregate(
@@ -176,9 +181,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows in which no benchmark window occurs, columns unchanged."""
+    """The rows in which no benchmark window occurs and that don't consist of short items, columns unchanged."""
     rows = scratch.write(docs.withColumn("decontam__row", F.monotonically_increasing_id()), "rows")
-    bad = decontaminate(rows, items, scratch, row="decontam__row").where("n_hit > 0")
+    bad = decontaminate(rows, items, scratch, row="decontam__row") \
+        .where(f"whole_window or (n_hit > 0 and 100 * n_hit >= {SHORT_PERCENT} * n_words)")
     return rows.join(bad.select(F.col("row_id").alias("decontam__row")), "decontam__row", "left_anti").select(*docs.columns)
 
 
