@@ -3,6 +3,11 @@
 Every measure is a built-in expression over the whole text (no user function, no
 shuffle): the query is a scan and a projection, whatever the size or skew of the input.
 
+The query applies every threshold to every text, as its SQL does. The filtering stage doesn't
+drop a text for two of them where they say nothing about quality: the upper bound of ``length``
+(packing splits long texts), and ``stop_words`` where the list doesn't cover the text, because the column
+``lang`` (if there is one) names another language or because fewer than half of its letters are Latin.
+
 Defined results: a null text has no words (all counts 0, base_failed true); repeated
 rows each get their own row; other columns of the input are ignored by ``op10_quality``
 and kept by ``keep_good``.
@@ -19,6 +24,8 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Languages of the stop words.
+COVERED = ("en", "de", "fr", "es", "it")
 
 #: Common function words of the languages served.
 STOP_WORDS = (
@@ -111,14 +118,30 @@ def measure(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     }).withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.size(f"{p}failed_rules") == 0))
 
 
+def _uncovered(docs: DataFrame, body: Column) -> Column:
+    """Whether the stop words don't cover a text's language, if it is given, or its script."""
+    letters = F.regexp_count(body, F.lit(r"\p{L}"))
+    by_script = 2 * F.regexp_count(body, F.lit(r"\p{IsLatin}")) < letters
+    if "lang" not in docs.columns:
+        return by_script
+    lang = F.regexp_extract(F.lower(F.trim(docs["lang"].cast("string"))), "^[a-z]+", 0)
+    return F.when(F.length(lang) > 0, ~lang.isin(*COVERED) | by_script).otherwise(by_script)
+
+
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose text passes every rule, with the columns they came with.
+    """The rows whose text passes every rule that applies to it, with the columns they came with.
 
     A row id beside the verdict holds the filter above the projection; pushed below it, the filter
     would spell out every measure as often as the rules refer to it.
     """
-    judged = measure(docs, text, "quality__").withColumn("quality__row", F.monotonically_increasing_id())
-    return judged.where("quality__kept and quality__row >= 0").select(*[docs[c] for c in docs.columns])
+    failed = F.col("quality__failed_rules")
+    excused = F.array_compact(F.array(
+        F.when(F.array_contains(failed, "length") & (F.col("quality__n_words") >= MIN_WORDS), F.lit("length")),
+        F.when(F.array_contains(failed, "stop_words") & _uncovered(docs, F.coalesce(docs[text], F.lit(""))), F.lit("stop_words"))))
+    judged = measure(docs, text, "quality__") \
+        .withColumn("quality__good", ~F.col("quality__base_failed") & (F.size(F.array_except(failed, excused)) == 0)) \
+        .withColumn("quality__row", F.monotonically_increasing_id())
+    return judged.where("quality__good and quality__row >= 0").select(*[docs[c] for c in docs.columns])
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
