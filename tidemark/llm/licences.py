@@ -1,16 +1,23 @@
 """License scans: a trained paragraph classifier with an unknown class and template comparison.
 
-Paragraphs are the lines of a text. Features are the word pairs and triples that occur in the
-templates of the licence families (a fixed vocabulary); a multinomial logistic regression with
-an elastic-net penalty is trained on altered templates (words dropped, corpus words around them) and on
-paragraphs of the corpus without a template, a bounded sample. A temperature fitted on
-rows kept aside calibrates its probabilities; a paragraph whose best family stays under the
-threshold fitted there, or whose family has no template of which CONFIRM of the
-pairs and triples occur, is ``unknown``.
-
-Every paragraph is scored with DataFrame expressions: its pairs of template words are exploded and
-joined with the weights, so a paragraph without any leaves no row; weights and templates have a
-few hundred rows, whatever the corpus. Only these matches are shuffled, by document and line.
+A paragraph is a block of lines without a blank line between them; a blank line before a list item doesn't end
+it, so that the conditions of a notice stay with its first sentence. Line breaks and comment marks count as spaces.
+A notice may also be one line in a longer paragraph: the lines of a paragraph of several lines are scored as well.
+Features are the word pairs and triples that occur in the templates of the licence families (a
+fixed vocabulary); a multinomial logistic regression with an elastic-net penalty is trained on
+altered templates (words dropped, alone, after corpus words or inside corpus paragraphs) and on lines and paragraphs
+of the corpus without a template, a bounded sample of rows. A temperature fitted on rows kept aside calibrates its
+probabilities.
+
+A family is confirmed if its probability reaches the threshold fitted there and CONFIRM of the pairs and triples of
+one of its templates occur. What looks
+like a licence and isn't confirmed is ``unknown``: a line, or a whole paragraph that reaches the
+threshold. A paragraph counts for a family that none of its lines was confirmed for, and its unconfirmed lines
+don't count then.
+
+Every line and paragraph is scored with DataFrame expressions: its pairs of template words are exploded and
+joined with the weights, so one without any leaves no row; weights and templates have a
+few thousand rows, whatever the corpus. Only these matches are shuffled, by document and place.
 
 Defined results: a null text, or one without a licence paragraph, is ``none``; rows that
 repeat a doc_id are one document, whose paragraphs are taken together; null doc_ids are one
@@ -58,6 +65,10 @@ ALTERED = 60
 SAMPLE_DOCUMENTS = 300
 SAMPLE_PARAGRAPHS = 4000
 CONFIRM = 0.6
+#: A sampled paragraph in which this share of a template occurs isn't an example of a plain one.
+PLAIN = 0.5
+#: Blank lines, unless a list item follows. It reads every run of spaces once.
+PARAGRAPH = r"(?<!\s)(?=[ \t\r\f\x0B]*+\n[ \t\r\f\x0B]*+\n)\s++(?!(?:[0-9]{1,2}[.)]|\([0-9a-z]\)|[*\u2022-])\s)"
 PRECISION = 0.99
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)
 
@@ -92,41 +103,53 @@ def grams(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line, words of every line with a word."""
-    lines = docs.select(docs["doc_id"].cast("long").alias("doc_id"),
-                        F.posexplode(F.split(F.coalesce(docs[text].cast("string"), F.lit("")), "\n")).alias("line", "paragraph"))
-    return lines.withColumn("words", _words(F.col("paragraph"))).where(F.size("words") > 0)
+    """doc_id, block, line and passage: every paragraph (line -1), and the lines of those with several."""
+    body = F.coalesce(docs[text].cast("string"), F.lit(""))
+    blocks = docs.select(docs["doc_id"].cast("long").alias("doc_id"),
+                         F.posexplode(F.split(body, PARAGRAPH)).alias("block", "paragraph"))
+    lines = F.split("paragraph", "\n")
+    passages = F.concat(F.array("paragraph"), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))
+    return blocks.select("doc_id", "block", F.posexplode(passages).alias("line", "passage")) \
+        .withColumn("line", F.col("line") - 1)
 
 
 def training_rows(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """family, grams and part (0-2; 2 is kept aside) of altered templates and sampled paragraphs.
+    """family, grams and part (0-2; 2 is kept aside) of altered templates and sampled lines and paragraphs.
 
-    The sample is bounded: SAMPLE_PARAGRAPHS paragraphs of SAMPLE_DOCUMENTS documents, those first in hash order.
+    The sample is bounded: SAMPLE_PARAGRAPHS of SAMPLE_DOCUMENTS documents, those first in hash order, half of the
+    rows whole paragraphs if there are so many. Of their words, only pairs and triples in the vocabulary are held.
     """
     spark = docs.sparkSession
     some = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct() \
         .orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
     some = scratch.write(some, "sampled")
-    lines = paragraphs(docs.join(some, docs["doc_id"].cast("long") == F.col("id"), "left_semi"), text)
-    lines = lines.select(F.xxhash64("doc_id", "line").alias("h"), "doc_id", "line", "words") \
-        .orderBy("h", "doc_id", "line").limit(SAMPLE_PARAGRAPHS)
-    lines = scratch.write(lines.select("h", F.slice("words", 1, 60).alias("words")), "lines")
+    vocabulary = F.array(*[F.lit(g) for g in VOCABULARY])
+    sample = paragraphs(docs.join(some, docs["doc_id"].cast("long") == F.col("id"), "left_semi"), text) \
+        .withColumn("h", F.xxhash64("doc_id", "block", "line"))
+    sample = scratch.write(sample.withColumn("words", _words(F.col("passage"))).where(F.size("words") > 0).select(
+        "h", "doc_id", "block", "line", F.slice("words", 1, 8).alias("head"),
+        F.array_intersect(grams(F.slice("words", 1, 60)), vocabulary).alias("grams")), "sample")
+    half = [sample.where(c).orderBy("h", "doc_id", "block", "line").limit(SAMPLE_PARAGRAPHS // 2) for c in ("line < 0", "line >= 0")]
+    lines = scratch.write(half[0].unionByName(half[1]).select("h", "head", "grams"), "lines")
     n_lines = max(1, lines.count())
-    order = scratch.write(lines.select(F.expr(f"row_number() over (order by h) % {n_lines}").alias("nth"), "words"), "order")
+    order = scratch.write(lines.select(F.expr(f"row_number() over (order by h) % {n_lines}").alias("nth"),
+                                       "head", F.col("grams").alias("other")), "order")
     rows = [(i, f, _plain_words(t)) for i, (f, t) in enumerate(TEMPLATES)]
     t = spark.createDataFrame(rows, "i int, family string, t array<string>") \
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(ALTERED - 1))))
+    likeness = F.array_max(F.array(*[F.size(F.array_intersect("other", F.array(*[F.lit(g) for g in x]))) / len(x)
+                                     for x in map(_plain_grams, [t for _, t in TEMPLATES])]))
+    order = scratch.write(order.withColumn("plain", F.coalesce(likeness, F.lit(0.0)) < PLAIN), "plain")
     t = t.withColumn("nth", F.pmod(F.xxhash64("i", "copy"), F.lit(n_lines)).cast("int")).join(order, "nth", "left")
     drop = F.col("copy") % 4 * 7  # percent of words left out
     kept = F.filter("t", lambda w, k: F.pmod(F.xxhash64("i", "copy", k), F.lit(100)) >= drop)
-    around = F.coalesce(F.when(F.col("copy") % 2 == 1, F.slice("words", 1, 8)), F.array().cast("array<string>"))
-    altered = t.select("family", F.concat(around, kept).alias("words"), F.xxhash64("copy", "i").alias("h"))
-    vocabulary = F.array(*[F.lit(g) for g in VOCABULARY])
-    plain = order.where(F.size(F.array_intersect(grams(F.col("words")), vocabulary)) < 3) \
-        .select(F.lit(NONE).alias("family"), "words", F.xxhash64("nth").alias("h"))
+    empty = F.array().cast("array<string>")
+    around = F.coalesce(F.when(F.col("copy") % 2 == 1, F.col("head")), empty)
+    inside = F.coalesce(F.when((F.col("copy") % 3 == 2) & F.col("plain"), F.col("other")), empty)
+    altered = t.select("family", F.array_union(grams(F.concat(around, kept)), inside).alias("grams"), F.xxhash64("copy", "i").alias("h"))
+    plain = order.where("plain").select(F.lit(NONE).alias("family"), F.col("other").alias("grams"), F.xxhash64("nth").alias("h"))
     every = altered.unionByName(plain)
-    return scratch.write(every.select("family", grams(F.col("words")).alias("grams"),
-                                      F.pmod("h", F.lit(3)).alias("part")).repartition(2), "training")
+    return scratch.write(every.select("family", "grams", F.pmod("h", F.lit(3)).alias("part")).repartition(2), "training")
 
 
 def _logits(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,39 +212,59 @@ class Classifier:
         return float(temperature), float(level if level is not None else 0.95)
 
     def classify(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """doc_id, line, family (or unknown), p and similarity of every paragraph that looks like a licence,
-        and one row with line -1 per document."""
-        body = F.coalesce(docs[text].cast("string"), F.lit(""))
-        lines = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.posexplode(F.concat(
-            F.transform(F.split(body, "\n"), lambda x: grams(_words(x))), F.array(F.array(F.lit("")))
-        )).alias("line", "grams"), F.size(F.split(body, "\n")).alias("n"))
-        found = lines.where((F.size("grams") > 0)).select(
-            "doc_id", F.when(F.col("line") < F.col("n"), F.col("line")).otherwise(-1).alias("line"), F.explode("grams").alias("gram")) \
-            .join(self.weights, "gram")
-        scored = _logits(found, ["doc_id", "line"])
+        """doc_id, block, line (-1: the paragraph), family (or unknown), p and similarity of every line and paragraph that looks
+        like a licence, and one row with block -1 per document."""
+        passages = paragraphs(docs, text).select("doc_id", "block", "line", grams(_words(F.col("passage"))).alias("grams"))
+        marks = F.when((F.col("block") == 0) & (F.col("line") < 0), F.array(F.struct(F.lit(-1).alias("block"), F.lit("").alias("gram")))) \
+            .otherwise(F.array().cast("array<struct<block: int, gram: string>>"))
+        found = passages.select("doc_id", "block", "line", F.explode(F.concat(F.transform(
+            "grams", lambda g: F.struct(F.col("block").alias("block"), g.alias("gram"))), marks)).alias("g")) \
+            .select("doc_id", F.col("g")["block"].alias("block"), "line", F.col("g")["gram"].alias("gram")).join(self.weights, "gram")
+        scored = _logits(found, ["doc_id", "block", "line"])
         intercept = self.weights.where("gram = ''").first()
         z = [F.col(f"z{k}") + intercept[f"w{k}"] for k in range(len(FAMILIES))]
         p = _probabilities(z, self.temperature)
         scored = scored.withColumn("probs", p).withColumn("p", F.array_max("probs")) \
             .withColumn("family", F.get(F.array(*[F.lit(f) for f in FAMILIES]), (F.array_position("probs", F.col("p")) - 1).cast("int")))
-        scored = scored.where((F.col("family") != NONE) | (F.col("line") < 0)).select("doc_id", "line", "family", "p", "gids")
-        same = scored.join(self.templates.groupBy("family").agg(F.collect_list("template").alias("all")), "family", "left")
-        same = same.withColumn("similarity", F.coalesce(F.array_max(F.transform(
-            "all", lambda t: F.size(F.array_intersect("gids", t)) / F.size(t))), F.lit(0.0)))
-        sure = (F.col("p") >= self.threshold) & (F.col("similarity") >= CONFIRM)
-        return same.select("doc_id", "line", F.when(F.col("line") < 0, NONE).when(sure, F.col("family")).otherwise(UNKNOWN)
-                           .alias("family"), "p", "similarity")
+        scored = scored.where((F.col("family") != NONE) | (F.col("block") < 0)).select("doc_id", "block", "line", "family", "p", "gids")
+        same = scored.join(self.templates.groupBy("family").agg(F.collect_list(F.struct("template")).alias("all")),
+                           "family", "left")
+
+        def share(of: Column) -> Column:
+            return F.size(F.array_intersect("gids", of)) / F.size(of)
+
+        def holds(t: Column) -> Column:
+            return share(t["template"]) >= CONFIRM
+
+        likely = (F.col("block") >= 0) & (F.col("p") >= self.threshold)
+        same = same.withColumns({
+            "similarity": F.coalesce(F.array_max(F.transform("all", lambda t: share(t["template"]))), F.lit(0.0)),
+            "sure": F.when(likely, F.coalesce(F.exists("all", holds), F.lit(False))).otherwise(F.lit(False))})
+        same = same.where((F.col("block") < 0) | F.col("sure") | (F.col("line") >= 0) | likely)
+        return same.select("doc_id", "block", "line", F.when(F.col("block") < 0, NONE).when(F.col("sure"), F.col("family"))
+                           .otherwise(UNKNOWN).alias("family"), "p", "similarity")
 
 
 def scan(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """doc_id, license (the surest family; unknown if only doubtful paragraphs; none), licenses, paragraph counts, confidence."""
     hits = Classifier(docs, scratch, text).classify(docs, text)
-    real, known = F.col("line") >= 0, (F.col("line") >= 0) & (F.col("family") != UNKNOWN)
-    out = hits.groupBy("doc_id").agg(
-        F.max(F.when(known, F.struct(F.round("p", 6).alias("p"), "family")))["family"].alias("first"),
-        F.array_sort(F.collect_set(F.when(known, F.col("family")))).alias("licenses"),
-        F.count(F.when(known, 1)).alias("n_license_paragraphs"),
-        F.count(F.when(real & ~known, 1)).alias("n_unknown_paragraphs"),
+    sure, whole = F.col("family") != UNKNOWN, F.col("line") < 0
+    blocks = hits.groupBy("doc_id", "block").agg(
+        F.max(F.when(sure, F.struct(F.round("p", 6).alias("p"), "family"))).alias("first"),
+        F.collect_set(F.when(sure, F.col("family"))).alias("families"),
+        F.collect_set(F.when(sure & ~whole, F.col("family"))).alias("line_families"),
+        F.count(F.when(sure & ~whole, 1)).alias("known_lines"), F.count(F.when(~sure & ~whole, 1)).alias("unknown_lines"),
+        F.max(F.when(whole, sure)).alias("whole_sure"), F.max("p").alias("p"))
+    real = F.col("block") >= 0
+    by_whole = F.size(F.array_except("families", "line_families"))  # 1 if the paragraph tells more than its lines
+    # a paragraph of one line has no lines of its own
+    unknown = F.when(by_whole > 0, 0).otherwise(F.greatest("unknown_lines", F.when(
+        ~F.col("whole_sure") & (F.col("known_lines") == 0), 1).otherwise(0)))
+    out = blocks.groupBy("doc_id").agg(
+        F.max(F.when(real, F.col("first")))["family"].alias("first"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(real, F.col("families")))))).alias("licenses"),
+        F.sum(F.when(real, F.col("known_lines") + by_whole).otherwise(0)).alias("n_license_paragraphs"),
+        F.sum(F.when(real, unknown).otherwise(0)).cast("long").alias("n_unknown_paragraphs"),
         F.round(F.max(F.when(real, F.col("p"))), 6).alias("confidence"))
     return out.select("doc_id", F.coalesce("first", F.when(F.col("n_unknown_paragraphs") > 0, UNKNOWN), F.lit(NONE)).alias("license"),
                       F.array_join("licenses", ",").alias("licenses"), "n_license_paragraphs", "n_unknown_paragraphs", "confidence")
