@@ -9,11 +9,14 @@ altered templates (words dropped, alone, after corpus words or inside corpus par
 of the corpus without a template, a bounded sample of rows. A temperature fitted on rows kept aside calibrates its
 probabilities.
 
-A family is confirmed if its probability reaches the threshold fitted there and CONFIRM of the pairs and triples of
-one of its templates occur. What looks
+A family is confirmed if its probability reaches the threshold fitted there, CONFIRM of the pairs and triples of one of
+its templates occur, all pairs that end in a number among them (its version), and no
+template of another family that occurs as well speaks against it: of the pairs and triples that only one of the two
+has, those of the confirmed template occur to the larger share, CONFIRM at least. If it has none of its own (a two-clause
+BSD notice lies inside the three-clause one), less than CONFIRM of the other's may occur. What looks
 like a licence and isn't confirmed is ``unknown``: a line, or a whole paragraph that reaches the
 threshold. A paragraph counts for a family that none of its lines was confirmed for, and its unconfirmed lines
-don't count then.
+don't count then. The first sentence of a BSD licence alone doesn't tell the number of clauses and is ``unknown``.
 
 Every line and paragraph is scored with DataFrame expressions: its pairs of template words are exploded and
 joined with the weights, so one without any leaves no row; weights and templates have a
@@ -34,14 +37,41 @@ from pyspark.sql import functions as F
 from .storage import Scratch, table
 
 NONE, UNKNOWN = "none", "unknown"
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by "
+        "the Free Software Foundation, either {} of the License, or (at your option) any later version.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution.")
 #: Notices of the licence families, as their publishers give them.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
                    "compliance with the License."),
     ("bsd-3-clause", "Licensed under the BSD 3-Clause License."),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met:"),
+    ("bsd-3-clause", f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-2-clause", "Licensed under the BSD 2-Clause License."),
+    ("bsd-2-clause", _BSD),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("agpl-3.0", _GNU.format("GNU Affero General Public License", "version 3")),
+    ("cc0-1.0", "Licensed under CC0 1.0."),
+    ("cc0-1.0", "This work is licensed under a Creative Commons Zero v1.0 Universal license."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+                "this work. This work is marked with CC0 1.0 Universal."),
+    ("cc0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+                "rights to this software to the public domain worldwide. This software is distributed without any warranty. "
+                "You should have received a copy of the CC0 Public Domain Dedication along with this software."),
+    ("isc", "Released under the ISC License."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("lgpl-2.1", _GNU.format("GNU Lesser General Public License", "version 2.1").replace("This program", "This library")),
+    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("lgpl-3.0", _GNU.format("GNU Lesser General Public License", "version 3")),
     ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
@@ -50,14 +80,19 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-                "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-                "or (at your option) any later version."),
+    ("gpl-2.0", _GNU.format("GNU General Public License", "version 2")),
+    ("gpl-3.0", _GNU.format("GNU General Public License", "version 3")),
     ("mit", "Released under the MIT License."),
     ("mit", "This project is licensed under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files, to deal in the Software without restriction."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 FAMILIES = [NONE, *sorted({f for f, _ in TEMPLATES})]
 #: Altered copies of each template, and documents whose paragraphs are the other class, at most.
@@ -86,6 +121,11 @@ def _plain_grams(text: str) -> list[str]:
     return sorted({" ".join(w[i:i + k]) for k in (2, 3) for i in range(len(w) - k + 1)})
 
 
+def _numbered(gram: str) -> bool:
+    """Whether it is a pair that ends in a number."""
+    return len(w := gram.split()) == 2 and w[1].isdigit()
+
+
 VOCABULARY = sorted({g for _, t in TEMPLATES for g in _plain_grams(t)})
 TEMPLATE_WORDS = sorted({w for _, t in TEMPLATES for w in _plain_words(t)})
 
@@ -185,9 +225,11 @@ class Classifier:
         self.weights = scratch.write(spark.createDataFrame(
             table_rows, "gram string, gid int, " + ", ".join(f"{x} double" for x in names)).coalesce(1), "weights")
         place = {g: i for i, g in enumerate(VOCABULARY)}
+        held = [(f, {place[g] for g in _plain_grams(t)}, [place[g] for g in _plain_grams(t) if _numbered(g)]) for f, t in TEMPLATES]
         self.templates = scratch.write(spark.createDataFrame(
-            [(f, [place[g] for g in _plain_grams(t)]) for f, t in TEMPLATES], "family string, template array<int>").coalesce(1),
-            "templates")
+            [(f, sorted(t), key, [(sorted(r), sorted(t - r), sorted(r - t)) for g, r, _ in held if g != f]) for f, t, key in held],
+            "family string, template array<int>, key array<int>, "
+            "rivals array<struct<whole: array<int>, mine: array<int>, theirs: array<int>>>").coalesce(1), "templates")
         self.temperature, self.threshold = self._calibrate(rows.where("part = 2"))
 
     def matches(self, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -227,14 +269,20 @@ class Classifier:
         scored = scored.withColumn("probs", p).withColumn("p", F.array_max("probs")) \
             .withColumn("family", F.get(F.array(*[F.lit(f) for f in FAMILIES]), (F.array_position("probs", F.col("p")) - 1).cast("int")))
         scored = scored.where((F.col("family") != NONE) | (F.col("block") < 0)).select("doc_id", "block", "line", "family", "p", "gids")
-        same = scored.join(self.templates.groupBy("family").agg(F.collect_list(F.struct("template")).alias("all")),
+        same = scored.join(self.templates.groupBy("family").agg(F.collect_list(F.struct("template", "key", "rivals")).alias("all")),
                            "family", "left")
 
         def share(of: Column) -> Column:
             return F.size(F.array_intersect("gids", of)) / F.size(of)
 
+        def beats(r: Column) -> Column:
+            own = F.when(F.size(r["mine"]) > 0, (share(r["mine"]) >= share(r["theirs"])) & (share(r["mine"]) >= CONFIRM))
+            own = F.when(F.size(r["theirs"]) > 0, F.coalesce(own, share(r["theirs"]) < CONFIRM)).otherwise(F.size(r["mine"]) > 0)
+            return (share(r["whole"]) < CONFIRM) | own
+
         def holds(t: Column) -> Column:
-            return share(t["template"]) >= CONFIRM
+            return (share(t["template"]) >= CONFIRM) & (F.size(F.array_except(t["key"], F.col("gids"))) == 0) \
+                & F.forall(t["rivals"], beats)
 
         likely = (F.col("block") >= 0) & (F.col("p") >= self.threshold)
         same = same.withColumns({
