@@ -168,7 +168,7 @@ def training_rows(docs: DataFrame, scratch: Scratch, text: str = "text") -> Data
         .withColumn("h", F.xxhash64("doc_id", "block", "line"))
     sample = scratch.write(sample.withColumn("words", _words(F.col("passage"))).where(F.size("words") > 0).select(
         "h", "doc_id", "block", "line", F.slice("words", 1, 8).alias("head"),
-        F.array_intersect(grams(F.slice("words", 1, 60)), vocabulary).alias("grams")), "sample")
+        F.array_intersect(grams(F.col("words")), vocabulary).alias("grams")), "sample")
     half = [sample.where(c).orderBy("h", "doc_id", "block", "line").limit(SAMPLE_PARAGRAPHS // 2) for c in ("line < 0", "line >= 0")]
     lines = scratch.write(half[0].unionByName(half[1]).select("h", "head", "grams"), "lines")
     n_lines = max(1, lines.count())
