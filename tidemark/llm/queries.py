@@ -8,11 +8,13 @@ from .langid import op3_langid
 from .lattice_lm import op2_lattice_lm
 from .licences import op1_licences
 from .mixing import op8_mixing
+from .negatives import op13_hard_negatives
 from .neardup import op9_neardup
 from .oracles import ORACLES
 from .packing import op7_packing
 from .quality import op10_quality
 from .secrets import op5_secrets
+from .whitening import op12_whitening
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -27,4 +29,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_neardup": op9_neardup,
     "op10_quality": op10_quality,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
