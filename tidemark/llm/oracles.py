@@ -70,10 +70,10 @@ FROM v
 NEGATIVES = r"""
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x
+    [floor(256 * c::DOUBLE) FOR c IN embedding] AS x
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
 ), s AS (
   SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.x, r.x)::BIGINT AS score
   FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
