@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op6_chat
 from .decontam import op4_decontam
+from .disclosure import op11_personal_data
 from .langid import op3_langid
 from .lattice_lm import op2_lattice_lm
 from .licences import op1_licences
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_neardup": op9_neardup,
     "op10_quality": op10_quality,
+    "op11_personal_data": op11_personal_data,
     "op12_whitening": op12_whitening,
     "op13_hard_negatives": op13_hard_negatives,
 }
