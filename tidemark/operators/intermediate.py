@@ -15,13 +15,16 @@ from ..functions.core import MICROS_PER_DAY, avg_days, micros_between, ratio, rn
 
 
 def int_order_items_aggregated(items: DataFrame) -> DataFrame:
+    """Totals per order. The products and sellers of an order are gathered as sets, map-side
+    first (they hold an order's distinct values, not its rows), so no row is expanded once per
+    distinct count and there is one exchange."""
     return (items.groupBy("order_id")
             .agg(F.count(F.lit(1)).alias("item_count"),
                  F.sum("price").cast("decimal(14,2)").alias("product_revenue"),
                  F.sum("freight_value").cast("decimal(14,2)").alias("freight_revenue"),
                  F.sum("item_revenue").cast("decimal(14,2)").alias("total_order_item_revenue"),
-                 F.count_distinct("product_id").alias("unique_products_count"),
-                 F.count_distinct("seller_id").alias("unique_sellers_count")))
+                 F.size(F.collect_set("product_id")).cast("long").alias("unique_products_count"),
+                 F.size(F.collect_set("seller_id")).cast("long").alias("unique_sellers_count")))
 
 
 def int_order_reviews_aggregated(reviews: DataFrame) -> DataFrame:

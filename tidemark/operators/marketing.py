@@ -94,7 +94,7 @@ def segment_performance(funnel: DataFrame) -> DataFrame:
                  _money("declared_monthly_revenue").alias("total_declared_monthly_revenue"),
                  rnd_double(F.coalesce(F.avg("declared_monthly_revenue"), F.lit(0)), 2).alias("avg_declared_monthly_revenue"),
                  _money("actual_marketplace_revenue").alias("total_actual_marketplace_revenue"),
-                 count_if(_active()).cast("int").alias("active_sellers_count"))
+                 count_if(_active()).alias("active_sellers_count"))
             .orderBy(F.desc("total_actual_marketplace_revenue"), F.desc("closed_deals_count"), "business_segment"))
 
 

@@ -1,9 +1,9 @@
 """Mart layer: fact/dimension tables and customer, product, seller, funnel marts.
 
-Join order is chosen so that shuffles are reused: all order-grain inputs are
-keyed by ``order_id`` and joined first (their aggregations already hash
-partition them on ``order_id``, so the left joins need no extra exchange);
-only then is the result re-keyed to the customer.
+Join order is chosen so that little is dealt twice: the narrow orders meet their
+customer first and are then dealt by ``order_id``; all order-grain inputs are already
+hash partitioned on it by their aggregations, so the left joins need no extra exchange
+and the wide result stays where it is, by ``order_id``.
 """
 
 from __future__ import annotations
@@ -11,16 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import avg_days, ratio, rnd, whole_days
+from ..functions.core import MICROS_PER_DAY, ratio, rnd, whole_days
 
 
 def fact_orders(orders: DataFrame, customers: DataFrame, items_agg: DataFrame,
                 payments: DataFrame, reviews_agg: DataFrame) -> DataFrame:
     z, f = F.lit(0), F.lit(False)
-    joined = (orders.join(items_agg, "order_id", "left")
+    joined = (orders.join(customers.select("customer_id", "customer_unique_id"), "customer_id")
+              .join(items_agg, "order_id", "left")
               .join(payments, "order_id", "left")
-              .join(reviews_agg, "order_id", "left")
-              .join(customers.select("customer_id", "customer_unique_id"), "customer_id"))
+              .join(reviews_agg, "order_id", "left"))
     return joined.select(
         "order_id", "customer_id", "customer_unique_id", "order_status", "purchased_at",
         "approved_at", "shipped_at", "delivered_at", "estimated_delivery_at", "delivery_delay_days",
@@ -112,8 +112,8 @@ def mart_product_metrics(products: DataFrame, items: DataFrame, reviews_agg: Dat
     z = F.lit(0)
     return (products.join(sales, "product_id", "left")
             .select("product_id", "category_name_pt", "category_name_en",
-                    F.coalesce("total_units_sold", z).cast("int").alias("total_units_sold"),
-                    F.coalesce("total_orders_count", z).cast("int").alias("total_orders_count"),
+                    F.coalesce("total_units_sold", z).cast("long").alias("total_units_sold"),
+                    F.coalesce("total_orders_count", z).cast("long").alias("total_orders_count"),
                     F.coalesce("total_revenue", z).cast("decimal(14,2)").alias("total_revenue"),
                     F.coalesce("avg_unit_price", z).cast("decimal(10,2)").alias("avg_unit_price"),
                     F.col("s_avg_review_score").cast("decimal(10,2)").alias("avg_review_score"),
@@ -125,36 +125,55 @@ def mart_seller_metrics(sellers: DataFrame, items: DataFrame, orders: DataFrame,
                         reviews_agg: DataFrame) -> DataFrame:
     """Per-seller scorecard; every average runs over item rows (item-weighted).
 
-    Missing delay or review counts as "not late" / "not positive".
+    Missing delay or review counts as "not late" / "not positive". ``items`` are the raw items: joining the
+    delivered orders also selects them. Items, orders and reviews meet on order_id, where a seller's items of
+    an order become one row, with its products as a set (no further exchange). A row for its numbers and one for
+    each product are then reduced by (seller, product), map-side first, and only that by seller: both
+    distinct counts are row counts, and a seller with a third of all items is spread over its products.
     """
-    base = (items.select("order_id", "order_item_id", "seller_id", "product_id", "item_revenue")
-            .join(orders.select("order_id", "delivery_delay_micros"), "order_id")
-            .join(reviews_agg.select("order_id", "avg_review_score"), "order_id", "left"))
-    d, r = F.col("delivery_delay_micros"), F.col("avg_review_score")
-    late = F.when(d > 0, 1.0).otherwise(0.0)
-    pos = F.when(r >= 4.0, 1.0).otherwise(0.0)
-    agg = (base.groupBy("seller_id")
-           .agg(F.count_distinct("order_id").alias("total_orders_fulfilled"),
-                F.count("order_item_id").alias("total_items_sold"),
-                F.count_distinct("product_id").alias("total_unique_products"),
-                rnd(F.coalesce(F.sum("item_revenue"), F.lit(0)), 2).alias("total_revenue"),
-                rnd(F.coalesce(F.avg("item_revenue"), F.lit(0)), 2).alias("avg_item_value"),
-                rnd(F.coalesce(avg_days(d), F.lit(0.0)), 1).alias("avg_delivery_delay_days"),
-                rnd(F.coalesce(F.avg(late), F.lit(0.0)) * 100.0, 2).alias("late_delivery_rate"),
-                rnd(F.coalesce(F.avg(r), F.lit(0)), 2).alias("s_avg_review_score"),
-                rnd(F.coalesce(F.avg(pos), F.lit(0.0)) * 100.0, 2).alias("positive_reviews_rate")))
+    m, r, n = F.col("delivery_delay_micros"), F.col("avg_review_score"), F.col("n")
+    by_order = (items.select("order_id", "order_item_id", "seller_id", "product_id",
+                             (F.col("price") + F.col("freight_value")).alias("item_revenue"))
+                .join(orders.select("order_id", "delivery_delay_micros"), "order_id")
+                .groupBy("order_id", "seller_id")
+                .agg(F.count("order_item_id").alias("n"), F.sum("item_revenue").alias("revenue"),
+                     F.count("item_revenue").alias("n_revenue"), F.count(F.lit(1)).alias("n_rows"),
+                     F.max("delivery_delay_micros").alias("delivery_delay_micros"),
+                     F.collect_set("product_id").alias("products"))
+                .join(reviews_agg.select("order_id", "avg_review_score"), "order_id", "left"))
+    rows = F.col("n_rows")
+    parts = {"orders": F.lit(1).cast("long"), "items": n, "rows": rows, "revenue": F.col("revenue"), "n_revenue": F.col("n_revenue"),
+             "delay": m.cast("decimal(18,0)") * rows, "n_delay": F.when(m.isNotNull(), rows),
+             "late": F.when(m > 0, rows), "review": r * rows, "n_review": F.when(r.isNotNull(), rows),
+             "positive": F.when(r >= 4.0, rows)}
+    numbers = F.struct(F.lit(None).cast("string").alias("product_id"), *[c.alias(k) for k, c in parts.items()])
+    types = {f.name: f.dataType for f in by_order.select(*[c.alias(k) for k, c in parts.items()]).schema}
+    products = F.transform("products", lambda p: F.struct(p.alias("product_id"), *[F.lit(None).cast(types[k]).alias(k) for k in parts]))
+    agg = (by_order.select("seller_id", F.inline(F.concat(F.array(numbers), products)))
+           .groupBy("seller_id", "product_id").agg(*[F.sum(k).alias(k) for k in parts])
+           .groupBy("seller_id").agg(*[F.sum(k).alias(k) for k in parts], F.count("product_id").alias("products")))
     z = F.lit(0)
+    some = lambda k: F.coalesce(F.col(k), z)
+    mean = lambda k, by, scale: F.coalesce((F.col(k) / F.nullif(F.col(by), z)).cast(f"decimal(38,{scale})"), z)
+    agg = agg.select(
+        "seller_id", F.col("orders").alias("total_orders_fulfilled"), F.col("items").alias("total_items_sold"),
+        F.col("products").alias("total_unique_products"), rnd(some("revenue"), 2).alias("total_revenue"),
+        rnd(mean("revenue", "n_revenue", 6), 2).alias("avg_item_value"),
+        rnd(F.coalesce(ratio(F.col("delay"), F.col("n_delay")) / MICROS_PER_DAY, F.lit(0.0)), 1).alias("avg_delivery_delay_days"),
+        rnd(ratio(some("late"), F.col("rows")) * 100.0, 2).alias("late_delivery_rate"),
+        rnd(mean("review", "n_review", 6), 2).alias("s_avg_review_score"),
+        rnd(ratio(some("positive"), F.col("rows")) * 100.0, 2).alias("positive_reviews_rate"))
     return (sellers.join(agg, "seller_id", "left")
             .select("seller_id", "city", "state", "zip_prefix",
-                    F.coalesce("total_orders_fulfilled", z).cast("int").alias("total_orders_fulfilled"),
-                    F.coalesce("total_items_sold", z).cast("int").alias("total_items_sold"),
-                    F.coalesce("total_unique_products", z).cast("int").alias("total_unique_products"),
-                    F.coalesce("total_revenue", z).cast("decimal(14,2)").alias("total_revenue"),
-                    F.coalesce("avg_item_value", z).cast("decimal(10,2)").alias("avg_item_value"),
+                    some("total_orders_fulfilled").cast("long").alias("total_orders_fulfilled"),
+                    some("total_items_sold").cast("long").alias("total_items_sold"),
+                    some("total_unique_products").cast("long").alias("total_unique_products"),
+                    some("total_revenue").cast("decimal(14,2)").alias("total_revenue"),
+                    some("avg_item_value").cast("decimal(10,2)").alias("avg_item_value"),
                     F.col("avg_delivery_delay_days").cast("decimal(10,1)").alias("avg_delivery_delay_days"),
-                    F.coalesce("late_delivery_rate", z).cast("decimal(5,2)").alias("late_delivery_rate"),
+                    some("late_delivery_rate").cast("decimal(5,2)").alias("late_delivery_rate"),
                     F.col("s_avg_review_score").cast("decimal(10,2)").alias("avg_review_score"),
-                    F.coalesce("positive_reviews_rate", z).cast("decimal(5,2)").alias("positive_reviews_rate")))
+                    some("positive_reviews_rate").cast("decimal(5,2)").alias("positive_reviews_rate")))
 
 
 def mart_marketing_funnel(leads: DataFrame, deals: DataFrame, seller_metrics: DataFrame) -> DataFrame:
@@ -174,5 +193,5 @@ def mart_marketing_funnel(leads: DataFrame, deals: DataFrame, seller_metrics: Da
         F.coalesce("declared_product_catalog_size", F.lit(0)).cast("decimal(12,2)").alias("declared_product_catalog_size"),
         (F.col("sp_seller_id").isNotNull() & F.coalesce(F.col("total_orders_fulfilled") > 0, F.lit(False)))
         .alias("is_active_marketplace_seller"),
-        F.coalesce("total_orders_fulfilled", F.lit(0)).cast("int").alias("actual_orders_fulfilled"),
+        F.coalesce("total_orders_fulfilled", F.lit(0)).cast("long").alias("actual_orders_fulfilled"),
         F.coalesce("sp_total_revenue", F.lit(0)).cast("decimal(14,2)").alias("actual_marketplace_revenue"))

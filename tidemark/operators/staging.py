@@ -55,16 +55,21 @@ def stg_order_payments(order_payments: DataFrame) -> DataFrame:
 
     Primary payment type = type of the highest non-null payment value; ties
     broken by the lowest payment_sequential (the source query leaves ties
-    open). Computed with ``min_by`` over a sort key in the same aggregation,
-    so no second pass and no per-order sort.
+    open). Value and sequence are one number that orders like the pair, so the
+    payments of an order and type are reduced by a hash aggregate, and the few
+    types of an order by another. Payments are dealt by order once, which
+    serves both.
     """
-    key = F.struct((-F.col("payment_value")).alias("v"), F.col("payment_sequential").alias("s"))
-    return (order_payments.groupBy("order_id")
-            .agg(F.min_by(F.col("payment_type"),
-                          F.when(F.col("payment_value").isNotNull(), key)).alias("primary_payment_type"),
-                 F.sum("payment_value").alias("total_payment_value"),
-                 F.sum("payment_installments").alias("total_installments"),
-                 F.count_distinct("payment_type").alias("payment_method_count"))
+    key = F.col("payment_value").cast("decimal(25,2)") * 100 * (1 << 32) - F.col("payment_sequential")
+    by_type = (order_payments.repartition("order_id").groupBy("order_id", "payment_type")
+               .agg(F.max(key.cast("decimal(38,0)")).alias("key"), F.sum("payment_value").alias("value"),
+                    F.sum("payment_installments").alias("installments")))
+    best = F.array_max(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "payment_type"))))
+    return (by_type.groupBy("order_id")
+            .agg(best["payment_type"].alias("primary_payment_type"),
+                 F.sum("value").cast("decimal(22,2)").alias("total_payment_value"),
+                 F.sum("installments").alias("total_installments"),
+                 F.count("payment_type").alias("payment_method_count"))
             .withColumn("has_multiple_payment_methods", F.col("payment_method_count") > 1)
             .select("order_id", "primary_payment_type", "total_payment_value", "total_installments",
                     "payment_method_count", "has_multiple_payment_methods"))

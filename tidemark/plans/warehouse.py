@@ -233,7 +233,7 @@ class Warehouse:
     @property
     def mart_seller_metrics(self) -> DataFrame:
         return self.table("marts/mart_seller_metrics", lambda: M.mart_seller_metrics(
-            self.stg_sellers, self.stg_order_items, self.stg_orders, self.int_order_reviews_aggregated))
+            self.stg_sellers, self.raw("order_items"), self.stg_orders, self.int_order_reviews_aggregated))
 
     @property
     def mart_marketing_funnel(self) -> DataFrame:
