@@ -1,30 +1,24 @@
-"""Exact quantiles and average percent-ranks without funnelling a column through one task.
-
-``percentile`` (exact) keeps every distinct value of the column in one
-aggregation buffer; over a customer-grain column at scale that is a single
-task holding billions of values. Instead:
-
-1. one pass computes ``count``, ``min``, ``max`` and *approximate* quantiles
-   at ``p ± margin`` (Greenwald-Khanna sketch, mergeable, map-side partials);
-2. one pass counts the rows strictly below each lower bracket and gathers
-   the distinct values inside each bracket with their multiplicities — the
-   bracket holds about ``2·margin·n`` rows, and ties collapse to one row;
-3. the exact order statistics are found by a window over each bracket's
-   candidates (bounded rows), and linearly interpolated as numpy/pandas and
-   SQL ``percentile_cont`` do. Only the edge values reach the driver.
-
-The sketch accuracy grows with the row count so that each bracket stays
-bounded. A bracket that misses its rank (not expected: the sketch's rank
-error is bounded) is retried wider.
+"""Exact quantiles, prefix sums and average percent-ranks without funnelling a column through one task.
+
+``percentile`` (exact) keeps every distinct value of a column in one aggregation buffer, and a window without
+a partition sorts all rows in one task. Here order statistics come from narrowing histograms
+(:mod:`tidemark.functions.selection`), and a prefix sum is cut at some of them: every chunk between two cuts holds
+a bounded number of rows (or the rows tied on one value, which are one row by then) and is accumulated by itself, then shifted by the totals of
+the chunks before it. The cuts are values, not partitions, so a stage that reruns deals its rows alike.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import present, select_ranks, series_of, series_sizes
+
+#: Rows of a chunk of a prefix sum.
+CHUNK_ROWS = 200_000
+
 
 def _lerp(a: float, b: float, t: float) -> float:
     # numpy's linear interpolation (stable at both ends).
@@ -32,137 +26,61 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
-MAX_BRACKET_ROWS = 50_000
-
-
-def sketch_accuracy(n: int) -> int:
-    """Sketch accuracy so that a +-4/accuracy rank bracket holds at most ~MAX_BRACKET_ROWS rows.
-
-    The sketch's buffer grows like accuracy * log(n / accuracy): 10^4 for
-    small inputs, about 1.6 * 10^5 (tens of MB per partial buffer) at 10^9 rows.
-    """
-    return int(min(max(10_000, math.ceil(8 * n / MAX_BRACKET_ROWS)), 1_000_000))
-
-
-def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None = None,
-                     accuracy: int | None = None) -> dict[int, float]:
-    """Exact values at 0-based ascending ``ranks`` of the non-null values of ``col``.
-
-    For each rank a sketch bracket [lo, hi] is taken; one pass counts the rows
-    below ``lo`` and groups the values inside the bracket with their counts;
-    a window per bracket (bounded rows) finds the value whose cumulative count
-    crosses the rank. Only one value per rank reaches the driver. A bracket
-    that misses its rank is retried wider.
-    """
-    src = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    if n is None:
-        n = src.count()
-    ranks = sorted({r for r in ranks if 0 <= r < n})
-    if not ranks:
-        return {}
-    accuracy = accuracy or sketch_accuracy(n)
-    denom = max(n - 1, 1)
-    out: dict[int, float] = {}
-    todo = list(ranks)
-    margin = 4.0 / accuracy
-    for _ in range(4):
-        lo_p = [max(0.0, r / denom - margin) for r in todo]
-        hi_p = [min(1.0, r / denom + margin) for r in todo]
-        s = src.agg(F.approx_percentile("x", F.array(*[F.lit(v) for v in lo_p]), accuracy).alias("lo"),
-                    F.approx_percentile("x", F.array(*[F.lit(v) for v in hi_p]), accuracy).alias("hi")).first()
-        lo, hi = list(s["lo"]), list(s["hi"])
-        spec = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("rank"), F.lit(lo[i]).alias("lo"),
-                                  F.lit(hi[i]).alias("hi")) for i, r in enumerate(todo)])
-        below = src.agg(*[F.count_if(F.col("x") < F.lit(lo[i])).alias(f"b{i}") for i in range(len(todo))]).first()
-        before = F.array(*[F.lit(int(below[f"b{i}"])) for i in range(len(todo))])
-        cand = (src.select("x", F.explode(F.filter(spec, lambda b: (F.col("x") >= b["lo"]) & (F.col("x") <= b["hi"])))
-                           .alias("b"))
-                .groupBy(F.col("b.i").alias("i"), F.col("b.rank").alias("rank"), "x")
-                .agg(F.count(F.lit(1)).alias("c")))
-        w = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        hits = (cand.withColumn("before", F.element_at(before, F.col("i") + 1))
-                .withColumn("cum", F.col("before") + F.sum("c").over(w))
-                .where((F.col("rank") >= F.col("before")) & (F.col("cum") > F.col("rank")))
-                .groupBy("i", "rank").agg(F.min("x").alias("v"))
-                .collect())  # at most one row per requested rank
-        for h in hits:
-            out[h["rank"]] = h["v"]
-        todo = [r for r in todo if r not in out]
-        if not todo:
-            return out
-        margin *= 8
-    # Not expected (the sketch's rank error is bounded): exact percentile for what is left.
-    exact = src.agg(F.percentile("x", F.array(*[F.lit(r / denom) for r in todo])).alias("q")).first()["q"]
-    out.update(dict(zip(todo, exact)))
-    return out
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int | None = None) -> list[float | None]:
-    """Linear-interpolated quantiles of the non-null values of ``col`` (returns small Python values)."""
-    src = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    s = src.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")).first()
-    n = s["n"]
-    if n == 0:
-        return [None for _ in probs]
-    need: dict[float, tuple[int, int, float]] = {}
-    for p in probs:
-        h = (n - 1) * p
-        j = math.floor(h)
-        need[p] = (j, min(j + 1, n - 1), h - j)
-    inner = {r for p, (j, j1, _) in need.items() if 0.0 < p < 1.0 for r in (j, j1)}
-    stats = order_statistics(df, col, sorted(inner), n=n, accuracy=accuracy)
-    stats[0] = s["mn"]
-    stats[n - 1] = s["mx"]
-    out = []
-    for p in probs:
-        j, j1, t = need[p]
-        if p <= 0.0:
-            out.append(s["mn"])
-        elif p >= 1.0:
-            out.append(s["mx"])
-        else:
-            out.append(_lerp(stats[j], stats[j1], t))
-    return out
-
-
-def cumulative_by_key(df: DataFrame, key: str, measures: dict[str, F.Column], partitions: int | None = None,
-                      group: str | None = None) -> DataFrame:
-    """Per distinct (``group``,) ``key`` ascending: each measure summed, plus ``<name>_before`` =
-    sum over smaller keys (within the group).
-
-    A distributed prefix sum: per-key totals are range-partitioned by
-    (group, key), accumulated inside each range partition by a window
-    *partitioned by that partition*, then shifted by the totals of the
-    preceding partitions of the same group (one row per partition and group,
-    broadcast). No step sees more than one range partition, so a huge group
-    is spread over many tasks. The range-partitioned totals are checkpointed
-    so both uses agree on the partition assignment even if a stage reruns.
-    """
-    names = list(measures)
-    gcols = [group] if group else []
-    if partitions is None:
-        partitions = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    per_key = (df.where(F.col(key).isNotNull()).groupBy(*gcols, key)
-               .agg(*[F.sum(c).alias(n) for n, c in measures.items()])
-               .repartitionByRange(partitions, *gcols, key)
-               .withColumn("_pid", F.spark_partition_id())
-               .checkpoint())
-    w_in = Window.partitionBy("_pid", *gcols).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    w_off = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if gcols \
-        else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_key.groupBy("_pid", *gcols).agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
-    offs = offs.select("_pid", *gcols,
-                       *[F.coalesce(F.sum(f"_t_{n}").over(w_off), F.lit(0)).alias(f"_o_{n}") for n in names])
-    inner = per_key.select(*gcols, key, "_pid", *names,
-                           *[F.coalesce(F.sum(n).over(w_in), F.lit(0)).alias(f"_i_{n}") for n in names])
-    # Without groups offs has one row per range partition (bounded): broadcast. With groups it
-    # has a row per (partition, group); AQE broadcasts it only if its measured size allows.
-    return (inner.join(offs if gcols else F.broadcast(offs), ["_pid", *gcols])
+def order_statistics(df: DataFrame, col: str, ranks: list[int], few: int | None = None) -> dict[int, float]:
+    """Exact values at 0-based ascending ``ranks`` of the values of ``col``."""
+    got = select_ranks(series_of(df, [col]), {col: list(ranks)}, **({"few": few} if few is not None else {}))
+    return {r: v for (_, r), v in got.items()}
+
+
+def exact_quantiles_of(df: DataFrame, columns: list[str], probs: list[float], few: int | None = None) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of every column's values, all columns in the same passes."""
+    pairs = series_of(df, columns)
+    whole = series_sizes(pairs)
+    place = {c: [(whole[c].rows - 1) * min(max(p, 0.0), 1.0) for p in probs] for c in columns if c in whole}
+    ranks = {c: sorted({r for h in at for r in (math.floor(h), min(math.floor(h) + 1, whole[c].rows - 1))}) for c, at in place.items()}
+    got = select_ranks(pairs, ranks, whole, **({"few": few} if few is not None else {}))
+    return {c: [_lerp(got[c, math.floor(h)], got[c, min(math.floor(h) + 1, whole[c].rows - 1)], h - math.floor(h)) for h in place[c]]
+            if c in whole else [None] * len(probs) for c in columns}
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], few: int | None = None) -> list[float | None]:
+    """Linear-interpolated quantiles of the values of ``col`` (returns small Python values)."""
+    return exact_quantiles_of(df, [col], probs, few)[col]
+
+
+def chunk_of(key: Column, group: Column, cuts: dict[object, list[float]]) -> Column:
+    """How many cuts of its group are below a key."""
+    if not any(cuts.values()):
+        return F.lit(0)
+    known = F.create_map(*[c for g, at in cuts.items() for c in (F.lit(g), F.array(*[F.lit(float(v)) for v in at]).cast("array<double>"))])
+    return F.coalesce(F.size(F.filter(F.try_element_at(known, group), lambda v: v < key)), F.lit(0))
+
+
+def cumulative_by_key(df: DataFrame, key: str, measures: dict[str, Column], group: str | None = None,
+                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per distinct (``group``,) numeric ``key`` ascending: each measure summed, plus ``<name>_before`` =
+    sum over smaller keys (within the group). The number of groups is bounded by what the driver can hold."""
+    names, gcols = list(measures), [group] if group else []
+    g = F.col(group) if group else F.lit(0)
+    per_key = df.where(F.col(key).isNotNull()).groupBy(*gcols, key).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
+    pairs = present(per_key.select(g.alias("series"), F.col(key).cast("double").alias("x")))
+    whole = series_sizes(pairs)
+    cuts = {s: list(range(chunk_rows - 1, b.rows - 1, chunk_rows)) for s, b in whole.items()}
+    at = select_ranks(pairs, cuts, whole)
+    chunked = per_key.withColumn("_chunk", chunk_of(F.col(key).cast("double"), g, {s: [at[s, r] for r in rs] for s, rs in cuts.items()}))
+    w_in = Window.partitionBy(*gcols, "_chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inner = chunked.select(*gcols, key, "_chunk", *names, *[F.coalesce(F.sum(n).over(w_in), F.lit(0)).alias(f"_i_{n}") for n in names])
+    if not any(cuts.values()):  # one chunk per group: nothing comes before it
+        return inner.select(*gcols, key, *names, *[F.col(f"_i_{n}").alias(f"{n}_before") for n in names])
+    w_off = Window.partitionBy(*gcols).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = chunked.groupBy(*gcols, "_chunk").agg(*[F.sum(n).alias(n) for n in names])
+    offs = totals.select(*gcols, "_chunk", *[F.coalesce(F.sum(n).over(w_off), F.lit(0)).alias(f"_o_{n}") for n in names])
+    return (inner.join(offs, [*gcols, "_chunk"])
             .select(*gcols, key, *names, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(f"{n}_before") for n in names]))
 
 
-def average_pct_rank(df: DataFrame, col: str, n: int, partitions: int | None = None) -> DataFrame:
+def average_pct_rank(df: DataFrame, col: str, n: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(value, pct) for every distinct value: average rank of ties / n (pandas ``rank(pct=True)``)."""
-    c = cumulative_by_key(df, col, {"_c": F.lit(1)}, partitions)
+    c = cumulative_by_key(df, col, {"_c": F.lit(1)}, chunk_rows=chunk_rows)
     avg_rank = F.col("_c_before") + (F.col("_c") + 1) / 2.0
     return c.select(col, (avg_rank / float(n)).alias("pct"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.core import grand_total, rnd, rnd_double
-from ..functions.quantiles import average_pct_rank, exact_quantiles
+from ..functions.quantiles import average_pct_rank, exact_quantiles_of
 
 QUINTILE_PROBS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
@@ -51,9 +51,9 @@ def _rank_bins(pct: Column, lo: float, hi: float) -> Column:
             .when(pct <= e[3], 4).otherwise(5)).cast("int")
 
 
-def quintile_score(df: DataFrame, col: str, out: str, ascending: bool = True) -> DataFrame:
-    """Add ``out`` = 1..5 quintile score of ``col`` to ``df``."""
-    edges = exact_quantiles(df, col, QUINTILE_PROBS)
+def quintile_score(df: DataFrame, col: str, out: str, ascending: bool = True, edges: list[float | None] | None = None) -> DataFrame:
+    """Add ``out`` = 1..5 quintile score of ``col`` to ``df``; ``edges`` are its quintiles, if known."""
+    edges = edges or exact_quantiles_of(df, [col], QUINTILE_PROBS)[col]
     if edges[0] is None:
         return df.withColumn(out, F.lit(None).cast("int"))
     x = F.col(col).cast("double")
@@ -79,8 +79,9 @@ def quintile_score(df: DataFrame, col: str, out: str, ascending: bool = True) ->
 
 def rfm_scores(mart_customer_metrics: DataFrame) -> DataFrame:
     base = rfm_input(mart_customer_metrics)
-    scored = quintile_score(base, "recency_days", "r_score", ascending=False)
-    scored = quintile_score(scored, "monetary", "m_score", ascending=True)
+    edges = exact_quantiles_of(base, ["recency_days", "monetary"], QUINTILE_PROBS)
+    scored = quintile_score(base, "recency_days", "r_score", ascending=False, edges=edges["recency_days"])
+    scored = quintile_score(scored, "monetary", "m_score", ascending=True, edges=edges["monetary"])
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return (scored.withColumn("f_score", rules.frequency_score(F.col("frequency")))
             .withColumn("rfm_score", rnd((r + f + m) / 3.0, 2).cast("double"))
