@@ -7,7 +7,7 @@ fingerprints are joined, and each hit is extended word by word, on the words the
 longest match around it; matches of WINDOW words or more count. A shorter item is one gram of
 all its words.
 
-Documents are read once. A 2 MB bit table of the items' fingerprints drops almost all of a
+Documents are read once. A bit table of the items' fingerprints drops almost all of a
 document's fingerprints where they arise; the rest are joined by key (Spark broadcasts the
 items' side only if it has measured it to be small, and splits hot keys otherwise). One marker row
 per document goes through the same join, under a key of its own, so that clean documents stay
