@@ -5,4 +5,5 @@ one ``WITH`` chain: the raw-table adapter (FIXTURES.md §3, DuckDB dialect),
 the warehouse layers as CTEs, then the report.
 """
 
+from . import evaluation  # noqa: F401  (adds its queries)
 from .sql import oracle_queries  # noqa: F401

@@ -152,8 +152,9 @@ QUERIES.update({
     "funded_customers": lambda s, d: RT.funded_customers(
         _rec(s, d), RT.budget_allocation(RT.pools_from_recommendations(_rec(s, d)), BUDGET)),
     "whatif_baseline": lambda s, d: SC.whatif_baseline(_view(s, d)),
+    # flat; the drivers are the query risk_drivers
     "batch_score": lambda s, d: SC.batch_score(SC.feature_defaults(
-        SC.whatif_baseline(_view(s, d))), _baseline_scorer()),
+        SC.whatif_baseline(_view(s, d))), _baseline_scorer()).drop("top_feature_contributions"),
     "batch_score_model": lambda s, d: SC.batch_score(SC.feature_defaults(
         SC.whatif_baseline(_view(s, d))),
         SC.model_scorer(wh(s, d).churn_model)),
@@ -166,8 +167,8 @@ QUERIES.update({
         {n: ("raw_marketing" if n in MARKETING_TABLES else "raw") for n in EXPECTED_ROW_COUNTS}),
     "table_health": lambda s, d: DQ.table_health(
         wh(s, d).raw("orders"), wh(s, d).raw("customers"), wh(s, d).mart_customer_metrics, wh(s, d).fact_orders,
-        wh(s, d).mart_marketing_funnel, wh(s, d).rfm_segments, _pb(s, d),
-        model_found=wh(s, d).has_churn_model),
+        wh(s, d).mart_marketing_funnel, wh(s, d).rfm_segments, _pb(s, d))  # the formula's scores need no stored model
+    .withColumn("anomalies", F.array_join("anomalies", "; ")),
     "bi_measures": lambda s, d: BI.bi_measures(wh(s, d).fact_orders, wh(s, d).dim_customers,
                                                wh(s, d).mart_customer_metrics, _pb(s, d)),
     "bi_late_by_state": lambda s, d: BI.bi_late_by_state(wh(s, d).fact_orders, wh(s, d).dim_customers),
@@ -296,3 +297,79 @@ def _customer_keyset_page2(s, d):
 
 
 QUERIES["customer_list_keyset"] = _customer_keyset_page2
+
+
+# ------------------------------------------------------------ evaluation, medians, tied quintiles
+def _tied_quintiles(s, d):
+    """Quintile scores of counts with so many ties that edges may collide, rising and falling."""
+    m = wh(s, d).mart_customer_metrics.select("customer_unique_id", "late_orders_count", "negative_reviews_count")
+    out = RFM.quintile_score(m, "late_orders_count", "late_score")
+    out = RFM.quintile_score(out, "late_orders_count", "late_score_falling", ascending=False)
+    return RFM.quintile_score(out, "negative_reviews_count", "negative_score_falling", ascending=False)
+
+
+def _medians(s, d):
+    """What the imputer learns from the model's numeric features, over all customers."""
+    from ..functions.imputer import MedianImputer
+    model = MedianImputer(inputCols=C.NUMERIC_FEATURES, outputCols=[f"{c}__imp" for c in C.NUMERIC_FEATURES]).fit(
+        C.model_frame(wh(s, d).churn_features))
+    return s.createDataFrame(list(zip(model.getInputCols(), model.getOrDefault(model.medians))), "feature string, median double")
+
+
+def _model_invariants(s, d):
+    """Violations of every rule that holds for any model's scores, and the number of scored customers."""
+    w = wh(s, d)
+    p, prob = w.churn_predictions.withColumnRenamed("churn_probability", "p"), F.col("p")
+    p = p.join(w.churn_features.select("customer_unique_id", "m_score", F.col("is_churned").alias("label"),
+                                       F.col("lifetime_spend").alias("spend")), "customer_unique_id", "full")
+    vip = F.col("m_score") >= 4
+    rules = {
+        "customers": F.lit(True), "not_scored_or_unknown": prob.isNull() | F.col("m_score").isNull(),
+        "probability_out_of_range": ~prob.between(0, 1),
+        "tier": ~F.col("risk_tier").eqNullSafe(F.when(prob >= 0.7, "High").when(prob >= 0.3, "Medium").otherwise("Low")),
+        "revenue_at_risk": F.abs(F.col("revenue_at_risk") - prob * F.col("monetary_value").cast("double")) > 0.006,
+        "monetary_value": F.col("monetary_value") != F.round("spend", 2), "label": F.col("is_churned") != F.col("label"),
+        "priority": (F.col("retention_priority").startswith("Priority 1") != (vip & (prob >= 0.7)))
+        | (F.col("retention_priority").startswith("Priority 2") != (vip & (prob < 0.3)))}
+    counts = p.agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
+    return counts.select(F.expr("stack({}, {})".format(len(rules), ", ".join(f"'{n}', {n}" for n in rules))).alias("rule", "n"))
+
+
+# What-if overrides of every type: numbers, a flag and the segment.
+TYPED_SCENARIOS = [("win_back", {"segment": "Champions", "lifetime_orders": 2}),
+                   ("lapse", {"segment": "At Risk", "has_late_delivery": True, "avg_review_score": 1.0}),
+                   ("punctual", {"late_order_ratio": 0.0, "has_late_delivery": False})]
+
+
+def _typed_formula():
+    """A probability that rests on features of every type."""
+    risky = F.col("segment").isin("At Risk", "Lost / Inactive")
+    return (0.5 * F.col("recency_days").cast("double") / (F.col("recency_days").cast("double") + 365.0)
+            + 0.2 * F.col("late_order_ratio").cast("double") + F.when(F.col("lifetime_orders") < 2, 0.05).otherwise(0.0)
+            + F.when(F.col("has_late_delivery") > 0, 0.1).otherwise(0.0) + F.when(risky, 0.15).otherwise(0.0))
+
+
+def _campaign_csv(s, d):
+    """The campaign file written as CSV and read back."""
+    from ..sinks.tables import write_csv
+    path = f"{wh(s, d).root}/export/campaign"
+    out = CU.campaign_export(_view(s, d))
+    write_csv(out, path)
+    back = s.read.schema(out.schema).option("header", True).option("escape", '"').option("nullValue", "\\N").csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) if t == "string" else c for c, t in out.dtypes])
+
+
+QUERIES.update({
+    "churn_eval_baseline": lambda s, d: C.evaluation(_pb(s, d).withColumnRenamed("churn_probability", "p")),
+    "churn_feature_medians": _medians,
+    "churn_model_invariants": _model_invariants,
+    "rfm_quintile_tied": _tied_quintiles,
+    "bi_measures_by_state_and_month": lambda s, d: BI.bi_measures_by_state_and_month(
+        wh(s, d).fact_orders, wh(s, d).dim_customers, _pb(s, d)),
+    "whatif_typed": lambda s, d: SC.whatif_scenarios(
+        SC.whatif_baseline(_view(s, d)), TYPED_SCENARIOS, SC.formula_scorer(_typed_formula)),
+    "product_detail": lambda s, d: CAT.product_detail(wh(s, d).mart_product_metrics, "P1"),
+    "customer_rfm": lambda s, d: CU.customer_rfm(wh(s, d).rfm_segments, "U1"),
+    "customer_churn": lambda s, d: CU.customer_churn(_pb(s, d), "U1"),
+    "campaign_csv": _campaign_csv,
+})
