@@ -77,9 +77,9 @@ def test_model_checks_count_bad_rows_and_repeated_complete_keys(spark):
     df = spark.sql("select * from values (1, 'x'), (1, null), (2, 'y'), (null, 'x'), (null, 'z') t(k, v)")
     bad = [("not_null", "k", F.col("k").isNull()), ("not_null", "v", F.col("v").isNull()),
            ("accepted_values", "v", F.col("v").isNotNull() & ~F.col("v").isin(["x", "y"]))]
-    got = {(r.test, r.column): r.failures for r in quality.model_checks("m", df, ["k"], bad).collect()}
+    got = {(r.test, r.column): r.failures for r in quality.grouped_checks({"m": (df, ["k"], bad)}).collect()}
     assert got == {("unique", "k"): 1, ("not_null", "k"): 2, ("not_null", "v"): 1, ("accepted_values", "v"): 1}
-    empty = quality.model_checks("m", df.where("false"), ["k"], bad).collect()
+    empty = quality.grouped_checks({"m": (df.where("false"), ["k"], bad)}).collect()
     assert [r.failures for r in empty] == [0, 0, 0, 0]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import combine_single_rows, count_if, grand_total, rnd_double
+from .marts import in_months
 
 INTERVALS = {"month", "week", "day"}
 
@@ -40,10 +41,12 @@ def _period_label(ts, interval: str):
 
 def revenue_trends(fact_orders: DataFrame, interval: str = "month", start_date: str | None = None,
                    end_date: str | None = None) -> DataFrame:
-    """GMV, orders, delivered, AOV, freight and late % per period (unknown interval -> month)."""
+    """GMV, orders, delivered, AOV, freight and late % per period (unknown interval -> month).
+
+    Of a fact table partitioned by month, only the months of the window are opened."""
     interval = interval.lower() if interval and interval.lower() in INTERVALS else "month"
     ts = F.col("purchased_at")
-    f = fact_orders.where(ts.isNotNull())
+    f = in_months(fact_orders, start_date, end_date).where(ts.isNotNull())
     if start_date:
         f = f.where(ts >= F.lit(start_date).cast("timestamp_ntz"))
     if end_date:

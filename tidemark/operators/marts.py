@@ -39,6 +39,27 @@ def fact_orders(orders: DataFrame, customers: DataFrame, items_agg: DataFrame,
         F.coalesce("has_positive_review", f).alias("has_positive_review"))
 
 
+#: Partition column of the fact table: the purchase month as the number yyyymm, 0 without a purchase time.
+MONTH = "purchase_month"
+
+
+def by_month(fact: DataFrame) -> DataFrame:
+    """Fact rows dealt by purchase month, as many tasks to a month as its size asks for, sorted by purchase time
+    inside each (row-group statistics then prune within the month)."""
+    month = F.year("purchased_at") * 100 + F.month("purchased_at")
+    return fact.withColumn(MONTH, F.coalesce(month, F.lit(0))).hint("rebalance", F.col(MONTH)).sortWithinPartitions(MONTH, "purchased_at")
+
+
+def in_months(fact: DataFrame, start_date: str | None, end_date: str | None) -> DataFrame:
+    """Rows of the months that a window of purchase dates (yyyy-mm-dd) touches; the window itself is the caller's filter."""
+    number = lambda date: int(date[:4]) * 100 + int(date[5:7])
+    if start_date and MONTH in fact.columns:
+        fact = fact.where(F.col(MONTH) >= number(start_date))
+    if end_date and MONTH in fact.columns:
+        fact = fact.where(F.col(MONTH) <= number(end_date))
+    return fact
+
+
 def dim_customers(customer_orders: DataFrame, locations: DataFrame) -> DataFrame:
     return (customer_orders.join(locations, "customer_unique_id")
             .select("customer_unique_id", F.col("primary_city").alias("city"),

@@ -47,7 +47,7 @@ QUERIES["revenue_trends"] = lambda s, d: A.revenue_trends(wh(s, d).fact_orders,
 QUERIES["revenue_trends_week"] = lambda s, d: A.revenue_trends(wh(s, d).fact_orders, "week")
 QUERIES["revenue_trends_day"] = lambda s, d: A.revenue_trends(wh(s, d).fact_orders, "day")
 QUERIES["revenue_trends_window"] = lambda s, d: A.revenue_trends(
-    wh(s, d).fact_orders, "month", start_date="1994-01-01", end_date="1996-12-31")
+    wh(s, d).fact_by_month, "month", start_date="1994-01-01", end_date="1996-12-31")
 QUERIES["cohort_retention"] = lambda s, d: A.cohort_retention(wh(s, d).fact_orders)
 def _cohort_matrix(s, d):
     """The matrix with each cohort's map as text (m0=100.00,m1=...)."""
@@ -186,7 +186,7 @@ def _csv_summary(s, d):
 
 
 QUERIES.update({
-    "dq_report": lambda s, d: DQ.warehouse_dq_report(wh(s, d).model),
+    "dq_report": lambda s, d: DQ.warehouse_dq_report(wh(s, d).model, wh(s, d).counted_at_write),
     "csv_ingest_summary": _csv_summary,
     "csv_ingest_orders": lambda s, d: _csv_raw(s, d, "orders"),
     "csv_ingest_order_items": lambda s, d: _csv_raw(s, d, "order_items"),

@@ -15,6 +15,7 @@ so a changed input or changed code never reads a stale table.
 from __future__ import annotations
 
 import hashlib
+import json
 import threading
 from concurrent.futures import ThreadPoolExecutor
 import uuid
@@ -31,8 +32,10 @@ from ..operators import customers as CU
 from ..operators import retention as RT
 from ..operators import intermediate as I
 from ..operators import marts as M
+from ..operators import quality as DQ
 from ..operators import rfm as RFM
 from ..operators import staging as S
+from ..sinks.tables import refresh_months
 from ..sources import testdata
 
 _CODE_VERSION: str | None = None
@@ -85,14 +88,18 @@ class Warehouse:
             root = f"{sess.shared_root(spark)}/tidemark_wh/{_input_fingerprint(spark, sf_dir)}-{code_version()}"
             if fresh:
                 root += f"/run-{uuid.uuid4().hex[:12]}"
-            wh = cls(spark, lambda: testdata.raw_tables(spark, sf_dir), root)
+            wh = cls(spark, lambda: testdata.raw_tables(
+                spark, sf_dir, keep=lambda name, build: wh.table(f"source/{name}", build)), root)
             _REGISTRY[key] = wh
         return wh
 
-    def table(self, rel: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def table(self, rel: str, build: Callable[[], DataFrame], keyed: bool = False,
+              arrange: Callable[[DataFrame], DataFrame] = lambda df: df, by: list[str] | None = None) -> DataFrame:
         """Write ``build()`` once to ``root/rel`` and return it read back from parquet.
 
-        A per-table lock makes concurrent builds (see :meth:`build`) write each table once.
+        A per-table lock makes concurrent builds (see :meth:`build`) write each table once. The model's declared
+        checks are counted on the way (see :func:`..operators.quality.write_checked` for ``keyed`` and ``arrange``).
+        ``by`` names partition columns; they aren't part of the model's rows.
         """
         if rel in self._tables:
             return self._tables[rel]
@@ -102,10 +109,27 @@ class Warehouse:
             if rel not in self._tables:
                 path = f"{self.root}/{rel}"
                 if not sess.path_exists(self.spark, f"{path}/_SUCCESS"):
-                    build().write.mode("overwrite").parquet(path)
+                    def write(df: DataFrame) -> None:
+                        out = df.write.mode("overwrite")
+                        (out.partitionBy(*by) if by else out).parquet(path)
+
+                    counted = DQ.write_checked(build(), self._model_of(rel), write, keyed, arrange)
+                    sess.write_text(self.spark, f"{self.root}/checks/{self._model_of(rel)}.json", json.dumps(counted))
                 self._tables[rel] = self.spark.read.parquet(path)
         return self._tables[rel]
 
+    @staticmethod
+    def _model_of(rel: str) -> str:
+        layer, name = rel.split("/", 1)
+        return f"raw_{name}" if layer == "raw" else name
+
+    def counted_at_write(self, model: str) -> dict[str, int]:
+        """What the declared checks of a written model counted when it was written; nothing for views."""
+        if not model.startswith(("stg_", "int_")):
+            self.model(model)  # make sure it is written
+        path = f"{self.root}/checks/{model}.json"
+        return json.loads(sess.read_text(self.spark, path)) if sess.path_exists(self.spark, path) else {}
+
     # Tables in dependency levels: every table of a level only reads tables of earlier levels.
     BUILD_LEVELS = [
         ["raw_customers", "raw_orders", "raw_order_items", "raw_order_payments", "raw_order_reviews",
@@ -209,36 +233,49 @@ class Warehouse:
     # ------------------------------------------------------------ marts (written)
     @property
     def fact_orders(self) -> DataFrame:
-        # Sorted by purchase time inside each file (no extra shuffle): parquet row-group
-        # min/max statistics then let date-range reports skip most of the table.
-        return self.table("marts/fact_orders", lambda: M.fact_orders(
-            self.stg_orders, self.stg_customers, self.int_order_items_aggregated,
-            self.stg_order_payments, self.int_order_reviews_aggregated).sortWithinPartitions("purchased_at"))
+        """The fact table without its partition column: see :attr:`fact_by_month`."""
+        return self.fact_by_month.drop(M.MONTH)
+
+    def _fact_plan(self) -> DataFrame:
+        return M.fact_orders(self.stg_orders, self.stg_customers, self.int_order_items_aggregated,
+                             self.stg_order_payments, self.int_order_reviews_aggregated)
+
+    @property
+    def fact_by_month(self) -> DataFrame:
+        """The fact table, partitioned by purchase month: a date window opens its months only."""
+        return self.table("marts/fact_orders", self._fact_plan, keyed=True, arrange=M.by_month, by=[M.MONTH])
+
+    def refresh_fact(self) -> list[str]:
+        """Brings the written fact table up to date with its sources, rewriting the months that differ."""
+        self.fact_by_month  # noqa: B018  (written at least once)
+        changed = refresh_months(self.spark, M.by_month(self._fact_plan()), f"{self.root}/marts/fact_orders", M.MONTH)
+        self._tables["marts/fact_orders"] = self.spark.read.parquet(f"{self.root}/marts/fact_orders")
+        return changed
 
     @property
     def dim_customers(self) -> DataFrame:
         return self.table("marts/dim_customers", lambda: M.dim_customers(
-            self.int_customer_orders, self.int_customer_locations))
+            self.int_customer_orders, self.int_customer_locations), keyed=True)
 
     @property
     def mart_customer_metrics(self) -> DataFrame:
         return self.table("marts/mart_customer_metrics", lambda: M.mart_customer_metrics_from_rollup(
-            self.customer_rollup, self.int_customer_locations, self.stg_orders))
+            self.customer_rollup, self.int_customer_locations, self.stg_orders), keyed=True)
 
     @property
     def mart_product_metrics(self) -> DataFrame:
         return self.table("marts/mart_product_metrics", lambda: M.mart_product_metrics(
-            self.stg_products, self.stg_order_items, self.int_order_reviews_aggregated))
+            self.stg_products, self.stg_order_items, self.int_order_reviews_aggregated), keyed=True)
 
     @property
     def mart_seller_metrics(self) -> DataFrame:
         return self.table("marts/mart_seller_metrics", lambda: M.mart_seller_metrics(
-            self.stg_sellers, self.raw("order_items"), self.stg_orders, self.int_order_reviews_aggregated))
+            self.stg_sellers, self.raw("order_items"), self.stg_orders, self.int_order_reviews_aggregated), keyed=True)
 
     @property
     def mart_marketing_funnel(self) -> DataFrame:
         return self.table("marts/mart_marketing_funnel", lambda: M.mart_marketing_funnel(
-            self.stg_marketing_leads, self.stg_closed_deals, self.mart_seller_metrics))
+            self.stg_marketing_leads, self.stg_closed_deals, self.mart_seller_metrics), keyed=True)
 
     # ------------------------------------------------------------ ML layer (written)
     @property
@@ -247,7 +284,9 @@ class Warehouse:
 
     @cached_property
     def churn_features(self) -> DataFrame:
-        return C.churn_features(C.churn_dataset(self.mart_customer_metrics, self.rfm_segments))
+        """Written once: training, scoring and the split read it without the join below."""
+        return self.table("ml/churn_features", lambda: C.churn_features(
+            C.churn_dataset(self.mart_customer_metrics, self.rfm_segments)))
 
     @cached_property
     def churn_model(self) -> "C.ChurnModel":

@@ -103,3 +103,29 @@ def upsert_predictions(spark: SparkSession, path: str, pred: DataFrame) -> DataF
                .withColumn("monetary_value", rnd(F.col("monetary_value"), 2).cast("decimal(12,2)"))
                .withColumn("revenue_at_risk", rnd(F.col("revenue_at_risk"), 2).cast("decimal(12,2)")))
     return upsert(spark, path, rounded, ["customer_unique_id"], stamp_col="predicted_at")
+
+
+def _digests(df: DataFrame, by: str) -> dict[str, tuple]:
+    """Row count and content digest of every partition value, whatever the order of rows."""
+    columns = sorted(c for c in df.columns if c != by)
+    digest = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    return {r[0]: tuple(r[1:]) for r in df.groupBy(F.col(by).cast("string")).agg(F.count(F.lit(1)), digest).collect()}
+
+
+def refresh_months(spark: SparkSession, new: DataFrame, path: str, by: str) -> list[str]:
+    """Rewrites the partitions (column ``by``) of a written table in which ``new`` differs; returns their values.
+
+    Counts and digests per partition, one row each, tell which; the others' files aren't touched. A changed partition
+    is replaced by dynamic partition overwrite, and one that has no rows any more is removed.
+    """
+    old = spark.read.parquet(path)
+    was, now = _digests(old, by), _digests(new, by)
+    changed = sorted(m for m in now if was.get(m) != now[m])
+    gone = sorted(m for m in was if m not in now)
+    if changed:
+        (new.where(F.col(by).cast("string").isin(changed)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(by).parquet(path))
+    for m in gone:
+        fs, p = file_system(spark, f"{path}/{by}={m}")
+        fs.delete(p, True)
+    return changed + gone

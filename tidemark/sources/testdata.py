@@ -9,6 +9,8 @@ are small dimensions, joined by whatever strategy AQE picks after measuring them
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,8 @@ def _geo(nation: DataFrame, region: DataFrame) -> DataFrame:
             .select("n_nationkey", "n_name", "r_name"))
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def raw_tables(spark: SparkSession, sf_dir: str, keep: Callable | None = None) -> dict[str, DataFrame]:
+    """The raw tables made from the input tables; ``keep(name, build)`` may write what several of them read."""
     t = read_inputs(spark, sf_dir)
     geo = _geo(t["nation"], t["region"])
     state = F.lower(F.substring("r_name", 1, 2))
@@ -82,6 +85,8 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     lk = F.col("l_orderkey")
     items_src = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                          "l_extendedprice", "l_quantity", "l_returnflag").withColumn("seq", line_no)
+    if keep is not None:  # items and payments both read the numbered lines: number them once
+        items_src = keep("numbered_lines", lambda numbered=items_src: numbered)
     order_items = items_src.select(
         F.concat(F.lit("O"), lk.cast("string")).alias("order_id"),
         F.col("seq").alias("order_item_id"),
