@@ -136,7 +136,9 @@ SELECT *, if(anomalies = '', 'ok', 'warning') AS status FROM a"""
 Q["product_detail"] = "SELECT * FROM mart_product_metrics WHERE product_id = 'P1'"
 Q["customer_rfm"] = "SELECT * FROM rfm_segments WHERE customer_unique_id = 'U1'"
 Q["customer_churn"] = "SELECT * FROM churn_predictions_baseline WHERE customer_unique_id = 'U1'"
+Q["portfolio_overview_scan"] = Q["portfolio_overview"]
 Q["campaign_csv"] = Q["campaign_export"]
+Q["csv_ingest_order_reviews"] = Q["stream_ingest_order_reviews"]
 
 for _name in ("churn_eval_baseline", "churn_split_summary", "table_health"):  # a chain of their own inside the common one
     Q[_name] = f"SELECT * FROM ({Q[_name]})"

@@ -66,3 +66,16 @@ def test_one_changed_month_rewrites_one_partition(spark, tmp_path):
     assert refresh_months(spark, M.by_month(fewer), path, M.MONTH) == ["202105"]
     back = spark.read.parquet(path).drop(M.MONTH)
     assert back.exceptAll(fewer).count() == 0 and fewer.exceptAll(back).count() == 0
+
+
+def test_portfolio_parts_add_up(spark):
+    """Sums of two parts of the customers, merged, are the whole's; reading them runs no job."""
+    w = Warehouse.for_testdata(spark, SF)
+    half = F.xxhash64("customer_unique_id") % 2 == 0
+    mart, pred = w.mart_customer_metrics, w.churn_predictions_baseline
+    parts = [A.portfolio_sums(mart.where(h), pred.where(h)).first() for h in (half, ~half)]
+    whole = A.portfolio_sums(mart, pred).first()
+    assert tuple(a + b for a, b in zip(*parts)) == tuple(whole) == tuple(w.portfolio_sums.first())
+    plan = A.portfolio_kpis(w.portfolio_sums)._jdf.queryExecution().executedPlan().toString()
+    assert plan.strip().startswith("LocalTableScan") and plan.strip().count("\n") == 0
+    assert A.portfolio_kpis(w.portfolio_sums).first() == A.portfolio_overview(mart, pred).first()

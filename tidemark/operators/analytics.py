@@ -103,37 +103,42 @@ def cohort_matrix(retention: DataFrame) -> DataFrame:
 VIP = "Priority 1: Immediate VIP Retention"
 
 
-def portfolio_overview(mart: DataFrame, pred: DataFrame) -> DataFrame:
-    """Portfolio KPIs: customers and sales from the customer mart, exposure from the score table.
+def portfolio_sums(mart: DataFrame, pred: DataFrame) -> DataFrame:
+    """One row of sums and counts from which the portfolio KPIs follow; sums of two parts of the customers add up.
 
-    Scores are summed where they are stored, so a scored customer who has left the mart counts too.
+    Scores are summed where they are stored, so a scored customer who has left the mart counts too. Sums of doubles
+    are taken over decimals, so they don't depend on how the customers are parted.
     """
+    exact = lambda c, scale: F.col(c).cast(f"decimal(28,{scale})")
     customers = mart.agg(
-        F.count(F.lit(1)).alias("total_customers"),
-        F.coalesce(F.sum("lifetime_orders"), F.lit(0)).cast("long").alias("total_orders"),
-        F.coalesce(F.sum("lifetime_spend"), F.lit(0)).alias("_rev"),
-        F.coalesce(F.avg(F.col("avg_order_value").cast("double")), F.lit(0.0)).alias("_aov"),
-        (F.coalesce(F.avg(F.when(F.col("is_repeat_buyer"), 1.0).otherwise(0.0)), F.lit(0.0)) * 100.0).alias("_repeat"))
+        F.count(F.lit(1)).alias("customers"), F.sum(F.col("lifetime_orders").cast("decimal(20,0)")).alias("orders"),
+        F.sum(exact("lifetime_spend", 2)).alias("revenue"), F.sum(exact("avg_order_value", 6)).alias("aov"),
+        F.count("avg_order_value").alias("aov_n"), count_if(F.col("is_repeat_buyer")).alias("repeat"))
     scores = pred.agg(
-        F.coalesce(F.sum("revenue_at_risk"), F.lit(0)).alias("_rar"),
-        F.coalesce(F.avg("churn_probability"), F.lit(0.0)).alias("_p"),
-        count_if(F.col("risk_tier") == "High").alias("high_risk_customers_count"),
-        F.coalesce(F.sum(F.when(F.col("retention_priority") == VIP, F.col("revenue_at_risk"))), F.lit(0))
-        .alias("_vip"))
-    agg = combine_single_rows([customers, scores])
-    rev, rar = rnd_double(F.col("_rev"), 2), rnd_double(F.col("_rar"), 2)
-    return (agg
-            .select("total_customers", "total_orders", rev.alias("total_revenue"),
-                    rnd_double(F.col("_aov"), 2).alias("avg_order_value"),
-                    rnd_double(F.col("_repeat"), 2).alias("repeat_buyer_rate"),
-                    rar.alias("portfolio_revenue_at_risk"),
-                    F.when(rev > 0, rnd_double(rar / rev * 100.0, 2)).otherwise(0.0).alias("portfolio_risk_percentage"),
-                    rnd_double(F.col("_p"), 4).alias("avg_churn_probability"),
-                    "high_risk_customers_count",
-                    F.when(F.col("total_customers") > 0,
-                           rnd_double(F.col("high_risk_customers_count") / F.col("total_customers") * 100.0, 2))
-                    .otherwise(0.0).alias("high_risk_percentage"),
-                    rnd_double(F.col("_vip"), 2).alias("vip_retention_revenue_at_risk")))
+        F.sum(exact("revenue_at_risk", 2)).alias("rar"), F.sum(exact("churn_probability", 6)).alias("p"), F.count("churn_probability").alias("p_n"),
+        count_if(F.col("risk_tier") == "High").alias("high"),
+        F.sum(F.when(F.col("retention_priority") == VIP, exact("revenue_at_risk", 2))).alias("vip"))
+    sums = combine_single_rows([customers, scores])
+    return sums.select(*[F.coalesce(c, F.lit(0)).cast("decimal(38,6)").alias(c) for c in sums.columns])
+
+
+def portfolio_kpis(sums: DataFrame) -> DataFrame:
+    """Portfolio KPIs from one row of merged sums: a projection."""
+    mean = lambda a, n: F.coalesce(F.col(a).cast("double") / F.nullif(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rev, rar = rnd_double(F.col("revenue"), 2), rnd_double(F.col("rar"), 2)
+    return sums.select(
+        F.col("customers").cast("long").alias("total_customers"), F.col("orders").cast("long").alias("total_orders"),
+        rev.alias("total_revenue"), rnd_double(mean("aov", "aov_n"), 2).alias("avg_order_value"),
+        rnd_double(mean("repeat", "customers") * 100.0, 2).alias("repeat_buyer_rate"), rar.alias("portfolio_revenue_at_risk"),
+        F.when(rev > 0, rnd_double(rar / rev * 100.0, 2)).otherwise(0.0).alias("portfolio_risk_percentage"),
+        rnd_double(mean("p", "p_n"), 4).alias("avg_churn_probability"), F.col("high").cast("long").alias("high_risk_customers_count"),
+        rnd_double(mean("high", "customers") * 100.0, 2).alias("high_risk_percentage"),
+        rnd_double(F.col("vip"), 2).alias("vip_retention_revenue_at_risk"))
+
+
+def portfolio_overview(mart: DataFrame, pred: DataFrame) -> DataFrame:
+    """Portfolio KPIs: customers and sales from the customer mart, exposure from the score table."""
+    return portfolio_kpis(portfolio_sums(mart, pred))
 
 
 def rar_summary(pred: DataFrame) -> DataFrame:

@@ -109,7 +109,8 @@ QUERIES.update({
     "churn_priority_summary": lambda s, d: C.priority_summary(_pb(s, d)),
     "churn_exec_summary": lambda s, d: C.exec_summary(_pb(s, d)),
     "churn_tier_summary_model": lambda s, d: C.tier_summary(wh(s, d).churn_predictions),
-    "portfolio_overview": lambda s, d: A.portfolio_overview(wh(s, d).mart_customer_metrics, wh(s, d).churn_predictions_baseline),
+    "portfolio_overview": lambda s, d: A.portfolio_kpis(wh(s, d).portfolio_sums),
+    "portfolio_overview_scan": lambda s, d: A.portfolio_overview(wh(s, d).mart_customer_metrics, wh(s, d).churn_predictions_baseline),
     "portfolio_overview_model": lambda s, d: A.portfolio_overview(wh(s, d).mart_customer_metrics, wh(s, d).churn_predictions),
     "rar_summary": lambda s, d: A.rar_summary(_pb(s, d)),
     "rar_by_tier": lambda s, d: A.rar_by_tier(_pb(s, d)),
@@ -189,6 +190,7 @@ QUERIES.update({
     "dq_report": lambda s, d: DQ.warehouse_dq_report(wh(s, d).model, wh(s, d).counted_at_write),
     "csv_ingest_summary": _csv_summary,
     "csv_ingest_orders": lambda s, d: _csv_raw(s, d, "orders"),
+    "csv_ingest_order_reviews": lambda s, d: _csv_raw(s, d, "order_reviews"),
     "csv_ingest_order_items": lambda s, d: _csv_raw(s, d, "order_items"),
     "csv_ingest_closed_deals": lambda s, d: _csv_raw(s, d, "closed_deals"),
 })

@@ -19,6 +19,7 @@ import json
 import threading
 from concurrent.futures import ThreadPoolExecutor
 import uuid
+from decimal import Decimal
 from functools import cached_property
 from pathlib import Path
 from typing import Callable
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session as sess
+from ..operators import analytics as A
 from ..operators import churn as C
 from ..operators import customers as CU
 from ..operators import retention as RT
@@ -72,6 +74,7 @@ class Warehouse:
         self._tables: dict[str, DataFrame] = {}
         self._locks: dict[str, threading.Lock] = {}
         self._guard = threading.Lock()
+        self._reports: dict[str, DataFrame] = {}
 
     # ------------------------------------------------------------ plumbing
     @classmethod
@@ -140,7 +143,7 @@ class Warehouse:
         ["rfm_segments"],
         ["churn_predictions_baseline"],
         ["customer_profile"],
-        ["playbook_recommendations"],
+        ["playbook_recommendations", "portfolio_sums"],
     ]
 
     def build(self, parallelism: int = 4) -> None:
@@ -353,6 +356,29 @@ class Warehouse:
         return self.table("marts/playbook_recommendations", lambda: RT.playbook_recommendation(
             self.customer_profile, RT.playbooks(self.spark)))
 
+    # ------------------------------------------------------------ report rows (merged on read)
+    def report_parts(self, name: str, build: Callable[[], DataFrame], part: str = "all") -> list[dict[str, str]]:
+        """The rows of sums stored for a report, one per part of the data; ``build`` makes this part's if it has none."""
+        folder = f"{self.root}/reports/{name}"
+        if not sess.path_exists(self.spark, f"{folder}/{part}.json"):
+            row = build().first().asDict()
+            sess.write_text(self.spark, f"{folder}/{part}.json", json.dumps({k: str(v) for k, v in row.items()}))
+        return [json.loads(sess.read_text(self.spark, p)) for p in sess.files_in(self.spark, folder)]
+
+    def report(self, name: str, build: Callable[[], DataFrame], part: str = "all") -> DataFrame:
+        """One row of a report's sums, its parts added up: read without a Spark job."""
+        known = self._reports.get(name)
+        if known is None:
+            parts = self.report_parts(name, build, part)
+            total = {k: str(sum(Decimal(p[k]) for p in parts)) for k in parts[0]}
+            known = self._reports[name] = self.spark.sql("SELECT * FROM VALUES ({}) AS t({})".format(
+                ", ".join(f"cast('{v}' as decimal(38,6))" for v in total.values()), ", ".join(total)))
+        return known
+
+    @property
+    def portfolio_sums(self) -> DataFrame:
+        return self.report("portfolio", lambda: A.portfolio_sums(self.mart_customer_metrics, self.churn_predictions_baseline))
+
     # ------------------------------------------------------------ serving
     SERVING_TABLES = ["customer_profile", "mart_product_metrics", "mart_seller_metrics", "mart_marketing_funnel",
                       "rfm_segments", "churn_predictions_baseline", "mart_customer_metrics"]

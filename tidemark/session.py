@@ -100,3 +100,9 @@ def read_text(spark: SparkSession, path: str) -> str:
         return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
+
+
+def files_in(spark: SparkSession, path: str) -> list[str]:
+    """The files of a folder, in order of their names."""
+    fs, p = file_system(spark, path)
+    return sorted(f.getPath().toString() for f in fs.listStatus(p) if f.isFile() and not f.getPath().getName().startswith("."))

@@ -1,10 +1,10 @@
 """CSV source: the raw-file catalogue and a schema-fixed reader.
 
 Files are read with the fixed raw schemas (never inferred), header on, an
-empty unquoted field as NULL, UTF-8 with or without BOM. Only tables whose
-text can hold embedded newlines (review comments) are read in multi-line
-mode; every other file stays splittable, so a large CSV is read by many
-tasks instead of one.
+empty unquoted field as NULL, UTF-8 with or without BOM. Tables whose text can
+hold line breaks (review comments) are cut into records first
+(:mod:`.records`); the others are read by Spark's reader. Either way a large file is
+read by many tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import path_exists
+from .records import read_records
 from .schemas import ALL_TABLES, CORE_TABLES, MARKETING_TABLES, RAW_SCHEMAS, SOURCE_FILES
 
 MULTILINE_TABLES = {"order_reviews"}
@@ -19,19 +20,15 @@ MODULES = {"core": CORE_TABLES, "marketing": MARKETING_TABLES, "all": ALL_TABLES
 SCHEMA_OF = {t: ("raw_marketing" if t in MARKETING_TABLES else "raw") for t in ALL_TABLES}
 
 
+#: Options of Spark's CSV reader and of its CSV expression alike.
+OPTIONS = {"escape": '"', "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "FAILFAST",
+           "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "dateFormat": "yyyy-MM-dd"}
+
+
 def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return (spark.read.schema(RAW_SCHEMAS[table])
-            .option("header", True)
-            .option("multiLine", table in MULTILINE_TABLES)
-            .option("escape", '"')
-            .option("nullValue", "")
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .option("encoding", "UTF-8")
-            .option("mode", "FAILFAST")
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-            .option("dateFormat", "yyyy-MM-dd")
-            .csv(path))
+    if table in MULTILINE_TABLES:
+        return read_records(spark, path, RAW_SCHEMAS[table], OPTIONS)
+    return spark.read.schema(RAW_SCHEMAS[table]).options(header="true", encoding="UTF-8", **OPTIONS).csv(path)
 
 
 def find_source(spark: SparkSession, filename: str, candidate_dirs: list[str]) -> str | None:
