@@ -4,22 +4,24 @@ The pieces are those of an existing vocabulary file (never trained here). A text
 " word word ...": every word is preceded by a space, and pieces hold a space only in front.
 The probability of a word is the sum over all its segmentations, taken by a forward
 recursion in log space over its bytes. Single bytes are pieces, so any word has a segmentation.
-Piece probabilities start from the vocabulary's own scores (ranks) and are fitted by
-expectation maximisation to all distinct training words. Besides the pieces, a word of the
-training texts has one edge from its first to its last byte, weighted by its count less
-DISCOUNT; what the discounts leave over weighs the pieces' paths. With the end token this is a
-proper distribution over texts:
+Nothing but the pieces carries probability: a word has no edge of its own.
+
+The vocabulary's own scores are ranks; a piece of rank r weighs 1 / (RANK_SHIFT + r), bytes a little. These weights are the
+prior, worth PRIOR tokens in all, of the expected counts that all segmentations of the training words give each piece (words
+weighted by how often they occur, EM_ROUNDS rounds). With the end token this is a proper distribution over texts:
 
-    P(word) = (max(c - DISCOUNT, 0) + (DISCOUNT * types + 1) * P(pieces)) / (N + 2)
     P(end)  = (training texts + 1) / (N + 2)
+    P(word) = (1 - P(end)) * sum over segmentations of the product of P(piece)
 
 Each distinct word is scored once, not once per occurrence. Words that make up at least
 1 / HEAD of all tokens - at most HEAD words, by counting - are sent to the tasks; all other
 words of a document are joined with the word table by key, none of which can be hot. Only
-those word rows are shuffled, never texts. Words are joined by 64-bit hashes.
+those word rows are shuffled, never texts. Words are joined by 64-bit hashes; the word table holds every word of
+the corpus and shows whether two of them share one: then all are hashed anew, so counts and scores are exact.
 
 Defined results: a null text is empty and has its end token only; a null doc_id is held out;
-repeated rows each get a row. Other columns are ignored. An empty table gives no rows.
+repeated rows each get a row. Very long texts are read in whole, a very long word in lattices of bounded size. Other columns are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,9 +45,9 @@ COUNT_CHUNK = 8 << 20
 EM_ROUNDS = 2
 #: Distinct words that a task handles at once.
 GATHERED = 120_000
-#: Expected count that every piece has before any text is seen.
-PRIOR = 0.01
-DISCOUNT = 0.75
+#: Tokens that the vocabulary's own weights count for before any text is seen.
+PRIOR = 100.0
+RANK_SHIFT = 10.0
 _LN10 = math.log(10)
 
 
@@ -87,7 +89,7 @@ def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
         raw = model.id_to_piece(i).replace("▁", " ").encode()
         if b" " in raw[1:] or raw.translate(None, b"\t\n\x0b\x0c\r") != raw:
             continue
-        weight[raw] = weight.get(raw, 0.0) + 1.0 / (10.0 + min(1e6, -model.get_score(i)))
+        weight[raw] = weight.get(raw, 0.0) + 1.0 / (RANK_SHIFT + min(1e6, -model.get_score(i)))
     pieces = list(weight)
     p = np.array([*weight.values()])
     return pieces, np.log(p / p.sum())
@@ -132,8 +134,8 @@ def forward(pieces: Pieces, sums: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
     return alpha, edges
 
 
-def expected_counts(pieces: Pieces, words: pa.Array) -> np.ndarray:
-    """How often each piece is used in all segmentations of the words, weighted by their probabilities."""
+def expected_counts(pieces: Pieces, words: pa.Array, times: np.ndarray) -> np.ndarray:
+    """How often each piece is used in all segmentations of the words, weighted by their probabilities and the words' counts."""
     total = np.zeros(len(pieces.log_p))
     for part, sums in _by_length(words):
         alpha, edges = forward(pieces, sums)
@@ -144,7 +146,7 @@ def expected_counts(pieces: Pieces, words: pa.Array) -> np.ndarray:
         for i, j, rows, ids in reversed(edges):
             through = pieces.log_p[ids] + beta[rows, j]
             beta[rows, i] = np.logaddexp(beta[rows, i], through)
-            share = np.exp(alpha[rows, i] + through - alpha[rows, n])
+            share = np.exp(alpha[rows, i] + through - alpha[rows, n]) * times[part[rows]]
             used.append(ids)
             shares.append(share)
         total += np.bincount(np.concatenate(used), np.concatenate(shares), len(total))
@@ -211,7 +213,7 @@ def _em_batches(model: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, total = model.value, None
         for batch in _gathered(batches):
-            part = expected_counts(pieces, batch.column(0))
+            part = expected_counts(pieces, batch.column(0), np.asarray(batch.column(1), dtype=float))
             total = part if total is None else total + part
         if total is not None:
             some = np.flatnonzero(total)
@@ -220,17 +222,14 @@ def _em_batches(model: Broadcast) -> Callable:
 
 
 def fit(counts: DataFrame, vocabulary: str, rounds: int) -> Pieces:
-    """Piece probabilities fitted to the distinct training words; the driver gathers one number per piece.
-
-    Each word counts once: the pieces' paths serve rare and new words, frequent ones have edges of their own.
-    """
+    """Piece probabilities fitted to the training words; the driver gathers one number per piece."""
     names, log_p = load_pieces(vocabulary)
-    pieces = Pieces(names, log_p)
-    train = counts.where("c > 0").select("word")
+    pieces, prior = Pieces(names, log_p), PRIOR * np.exp(log_p)
+    train = counts.where("c > 0").select("word", "c")
     for _ in range(rounds):
         model = train.sparkSession.sparkContext.broadcast(pieces)
         rows = train.mapInArrow(_em_batches(model), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        n = np.full(len(log_p), PRIOR)
+        n = prior.copy()
         for piece, x in rows:
             n[piece] += x
         pieces.log_p = np.log(n / n.sum())
@@ -238,14 +237,12 @@ def fit(counts: DataFrame, vocabulary: str, rounds: int) -> Pieces:
     return pieces
 
 
-def _scored_batches(model: Broadcast, spare: float, total: float) -> Callable:
+def _scored_batches(model: Broadcast, seed: int, log_word: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
             data, offsets = T.utf8(batch.column(0))
-            hashes = T.token_hashes(data, offsets[:-1], offsets[1:])
-            own = np.maximum(np.asarray(batch.column(1), dtype=float) - DISCOUNT, 0.0)
-            with np.errstate(divide="ignore"):
-                log_p = np.logaddexp(np.log(own), math.log(spare) + word_scores(model.value, batch.column(0))) - math.log(total)
+            hashes = T.token_hashes(data, offsets[:-1], offsets[1:], seed)
+            log_p = log_word + word_scores(model.value, batch.column(0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes.astype(np.int64)), batch.column(1), batch.column(2),
                  pa.array(log_p / _LN10)], ["hash", "c", "c_all", "log10_p"])
@@ -255,7 +252,7 @@ def _scored_batches(model: Broadcast, spare: float, total: float) -> Callable:
 _PART = "row_id long, doc_id long, held_out boolean, tail boolean, hash long, tf long, n_tokens long, n_known long, base double, score double"
 
 
-def _doc_batches(head: Broadcast, end: tuple[int, float, float], total: float) -> Callable:
+def _doc_batches(head: Broadcast, end: tuple[int, float, float], total: float, seed: int) -> Callable:
     """Per row: one marker row with the sums over its head words, and one row per other distinct word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, log_p = head.value
@@ -264,7 +261,7 @@ def _doc_batches(head: Broadcast, end: tuple[int, float, float], total: float) -
             for lo, hi, data, offsets in T.chunks(*T.utf8(batch.column(3))):
                 n = hi - lo
                 low, starts, ends, first = _split(data, offsets)
-                hashes = T.token_hashes(low, starts, ends)
+                hashes = T.token_hashes(low, starts, ends, seed)
                 row = np.repeat(np.arange(n), np.diff(first))
                 at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
                 hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
@@ -308,8 +305,14 @@ def score_documents(docs: DataFrame, scratch: Scratch, text: str = "text", vocab
     total = train_tokens + 0.5 * (distinct + 1)
     pieces = fit(counts, vocabulary, rounds)
 
-    model = spark.sparkContext.broadcast(pieces)
-    scored = scratch.write(counts.mapInArrow(_scored_batches(model, DISCOUNT * types + 1, train_tokens + 2), "hash long, c long, c_all long, log10_p double"), "words")
+    model, seed = spark.sparkContext.broadcast(pieces), 0
+    log_word = math.log((train_tokens - n_train + 1) / (train_tokens + 2))
+    while True:
+        scored = scratch.write(counts.mapInArrow(_scored_batches(model, seed, log_word), "hash long, c long, c_all long, log10_p double"), f"words{seed}")
+        if scored.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break
+        scratch.drop(f"words{seed}")
+        seed += 1
     scratch.drop("counts")
     head = scored.where(F.col("c_all") * HEAD >= every).select("hash", "c", "log10_p").toArrow()
     known = np.asarray(head["hash"]).astype(np.uint64)
@@ -317,7 +320,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, text: str = "text", vocab
     top = spark.sparkContext.broadcast(
         (known[order], np.asarray(head["c"])[order].astype(float), np.asarray(head["log10_p"])[order]))
     end = (n_train, math.log10((n_train + 0.5) / total), math.log10((n_train + 1) / (train_tokens + 2)))
-    parts = docs.mapInArrow(_doc_batches(top, end, total), _PART)
+    parts = docs.mapInArrow(_doc_batches(top, end, total, seed), _PART)
     tail = scored.where(F.col("c_all") * HEAD < every).select(F.lit(True).alias("tail"), "hash", "c", "log10_p")
     j = parts.join(tail, ["tail", "hash"], "left")
     tf = F.coalesce("tf", F.lit(0))

@@ -65,18 +65,19 @@ def tokens(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 _BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+def _power_tables(n: int, seed: int = 0) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse; every seed has a base of its own."""
+    if len(_powers.get(seed, [()])[0]) < n:
+        size, tables = max(n, CHUNK_BYTES + 1), []
+        for base in (_BASE + 2 * seed, pow(_BASE + 2 * seed, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _powers.append(np.cumprod(steps, dtype=np.uint64))
-    return _powers
+            tables.append(np.cumprod(steps, dtype=np.uint64))
+        _powers[seed] = tables
+    return _powers[seed]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,9 +87,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of byte ranges, equal for equal bytes in any batch (prefix sums of a polynomial)."""
-    power, inverse = _power_tables(len(data) + 1)
+    power, inverse = _power_tables(len(data) + 1, seed)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts])
