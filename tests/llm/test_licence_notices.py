@@ -61,7 +61,10 @@ def found(spark):
                   (f, "in prose"): f"{prose}\n{wrap(one)}\n{prose}"}
     cases |= {("unknown", "no version"): wrap(GNU.format("program", "GNU General Public License", "any version")),
               ("unknown", "other version"): "This work is licensed under the GNU General Public License, version 7.",
-              ("unknown", "first sentence"): wrap(BSD[0])}
+              ("unknown", "first sentence"): wrap(BSD[0]),
+              ("unknown", "artistic"): "Licensed under the Artistic License, Version 2.0; you may not use this file except in compliance "
+                                       "with the License.",
+              ("unknown", "eupl"): "Licensed under the European Union Public License, version 1.2."}
     rows = [(10**9 + i, t) for i, t in enumerate(cases.values())]
     docs = corpus.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r.doc_id: r for r in licences.scan(docs, Scratch(spark, "t")).collect()}
@@ -73,6 +76,26 @@ def test_notice_is_found_in_every_form(found, form):
     assert {f: found[f, form].licenses for f in NOTICES} == {f: f for f in NOTICES}
 
 
-def test_ambiguous_notices_are_not_confirmed(found):
-    assert {k: r.licenses for k, r in found.items() if k[0] == "unknown"} == dict.fromkeys(
-        [k for k in found if k[0] == "unknown"], "")
+def test_ambiguous_and_foreign_notices_are_unknown(found):
+    doubtful = {k: r for k, r in found.items() if k[0] == "unknown"}
+    assert {k: r.licenses for k, r in doubtful.items()} == dict.fromkeys(doubtful, "")
+    foreign = {k: r.license for k, r in doubtful.items() if k[1] != "first sentence"}
+    assert foreign == dict.fromkeys(foreign, "unknown")
+
+
+def test_rows_that_repeat_an_id_change_nothing(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(10**9, NOTICES["mit"]), (10**9 + 1, NOTICES["mit"]), (10**9 + 1, NOTICES["mit"]), (10**9 + 1, "some prose"),
+            (None, NOTICES["isc"]), (None, NOTICES["mpl-2.0"]), (None, None)]
+    docs = corpus.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [r for r in licences.scan(docs, Scratch(spark, "t")).collect() if r.doc_id is None or r.doc_id >= 10**9]
+    one = next(r for r in got if r.doc_id == 10**9)
+    again = sorted((r for r in got if r.doc_id == 10**9 + 1), key=lambda r: r.license)
+    assert [r.license for r in again] == ["mit", "mit", "none"]
+    assert all(tuple(r)[1:] == tuple(one)[1:] for r in again[:2])
+    assert sorted(r.license for r in got if r.doc_id is None) == ["isc", "mpl-2.0", "none"]
+
+
+def test_an_empty_table_gives_no_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, row long")
+    assert licences.scan(empty, Scratch(spark, "t")).collect() == []

@@ -7,24 +7,24 @@ Features are the word pairs and triples that occur in the templates of the licen
 fixed vocabulary); a multinomial logistic regression with an elastic-net penalty is trained on
 altered templates (words dropped, alone, after corpus words or inside corpus paragraphs) and on lines and paragraphs
 of the corpus without a template, a bounded sample of rows. A temperature fitted on rows kept aside calibrates its
-probabilities.
+probabilities. A second model, which isn't trained on a third of the families, tells how licences that a model doesn't know look to
+it, and so from which probability of all families together a passage counts as a licence at all.
 
 A family is confirmed if its probability reaches the threshold fitted there, CONFIRM of the pairs and triples of one of
-its templates occur, all pairs that end in a number among them (its version), and no
+its templates occur, all pairs that end in a number (its version) or hold a naming word among them, and no
 template of another family that occurs as well speaks against it: of the pairs and triples that only one of the two
 has, those of the confirmed template occur to the larger share, CONFIRM at least. If it has none of its own (a two-clause
 BSD notice lies inside the three-clause one), less than CONFIRM of the other's may occur. What looks
-like a licence and isn't confirmed is ``unknown``: a line, or a whole paragraph that reaches the
-threshold. A paragraph counts for a family that none of its lines was confirmed for, and its unconfirmed lines
-don't count then. The first sentence of a BSD licence alone doesn't tell the number of clauses and is ``unknown``.
+like a licence and isn't confirmed is ``unknown``, be it a line or a whole paragraph. A paragraph counts for a family that none of its lines was confirmed for, and its unconfirmed lines
+don't count then. The first sentence of a BSD licence alone doesn't tell the number of clauses and isn't confirmed.
 
 Every line and paragraph is scored with DataFrame expressions: its pairs of template words are exploded and
 joined with the weights, so one without any leaves no row; weights and templates have a
-few thousand rows, whatever the corpus. Only these matches are shuffled, by document and place.
+few thousand rows, whatever the corpus. Only these matches are shuffled, by row and place.
 
-Defined results: a null text, or one without a licence paragraph, is ``none``; rows that
-repeat a doc_id are one document, whose paragraphs are taken together; null doc_ids are one
-document. If there are no documents to learn from, the result is empty. Other columns are ignored.
+Defined results: a null text, or one without a licence paragraph, is ``none``; every row gets a row, also rows that
+repeat a doc_id or have none. Very long texts are read in whole. Of equally probable families the first in order of their names counts.
+An empty table gives no rows; without documents that have an id there are no plain paragraphs to learn from, but templates. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,6 +65,8 @@ TEMPLATES = [
     ("cc0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
                 "rights to this software to the public domain worldwide. This software is distributed without any warranty. "
                 "You should have received a copy of the CC0 Public Domain Dedication along with this software."),
+    ("cc0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+                "rights to this software to the public domain worldwide. This software is distributed without any warranty."),
     ("isc", "Released under the ISC License."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
             "granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -95,6 +97,8 @@ TEMPLATES = [
                 "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 FAMILIES = [NONE, *sorted({f for f, _ in TEMPLATES})]
+#: Families that a second model isn't trained on: what licences it doesn't know look like to it sets the unknown class.
+HELD_OUT = FAMILIES[1::3]
 #: Altered copies of each template, and documents whose paragraphs are the other class, at most.
 ALTERED = 60
 SAMPLE_DOCUMENTS = 300
@@ -104,7 +108,12 @@ CONFIRM = 0.6
 PLAIN = 0.5
 #: Blank lines, unless a list item follows. It reads every run of spaces once.
 PARAGRAPH = r"(?<!\s)(?=[ \t\r\f\x0B]*+\n[ \t\r\f\x0B]*+\n)\s++(?!(?:[0-9]{1,2}[.)]|\([0-9a-z]\)|[*\u2022-])\s)"
-PRECISION = 0.99
+#: Precision of the family before confirmation: altered notices that lost their version are told apart by the templates only.
+PRECISION = 0.95
+#: Words that name a family; a template that has some is confirmed only where its pairs with them occur.
+NAME_WORDS = "affero apache artistic bsd cc cc0 commons creative gnu isc lesser mit mozilla mpl unlicense zero".split()
+#: Share of kept-aside rows of families not trained on that shall look like licences, and of such rows that shall be licences.
+FOUND, LICENCES = 0.95, 0.99
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)
 
 
@@ -121,9 +130,9 @@ def _plain_grams(text: str) -> list[str]:
     return sorted({" ".join(w[i:i + k]) for k in (2, 3) for i in range(len(w) - k + 1)})
 
 
-def _numbered(gram: str) -> bool:
-    """Whether it is a pair that ends in a number."""
-    return len(w := gram.split()) == 2 and w[1].isdigit()
+def _key(gram: str) -> bool:
+    """Whether it is a pair that ends in a number or holds a naming word."""
+    return len(w := gram.split()) == 2 and (w[1].isdigit() or any(x in NAME_WORDS for x in w))
 
 
 VOCABULARY = sorted({g for _, t in TEMPLATES for g in _plain_grams(t)})
@@ -143,13 +152,13 @@ def grams(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, block, line and passage: every paragraph (line -1), and the lines of those with several."""
+    """row, doc_id, block, line and passage: every paragraph (line -1), and the lines of those with several."""
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    blocks = docs.select(docs["doc_id"].cast("long").alias("doc_id"),
+    blocks = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
                          F.posexplode(F.split(body, PARAGRAPH)).alias("block", "paragraph"))
     lines = F.split("paragraph", "\n")
     passages = F.concat(F.array("paragraph"), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))
-    return blocks.select("doc_id", "block", F.posexplode(passages).alias("line", "passage")) \
+    return blocks.select("row", "doc_id", "block", F.posexplode(passages).alias("line", "passage")) \
         .withColumn("line", F.col("line") - 1)
 
 
@@ -214,32 +223,56 @@ class Classifier:
         counts = CountVectorizerModel.from_vocabulary(VOCABULARY, inputCol="grams", outputCol="features")
         counts.setBinary(True)
         numbered = rows.withColumn("label", F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1)
-        fitted = scratch.write(counts.transform(numbered.where("part < 2")).select("features", F.col("label").cast("double")), "fitted")
-        lr = LogisticRegression(family="multinomial", regParam=1e-4, elasticNetParam=0.5, maxIter=60, standardization=False)
-        model = lr.fit(fitted)
-        w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-        n = w.shape[0]
-        names = [f"w{k}" for k in range(len(FAMILIES))]
-        full = lambda col: [float(x) for x in col] + [0.0] * (len(FAMILIES) - n)
-        table_rows = [(g, i, *full(w[:, i])) for i, g in enumerate(VOCABULARY)] + [("", -1, *full(b))]
-        self.weights = scratch.write(spark.createDataFrame(
-            table_rows, "gram string, gid int, " + ", ".join(f"{x} double" for x in names)).coalesce(1), "weights")
+        numbered = counts.transform(numbered).select("features", F.col("label").cast("double"), "part", "family")
+        some = self._fitted(numbered.where((F.col("part") < 2) & ~F.col("family").isin(HELD_OUT)), scratch, "known")
+        self.weights = self._fitted(numbered.where("part < 2"), scratch, "every")
         place = {g: i for i, g in enumerate(VOCABULARY)}
-        held = [(f, {place[g] for g in _plain_grams(t)}, [place[g] for g in _plain_grams(t) if _numbered(g)]) for f, t in TEMPLATES]
+        held = [(f, {place[g] for g in _plain_grams(t)}, [place[g] for g in _plain_grams(t) if _key(g)]) for f, t in TEMPLATES]
         self.templates = scratch.write(spark.createDataFrame(
             [(f, sorted(t), key, [(sorted(r), sorted(t - r), sorted(r - t)) for g, r, _ in held if g != f]) for f, t, key in held],
             "family string, template array<int>, key array<int>, "
             "rivals array<struct<whole: array<int>, mine: array<int>, theirs: array<int>>>").coalesce(1), "templates")
         self.temperature, self.threshold = self._calibrate(rows.where("part = 2"))
+        self.likeness = self._calibrate_unknown(rows.where((F.col("part") == 2) | F.col("family").isin(HELD_OUT)), some)
 
-    def matches(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows with a grams column, exploded and joined with the weights ('' brings the intercepts)."""
-        return rows.select(*keys, F.explode(F.concat(F.col("grams"), F.array(F.lit("")))).alias("gram")).join(self.weights, "gram")
+    @staticmethod
+    def _fitted(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """Weights of every word pair and triple, and the intercepts ('')."""
+        lr = LogisticRegression(family="multinomial", regParam=1e-4, elasticNetParam=0.5, maxIter=60, standardization=False)
+        model = lr.fit(scratch.write(rows.select("features", "label"), f"fitted-{name}"))
+        w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+        seen = {int(r[0]) for r in rows.select("label").distinct().collect()}  # one row per family
+        names = [f"w{k}" for k in range(len(FAMILIES))]
+        full = lambda col, other: [float(col[k]) if k in seen else other for k in range(len(FAMILIES))]
+        table_rows = [(g, i, *full(w[:, i], 0.0)) for i, g in enumerate(VOCABULARY)] + [("", -1, *full(b, -1e6))]
+        return scratch.write(rows.sparkSession.createDataFrame(
+            table_rows, "gram string, gid int, " + ", ".join(f"{x} double" for x in names)).coalesce(1), f"weights-{name}")
+
+    def _scored(self, rows: DataFrame, weights: DataFrame) -> DataFrame:
+        """Logits of rows with a grams column, which is exploded and joined with the weights ('' brings the intercepts)."""
+        rows = rows.withColumn("id", F.monotonically_increasing_id())
+        matches = rows.select("id", "family", F.explode(F.concat(F.col("grams"), F.array(F.lit("")))).alias("gram")).join(weights, "gram")
+        return _logits(matches, ["id", "family"])
+
+    def _calibrate_unknown(self, rows: DataFrame, weights: DataFrame) -> float:
+        """How much probability all families together need for a passage to look like a licence.
+
+        The model that doesn't know the families held out says it of their rows and of plain ones: the lowest level at which LICENCES of
+        what looks like a licence is one, and not above the highest at which FOUND of the families held out do.
+        """
+        p = _probabilities([F.col(f"z{k}") for k in range(len(FAMILIES))], self.temperature)
+        level = F.explode(F.array(*[F.lit(x / 50) for x in range(5, 50)]))
+        at = self._scored(rows, weights).select("family", (1 - F.get(p, 0)).alias("like")).withColumn("level", level)
+        held, like = F.col("family").isin(HELD_OUT), F.col("like") >= F.col("level")
+        by_level = at.groupBy("level").agg(F.avg(F.when(held, like.cast("double"))).alias("found"),
+                                           F.avg(F.when(like, (F.col("family") != NONE).cast("double"))).alias("licences"))
+        low, high = by_level.agg(F.min(F.when(F.col("licences") >= LICENCES, F.col("level"))), F.max(F.when(F.col("found") >= FOUND, F.col("level")))).first()
+        return float(min(x for x in (low, high, 0.5) if x is not None))
 
     def _calibrate(self, rows: DataFrame) -> tuple[float, float]:
         """The temperature of least log loss, and the lowest threshold with PRECISION, on rows kept aside."""
         z = [F.col(f"z{k}") for k in range(len(FAMILIES))]
-        scored = _logits(self.matches(rows.withColumn("id", F.monotonically_increasing_id()), ["id", "family"]), ["id", "family"])
+        scored = self._scored(rows, self.weights)
         truth = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")).cast("int") - 1
         loss = scored.withColumn("t", F.explode(F.array(*[F.lit(t) for t in TEMPERATURES]))) \
             .withColumn("p", F.get(_probabilities(z, F.col("t")), truth)) \
@@ -254,21 +287,24 @@ class Classifier:
         return float(temperature), float(level if level is not None else 0.95)
 
     def classify(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """doc_id, block, line (-1: the paragraph), family (or unknown), p and similarity of every line and paragraph that looks
-        like a licence, and one row with block -1 per document."""
-        passages = paragraphs(docs, text).select("doc_id", "block", "line", grams(_words(F.col("passage"))).alias("grams"))
+        """row, doc_id, block, line (-1: the paragraph), family (or unknown), p and similarity of every line and paragraph that looks
+        like a licence, and one row with block -1 per input row."""
+        passages = paragraphs(docs, text).select("row", "doc_id", "block", "line", grams(_words(F.col("passage"))).alias("grams"))
         marks = F.when((F.col("block") == 0) & (F.col("line") < 0), F.array(F.struct(F.lit(-1).alias("block"), F.lit("").alias("gram")))) \
             .otherwise(F.array().cast("array<struct<block: int, gram: string>>"))
-        found = passages.select("doc_id", "block", "line", F.explode(F.concat(F.transform(
+        found = passages.select("row", "doc_id", "block", "line", F.explode(F.concat(F.transform(
             "grams", lambda g: F.struct(F.col("block").alias("block"), g.alias("gram"))), marks)).alias("g")) \
-            .select("doc_id", F.col("g")["block"].alias("block"), "line", F.col("g")["gram"].alias("gram")).join(self.weights, "gram")
-        scored = _logits(found, ["doc_id", "block", "line"])
+            .select("row", "doc_id", F.col("g")["block"].alias("block"), "line", F.col("g")["gram"].alias("gram")).join(self.weights, "gram")
+        scored = _logits(found, ["row", "doc_id", "block", "line"])
         intercept = self.weights.where("gram = ''").first()
         z = [F.col(f"z{k}") + intercept[f"w{k}"] for k in range(len(FAMILIES))]
         p = _probabilities(z, self.temperature)
-        scored = scored.withColumn("probs", p).withColumn("p", F.array_max("probs")) \
-            .withColumn("family", F.get(F.array(*[F.lit(f) for f in FAMILIES]), (F.array_position("probs", F.col("p")) - 1).cast("int")))
-        scored = scored.where((F.col("family") != NONE) | (F.col("block") < 0)).select("doc_id", "block", "line", "family", "p", "gids")
+        # the surest family, if all families together are likely enough
+        families = F.slice("probs", 2, len(FAMILIES) - 1)
+        scored = scored.withColumn("probs", p).withColumn("p", F.array_max(families)) \
+            .withColumn("family", F.when(1 - F.get("probs", 0) >= self.likeness, F.get(
+                F.array(*[F.lit(f) for f in FAMILIES]), F.array_position(families, F.col("p")).cast("int"))).otherwise(NONE))
+        scored = scored.where((F.col("family") != NONE) | (F.col("block") < 0)).select("row", "doc_id", "block", "line", "family", "p", "gids")
         same = scored.join(self.templates.groupBy("family").agg(F.collect_list(F.struct("template", "key", "rivals")).alias("all")),
                            "family", "left")
 
@@ -288,8 +324,7 @@ class Classifier:
         same = same.withColumns({
             "similarity": F.coalesce(F.array_max(F.transform("all", lambda t: share(t["template"]))), F.lit(0.0)),
             "sure": F.when(likely, F.coalesce(F.exists("all", holds), F.lit(False))).otherwise(F.lit(False))})
-        same = same.where((F.col("block") < 0) | F.col("sure") | (F.col("line") >= 0) | likely)
-        return same.select("doc_id", "block", "line", F.when(F.col("block") < 0, NONE).when(F.col("sure"), F.col("family"))
+        return same.select("row", "doc_id", "block", "line", F.when(F.col("block") < 0, NONE).when(F.col("sure"), F.col("family"))
                            .otherwise(UNKNOWN).alias("family"), "p", "similarity")
 
 
@@ -297,7 +332,7 @@ def scan(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """doc_id, license (the surest family; unknown if only doubtful paragraphs; none), licenses, paragraph counts, confidence."""
     hits = Classifier(docs, scratch, text).classify(docs, text)
     sure, whole = F.col("family") != UNKNOWN, F.col("line") < 0
-    blocks = hits.groupBy("doc_id", "block").agg(
+    blocks = hits.groupBy("row", "doc_id", "block").agg(
         F.max(F.when(sure, F.struct(F.round("p", 6).alias("p"), "family"))).alias("first"),
         F.collect_set(F.when(sure, F.col("family"))).alias("families"),
         F.collect_set(F.when(sure & ~whole, F.col("family"))).alias("line_families"),
@@ -308,7 +343,7 @@ def scan(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     # a paragraph of one line has no lines of its own
     unknown = F.when(by_whole > 0, 0).otherwise(F.greatest("unknown_lines", F.when(
         ~F.col("whole_sure") & (F.col("known_lines") == 0), 1).otherwise(0)))
-    out = blocks.groupBy("doc_id").agg(
+    out = blocks.groupBy("row", "doc_id").agg(
         F.max(F.when(real, F.col("first")))["family"].alias("first"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(real, F.col("families")))))).alias("licenses"),
         F.sum(F.when(real, F.col("known_lines") + by_whole).otherwise(0)).alias("n_license_paragraphs"),
