@@ -13,8 +13,8 @@ class Scratch:
     """A folder of Parquet tables below ``spark.checkpoint.dir``.
 
     Written tables cut the lineage: a lost executor costs the tasks it ran, not the
-    stages before. ``drop`` removes a table that no later step reads; whatever is left
-    goes when the Spark application ends.
+    stages before. ``drop`` removes a table that no later step reads, ``close`` all of them; whatever
+    is left goes when the Spark application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -34,6 +34,10 @@ class Scratch:
         for name in names:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
+    def close(self) -> None:
+        """Removes all tables; whoever reads one of them must have written its result by then."""
+        self._fs.delete(self._path(self.root), True)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
