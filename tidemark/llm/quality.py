@@ -54,10 +54,16 @@ def _bind(value: Column, use) -> Column:
 
 
 def _repeated(words: Column) -> Column:
-    """Number of words inside 3-word windows that occur at least twice (64-bit hashes of windows)."""
-    def windows(w: Column) -> Column:
-        return F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(
-            F.xxhash64(w[i - 1], w[i], w[i + 1]).alias("h"), i.alias("i"))))
+    """Number of words inside 3-word windows that occur at least twice (64-bit hashes of windows).
+
+    Plain hashes are sorted first; only where one repeats are the windows' places sorted with them.
+    """
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(w[i - 1], w[i], w[i + 1]))
+
+    def again(h: Column) -> Column:
+        ranked = F.sort_array(h)
+        return _bind(ranked, lambda s: F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda k: F.get(s, k) == F.get(s, k - 1)))
 
     def twice(s: Column) -> Column:
         same = F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"]))
@@ -65,8 +71,13 @@ def _repeated(words: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(
             same, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(
-        _bind(words, lambda w: _bind(windows(w), twice)))
+    def placed(h: Column) -> Column:
+        return F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+    def count(h: Column) -> Column:
+        return F.when(again(h), _bind(placed(h), twice)).otherwise(F.lit(0))
+
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_bind(words, lambda w: _bind(hashes(w), count)))
 
 
 def measure(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
