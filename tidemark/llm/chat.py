@@ -12,7 +12,8 @@ is one text; nothing is gathered across conversations.
 
 Defined results: turns are ordered by turn (null first), then role, then text, so repeated
 turn numbers have one order; repeated rows are turns of their own; a null role or text is
-an empty one; a null conv_id is one conversation. An empty table gives no rows.
+an empty one; a row without conv_id is a conversation of its own. Very long texts and conversations are formatted in whole. Other
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,20 +51,23 @@ def _plain_role(c: Column) -> Column:
 
 
 def conversations_as_text(rows: DataFrame) -> DataFrame:
-    """One row per conversation: formatted turns in order, with where each begins and its text begins."""
+    """One row per conversation: conv_id, own (the row's number, for rows without conv_id), formatted turns in order, with where
+    each begins."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(OPEN + MARK), _colon(role), F.lit(": "))
     turn = F.struct("turn", role.alias("role"), text.alias("text"), head.alias("head"),
                     escape(text).alias("body"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    grouped = rows.select("conv_id", own.alias("own"), turn.alias("turn")).groupBy("conv_id", "own") \
+        .agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     sizes = F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(CLOSE))
     starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
-    return grouped.select("conv_id", "turns", starts.alias("starts"), formatted.alias("formatted"))
+    return grouped.select("conv_id", "own", "turns", starts.alias("starts"), formatted.alias("formatted"))
 
 
 def expand(rows: DataFrame) -> DataFrame:
-    """One example per assistant turn: conv_id, target (its place, from 0), text, loss_start, loss_end.
+    """One example per assistant turn: conv_id, own, target (its place, from 0), text, loss_start, loss_end.
 
     The range [loss_start, loss_end) counts characters from 0; both are null in the example
     that only completes a conversation.
@@ -72,24 +76,21 @@ def expand(rows: DataFrame) -> DataFrame:
     n = F.size("turns")
     targets = F.transform("turns", lambda x, i: F.when(
         (x["role"] == TRAINED) | (i == n - 1), F.struct(
-            i.alias("target"), (x["role"] == TRAINED).alias("trained"),
-            F.length(x["head"]).alias("head"), F.length(x["body"]).alias("body"))))
-    e = t.select("conv_id", "formatted", "starts", F.explode(F.array_compact(targets)).alias("t"))
-    start = F.get("starts", F.col("t.target"))
-    begin = F.when(F.col("t.trained"), start + F.col("t.head"))
-    return e.select("conv_id", F.col("t.target").alias("target"),
-                    F.expr("left(formatted, get(starts, t.target + 1))").alias("text"),
-                    begin.alias("loss_start"), (begin + F.col("t.body")).alias("loss_end"))
+            i.alias("target"), F.get("starts", i + 1).alias("upto"),
+            F.when(x["role"] == TRAINED, F.get("starts", i) + F.length(x["head"])).alias("begin"), F.length(x["body"]).alias("body"))))
+    e = t.select("conv_id", "own", "formatted", F.inline(F.array_compact(targets)))
+    return e.select("conv_id", "own", "target", F.expr("left(formatted, upto)").alias("text"),
+                    F.col("begin").alias("loss_start"), (F.col("begin") + F.col("body")).alias("loss_end"))
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """What the examples hold, parsed from their texts and ranges alone: one row per conversation."""
+    """What the examples hold, parsed from their texts and ranges alone: one row per conversation (conv_id, own)."""
     parsed = F.transform(F.filter(F.split(F.col("whole"), CLOSE), lambda x: x != ""), lambda x: F.struct(
         _plain_role(F.substring_index(F.substr(x, F.lit(len(OPEN + MARK) + 1)), ": ", 1)).alias("role"),
         unescape(F.substr(x, F.instr(x, ": ") + 2)).alias("text")))
     loss = F.when(F.col("loss_start").isNotNull(), unescape(F.substr(
         "text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))))
-    return examples.groupBy("conv_id").agg(
+    return examples.groupBy("conv_id", "own").agg(
         F.max(F.struct("target", "text"))["text"].alias("whole"),
         F.array_sort(F.collect_list(F.struct("target", loss.alias("loss")))).alias("replies"),
         F.sum(F.length("text")).cast("long").alias("example_chars"), F.count(F.lit(1)).alias("n_examples"),

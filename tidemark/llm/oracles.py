@@ -6,16 +6,17 @@ from .quality import STOP_WORDS
 
 CHAT = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL
 ), t AS (
-  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id, own) AS n,
     19 + 2 * length(role) - length(regexp_replace(role, '[\\<#:]', '', 'g'))
        + 2 * length(text) - length(regexp_replace(text, '[\\<#]', '', 'g')) AS chars
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  FROM c WINDOW w AS (PARTITION BY conv_id, own ORDER BY turn, role, text)
 ), u AS (
-  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM t
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id, own ORDER BY i) AS upto FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
@@ -24,7 +25,7 @@ SELECT conv_id, count(*) AS n_turns,
   sum(chars)::BIGINT AS formatted_chars,
   sum(CASE WHEN role = 'assistant' OR i = n THEN upto END)::BIGINT AS example_chars,
   count(*) FILTER (WHERE role = 'assistant' OR i = n) AS n_examples
-FROM u GROUP BY conv_id
+FROM u GROUP BY conv_id, own
 """
 
 QUALITY = r"""
