@@ -12,7 +12,8 @@ where they are read, without a shuffle, many texts at a time, step by step over
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text
 if there are no labelled training documents; a null doc_id is held out; repeated rows each get a
-row; ties go to the first label in code-point order. Other columns are ignored.
+row; ties go to the first label in code-point order. Very long texts are labelled in whole. Labels beyond the MAX_LABELS with most
+training text (dirty ones, say) aren't learned. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SCRIPT_SHARE = 0.001
 NOT_A_CANDIDATE = -60.0
 CHUNK = 6 << 20
 UNKNOWN = "und"
+#: Languages of a model, at most: those with most training text. It bounds what is gathered and sent to the tasks (65,536 values each).
+MAX_LABELS = 256
 
 #: First code point of each range and the script it begins (0: other).
 SCRIPTS = [(0x0, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8),
@@ -196,8 +199,11 @@ def _label_batches(model: Broadcast) -> Callable:
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
-    """A model of the rows given; what the driver gathers is at most BUCKETS + 18 counts per label."""
-    rows = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string"), F.col(text).cast("string")) \
+    """A model of the rows given; what the driver gathers is at most BUCKETS + 18 counts for each of MAX_LABELS labels."""
+    known = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    largest = known.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc_nulls_last("n"), "lang").limit(MAX_LABELS)
+    names = [r["lang"] for r in largest.collect()]
+    rows = known.where(F.col("lang").isin(names)) \
         .mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model(rows.toArrow())
 
