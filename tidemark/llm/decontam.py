@@ -9,7 +9,8 @@ all its words.
 
 Documents are read once. A bit table of the items' fingerprints drops almost all of a
 document's fingerprints where they arise; the rest are joined by key (Spark broadcasts the
-items' side only if it has measured it to be small, and splits hot keys otherwise). One marker row
+items' side only if it has measured it to be small, and splits hot keys otherwise). Items that share a passage share its
+fingerprints: the same words around one are one row with all their ids, and a hit there is extended once. One marker row
 per document goes through the same join, under a key of its own, so that clean documents stay
 in the result without a second scan. The filtering stage writes its input with a row id first, so
 that only the rows judged contaminated leave: those with a hit of WINDOW words or more, and those in
@@ -92,9 +93,10 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def item_fingerprints(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """Distinct fingerprints with the words around them: window, hash, item_id, i_left, i_words."""
+    """Distinct fingerprints with the words around them (window, hash, i_left, i_words) and the item_ids that share them."""
     return items.select(items[item_id].cast("string"), items[text].cast("string")).mapInArrow(
-        _item_batches, "window int, hash long, item_id string, i_left int, i_words string").distinct()
+        _item_batches, "window int, hash long, item_id string, i_left int, i_words string") \
+        .groupBy("window", "hash", "i_left", "i_words").agg(F.collect_set("item_id").alias("item_ids"))
 
 
 _DOC_SCHEMA = "row_id long, doc_id long, n_words long, window int, hash long, pos long, d_left int, d_words string"
@@ -172,7 +174,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str
         F.max("n_words").alias("n_words"),
         F.max(F.col("hit") & (F.col("window") == WINDOW)).alias("whole_window"),
         F.array_sort(F.collect_set(F.when(F.col("hit"), F.struct("start", "stop")))).alias("ranges"),
-        F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("item_id")))).alias("items"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("hit"), F.col("item_ids")))))).alias("items"))
     covered = F.aggregate(
         "ranges", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n")),
         lambda acc, x: F.struct(F.greatest(acc["upto"], x["stop"]).alias("upto"),
