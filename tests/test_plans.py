@@ -10,7 +10,7 @@ from tidemark.plans.registry import QUERIES, wh
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="test data not present")
 
 MODEL_QUERIES = {"churn_predictions", "churn_scorecard", "model_info", "churn_tier_summary_model",
-                 "portfolio_overview_model", "batch_score_model"}
+                 "portfolio_overview_model", "batch_score_model", "churn_model_invariants"}
 
 
 def plan_of(df) -> str:
@@ -43,6 +43,20 @@ def test_delivered_filter_and_pruning_reach_the_scan(spark):
     assert "ReadSchema: struct<order_id:string,product_id:string,seller_id:string,price" in plan
 
 
+def test_item_grain_models_have_no_expand_or_sort_aggregate(spark):
+    from tidemark.operators import marts as M
+    w = wh(spark, SF_SMALL)
+    for df in (w.stg_order_payments, w.int_order_items_aggregated,
+               M.mart_seller_metrics(w.stg_sellers, w.raw("order_items"), w.stg_orders, w.int_order_reviews_aggregated)):
+        plan = plan_of(df)
+        assert "Expand" not in plan and "SortAggregate" not in plan
+
+
+def test_funded_customers_leave_no_checkpoint(spark):
+    plan = plan_of(QUERIES["funded_customers"](spark, SF_SMALL))
+    assert "ExistingRDD" not in plan and "CheckpointRDD" not in plan
+
+
 def test_no_python_udfs_anywhere(spark):
     for name in sorted(set(QUERIES) - MODEL_QUERIES):
         plan = plan_of(QUERIES[name](spark, SF_SMALL))

@@ -18,7 +18,7 @@ from tidemark.plans.registry import QUERIES, wh  # noqa: E402
 from tidemark.session import get_session  # noqa: E402
 
 MODEL = {"churn_predictions", "churn_scorecard", "model_info", "churn_tier_summary_model",
-         "portfolio_overview_model", "batch_score_model"}
+         "portfolio_overview_model", "batch_score_model", "churn_model_invariants"}
 
 
 def summarize(plan: str) -> dict[str, int]:
