@@ -79,3 +79,16 @@ def test_portfolio_parts_add_up(spark):
     plan = A.portfolio_kpis(w.portfolio_sums)._jdf.queryExecution().executedPlan().toString()
     assert plan.strip().startswith("LocalTableScan") and plan.strip().count("\n") == 0
     assert A.portfolio_kpis(w.portfolio_sums).first() == A.portfolio_overview(mart, pred).first()
+
+
+def test_empty_tables_are_written_and_counted(spark, tmp_path):
+    """Also where the optimizer finds out that nothing is left."""
+    schema = "order_id string, customer_id string, order_status string, order_purchase_timestamp string"
+    some = spark.createDataFrame([("a", "c", "delivered", "x")], schema)
+    cases = [spark.createDataFrame([], schema), some.where("false"), some.join(some.select("order_id").where("order_id > 'b'"), "order_id")]
+    for k, df in enumerate(cases):
+        for keyed in (False, True):
+            path = str(tmp_path / f"{k}{keyed}")
+            got = DQ.write_checked(df, "raw_orders", lambda d: d.write.parquet(path), keyed=keyed)  # noqa: B023
+            assert set(got.values()) == {0} and len(got) == 5 + keyed
+            assert spark.read.schema(schema).parquet(path).count() == 0
