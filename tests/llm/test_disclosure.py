@@ -137,6 +137,16 @@ def test_disclosing_terms_are_treated(spark):
     assert all(got[k][1] == texts[k] for k in range(9, 29))  # no mention: as it was
 
 
+def test_terms_far_from_the_mention_are_treated(spark):
+    rnd = random.Random(5)
+    plain = lambda n: " ".join(rnd.choice(["river", "stone", "green", "wander", "morning"]) for _ in range(n))
+    texts = [f"Zephyrine {plain(200)} from ann@mail.example.org {plain(200)} Quorlton" for _ in range(6)] + [plain(30) for _ in range(30)]
+    got = run(spark, texts)
+    assert [got[k] for k in range(len(texts))] == [(list(a), b) for a, b in reference(texts)]
+    for k in range(6):
+        assert "Zephyrine" not in got[k][1] and "Quorlton" not in got[k][1] and "[EMAIL]" in got[k][1]
+
+
 def test_odd_texts(spark):
     rnd = random.Random(7)
     texts = ["", "a@b.co_x@c.de", "a@b", "a@b.c@d.e", "@a.b", "x.y@z-.-.q", "999.1.2.3.4 1.2.3.4.5.6.7.8", "0255.000.1.01", "1.2.3.256",

@@ -3,12 +3,14 @@
 Protected entities are the e-mail and IP addresses, payment cards and phone numbers in the texts (the base kinds).
 Removing a mention isn't enough where the words around it give the entity away, so the corpus tells how much they
 do. With p(e) the share of documents that mention entity e, p(t) the share with term t, and p(e, t) the share in which
-t stands within NEAR code points of a mention of e, what t discloses about e is PMI(e; t) / IC(e), with
+t stands beside a mention of e, what t discloses about e is PMI(e; t) / IC(e), with
 PMI = log p(e, t) / (p(e) p(t)) and IC = -log p(e): 0 if t says nothing about e, 1 if e always comes with t.
+A term stands beside the mentions next to it, however far off: a mention's context goes on either side to the next match of its
+kind or the end of the text, so every position of a text with a mention is looked at.
 All three are counted over all documents. A pair that stands in fewer than MIN_SUPPORT different texts is no evidence,
 however often those texts are copied.
 
-In a document that mentions e, the terms near the mention that disclose THRESHOLD or more are generalised
+In a document that mentions e, the terms beside the mention that disclose THRESHOLD or more are generalised
 to their first three letters, if that prefix (counted like a term) discloses less; else to their first letter, if that does;
 else they are removed. Of several entities the strictest treatment counts. Documents without a mention stay as they are.
 
@@ -44,8 +46,8 @@ PATTERNS = (
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
 _LETTERS = r"[\p{L}\p{M}]++"
 
-#: Code points on either side of a mention; letters of the shortest term.
-NEAR, MIN_LETTERS = 80, 3
+#: Code points on either side of a mention that are looked at: all of them; letters of the shortest term.
+NEAR, MIN_LETTERS = 1 << 30, 3
 #: Different texts in which a pair must stand; share of an entity's information from which a term is treated.
 MIN_SUPPORT, THRESHOLD = 5, 0.8
 #: Letters kept by the two generalisations.
@@ -73,8 +75,7 @@ def _matches(kind: int) -> Column:
     n = F.size(m)
     return F.when(_has(kind), F.arrays_zip(
         m.alias("match"), F.slice(F.transform(gaps, F.length), F.lit(1), n).alias("gap"),
-        F.slice(F.transform(gaps, lambda g: F.right(g, F.lit(NEAR + 1))), F.lit(1), n).alias("left"),
-        F.slice(F.transform(gaps, lambda g: F.left(g, F.lit(NEAR + 1))), F.lit(2), n).alias("right")))
+        F.slice(gaps, F.lit(1), n).alias("left"), F.slice(gaps, F.lit(2), n).alias("right")))
 
 
 def mentions(rows: DataFrame) -> DataFrame:
@@ -92,24 +93,24 @@ def mentions(rows: DataFrame) -> DataFrame:
     return raw.where(valid).select("row", "digest", "kind", "start", "end", F.concat(kind.cast("string"), value).alias("entity"), "left", "right")
 
 
-def _near(side: str) -> Column:
-    """Terms of a context with their places in it; the first on the left or the last on the right goes if it may be cut."""
-    ctx = F.col(side)
-    words, gaps = F.regexp_extract_all(ctx, F.lit(_LETTERS), F.lit(0)), F.split(ctx, _LETTERS, -1)
-    both = F.arrays_zip(words.alias("w"), F.slice(gaps, F.lit(1), F.size(words)).alias("g"))
-    empty = F.expr("cast(array() as array<struct<term: string, at: int, upto: int>>)")
+def beside(found: DataFrame) -> DataFrame:
+    """row, digest, entity and each different term beside a mention."""
+    words = F.transform(F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(_LETTERS), F.lit(0)) for c in ("left", "right")])), F.lower)
+    return found.select("row", "digest", "entity", F.explode(F.array_distinct(F.filter(words, lambda t: F.length(t) >= MIN_LETTERS))).alias("term"))
 
-    def place(acc: Column, x: Column) -> Column:
-        at = acc["upto"] + F.length(x["g"])
-        upto = at + F.length(x["w"])
-        one = F.struct(F.lower(x["w"]).alias("term"), at.alias("at"), upto.alias("upto"))
-        return F.struct(upto.alias("upto"), F.concat(acc["all"], F.array(one)).alias("all"))
 
-    placed = F.aggregate(both, F.struct(F.lit(0).alias("upto"), empty.alias("all")), place)["all"]
-    whole = (lambda t: t["at"] > 0) if side == "left" else (lambda t: t["upto"] < F.length(ctx))
-    kept = F.filter(placed, lambda t: (F.length(t["term"]) >= MIN_LETTERS) & ((F.length(ctx) <= NEAR) | whole(t)))
-    base = F.col("start") - F.length(ctx) if side == "left" else F.col("end")
-    return F.transform(kept, lambda t: F.struct(t["term"].alias("term"), (base + t["at"]).alias("t_start"), (base + t["upto"]).alias("t_end")))
+def placed(found: DataFrame) -> DataFrame:
+    """row, entity, term and place (t_start, t_end) of every term beside a mention."""
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), at.alias("base"), F.col(c).alias("ctx"))
+                      for k, (c, at) in enumerate((("left", F.col("start") - F.length("left")), ("right", F.col("end"))))])
+    words, gaps = F.regexp_extract_all("ctx", F.lit(_LETTERS), F.lit(0)), F.split("ctx", _LETTERS, -1)
+    each = found.select("row", "entity", "kind", "start", F.inline(sides)) \
+        .select("row", "entity", "kind", "start", "side", "base", F.posexplode(
+            F.arrays_zip(words.alias("w"), F.slice(gaps, F.lit(1), F.size(words)).alias("g"))).alias("nth", "x"))
+    upto = Window.partitionBy("row", "kind", "start", "side").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("t_end", F.col("base") + F.sum(F.length("x.g") + F.length("x.w")).over(upto))
+    return each.select("row", "entity", F.lower("x.w").alias("term"), (F.col("t_end") - F.length("x.w")).alias("t_start"), "t_end") \
+        .where(F.length("term") >= MIN_LETTERS)
 
 
 def _keys(terms: Column) -> Column:
@@ -189,10 +190,9 @@ def sanitise(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame
     rows = scratch.write(rows.withColumn("some", some), "rows")
     dirty = rows.where("some")
     found = scratch.write(mentions(dirty.withColumn("digest", F.md5("text"))), "mentions")
-    near = found.select("row", "digest", "entity", F.inline(F.concat(_near("left"), _near("right"))))
-    told = scratch.write(disclosures(near, found, rows, rows.count()), "told")
+    told = scratch.write(disclosures(beside(found), found, rows, rows.count()), "told")
     treated = scratch.write(treatments(told), "treated")
-    terms = near.join(treated, ["entity", "term"]).groupBy("row", "t_start", "t_end").agg(F.max("level").alias("level")) \
+    terms = placed(found.join(treated.select("entity"), "entity", "left_semi")).join(treated, ["entity", "term"]).groupBy("row", "t_start", "t_end").agg(F.max("level").alias("level")) \
         .select("row", F.struct(F.col("t_start").alias("start"), F.lit(TERM).alias("kind"), F.col("t_end").alias("end"), "level").alias("span"))
     base = found.select("row", F.struct("start", "kind", "end", F.lit(0).alias("level")).alias("span"))
     spans = base.unionByName(terms).groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
