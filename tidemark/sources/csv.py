@@ -40,10 +40,12 @@ def find_source(spark: SparkSession, filename: str, candidate_dirs: list[str]) -
     return None
 
 
-def resolve(candidate_dirs: list[str], module: str = "all", spark: SparkSession | None = None) -> dict[str, str]:
-    """table -> file path for the chosen module; raises listing every missing file before any load."""
+def resolve(candidate_dirs: list[str], module: str = "all", spark: SparkSession | None = None,
+            only: list[str] | None = None) -> dict[str, str]:
+    """table -> file path for the chosen module (or those of its tables named in ``only``); raises listing every
+    missing file before any load."""
     spark = spark or SparkSession.builder.getOrCreate()
-    tables = MODULES[module]
+    tables = [t for t in MODULES[module] if only is None or t in only]
     found = {t: find_source(spark, SOURCE_FILES[t], candidate_dirs) for t in tables}
     missing = [SOURCE_FILES[t] for t, p in found.items() if p is None]
     if missing:
@@ -51,6 +53,6 @@ def resolve(candidate_dirs: list[str], module: str = "all", spark: SparkSession
     return found
 
 
-def load_raw(spark: SparkSession, candidate_dirs: list[str], module: str = "all") -> dict[str, DataFrame]:
-    """Lazy raw DataFrames of one module, in foreign-key order."""
-    return {t: read_csv(spark, p, t) for t, p in resolve(candidate_dirs, module, spark).items()}
+def load_raw(spark: SparkSession, candidate_dirs: list[str], module: str = "all", only: list[str] | None = None) -> dict[str, DataFrame]:
+    """Lazy raw DataFrames of one module (or of its tables named in ``only``), in foreign-key order."""
+    return {t: read_csv(spark, p, t) for t, p in resolve(candidate_dirs, module, spark, only).items()}
